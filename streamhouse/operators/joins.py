@@ -74,30 +74,34 @@ def keyed_lookup(
 ) -> DataFrame:
     """Attach per-key aggregates to every row without gathering a key in one task. Batch only.
 
-    The aggregate is combined in the map tasks. Keys with more than ``hot_rows`` rows get
-    ``salts`` copies of their single aggregate row, and their rows are spread over the copies
-    by a hash of ``spread``. The list of hot keys is broadcast: it has at most
-    rows / ``hot_rows`` entries. Null keys match nothing and are spread as well.
+    The aggregate is combined in the map tasks, and one aggregation serves both uses below:
+
+    * Keys with more than ``hot_rows`` rows are broadcast with their aggregate. There are at
+      most rows / ``hot_rows`` of them.
+    * The others join by shuffle. Rows that are done, or have a null key, match nothing there
+      and are spread over ``salts`` places by a hash of ``spread`` and their input partition,
+      which stays the same when a lost task runs again.
     """
-    base = source if source is not None else df
-    totals = base.groupBy(F.col(key).alias("__key")).agg(
+    names = list(aggregate)
+    totals = (source if source is not None else df).groupBy(F.col(key).alias("__key")).agg(
         F.count(F.lit(1)).alias("__rows"), *[c.alias(name) for name, c in aggregate.items()]
     )
     is_hot = F.col("__rows") > hot_rows
-    hot = totals.where(is_hot).select(F.col("__key").alias("__hot"))
-    salted_totals = totals.select(
-        "__key",
-        *aggregate,
-        F.explode(
-            F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        ).alias("__salt"),
+    hot = totals.where(is_hot).select(
+        F.col("__key").alias("__hot"), *[F.col(n).alias(f"__hot_{n}") for n in names]
+    )
+    cold = totals.where(~is_hot).select(
+        F.col("__key").alias("__cold"),
+        # Always 0, yet not a literal: a literal would drop out of the join's shuffle keys.
+        is_hot.cast("int").alias("__place"),
+        *[F.col(n).alias(f"__cold_{n}") for n in names],
     )
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    place = F.pmod(F.xxhash64(*spread) + F.spark_partition_id(), F.lit(salts)).cast("int") + 1
+    done = F.col("__hot").isNotNull() | F.col(key).isNull()
     rows = df.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn(
-        "__row_salt",
-        F.when(F.col("__hot").isNotNull() | F.col(key).isNull(), salt).otherwise(F.lit(0)),
+        "__salt", F.when(done, place).otherwise(F.lit(0))
     )
-    matched = (F.col(key) == F.col("__key")) & (F.col("__row_salt") == F.col("__salt"))
-    return rows.join(salted_totals, matched, "left").drop(
-        "__key", "__salt", "__row_salt", "__hot"
+    matched = (F.col(key) == F.col("__cold")) & (F.col("__salt") == F.col("__place"))
+    return rows.join(cold, matched, "left").select(
+        *df.columns, *[F.coalesce(f"__hot_{n}", f"__cold_{n}").alias(n) for n in names]
     )

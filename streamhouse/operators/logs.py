@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from streamhouse.functions.times import day_of
+from streamhouse.functions.times import event_time
 from streamhouse.operators.joins import HOT_ROWS, SALTS, keyed_lookup
 
 
@@ -28,13 +28,14 @@ def parse_json(
 ) -> Parsed:
     """Typed rows of a JSON string column, and the raw rows that do not parse."""
     marked = StructType([*schema.fields]).add("__corrupt", "string")
-    parsed = df.withColumn(
-        "__row", F.from_json(value, marked, {"columnNameOfCorruptRecord": "__corrupt"})
-    )
+    row = F.from_json(value, marked, {"columnNameOfCorruptRecord": "__corrupt"})
+    # Inlining keeps the parser from running once per field that is read.
+    parsed = df.select("*", F.inline(F.array(F.struct(row.alias("__row")))))
     is_bad = F.col("__row").isNull() | F.col("__row.__corrupt").isNotNull()
-    fields = [F.col(f"__row.`{f.name}`") for f in schema.fields]
-    good = parsed.where(~is_bad).select(*keep, *fields)
-    return Parsed(good, parsed.where(is_bad).drop("__row"))
+    fields = [F.col(f"__row.`{name}`") for name in schema.fieldNames()]
+    return Parsed(
+        parsed.where(~is_bad).select(*keep, *fields), parsed.where(is_bad).select(*df.columns)
+    )
 
 
 def _flip(log: DataFrame, is_old: Column) -> DataFrame:
@@ -49,12 +50,11 @@ def repair_new_visitors(
 
     Batch form; ``streaming.jobs`` keeps the first day as state instead.
     """
-    marked = log.withColumn("__mid", F.col("common.mid")).withColumn("__day", day_of(F.col("ts")))
+    day = F.to_date(event_time(F.col("ts")))
+    marked = log.withColumns({"__mid": F.col("common.mid"), "__day": day})
     first_day = {"__first": F.min("__day")}
     new_rows = marked.where(F.col("common.is_new") == "1")
-    known = keyed_lookup(
-        marked, "__mid", first_day, ["ts", "page"], new_rows, hot_rows, salts
-    )
+    known = keyed_lookup(marked, "__mid", first_day, ["ts"], new_rows, hot_rows, salts)
     late = (F.col("common.is_new") == "1") & (F.col("__day") != F.col("__first"))
     return _flip(known, F.coalesce(late, F.lit(False))).drop("__mid", "__day", "__first")
 

@@ -33,7 +33,7 @@ def unique_visits(page_log: DataFrame) -> DataFrame:
             .dropDuplicatesWithinWatermark(["mid", "dt"])
             .drop("event_time")
         )
-    return first_per_key(starts, ["mid", "dt"], [F.col("ts"), F.xxhash64("page")])
+    return first_per_key(starts, ["mid", "dt"], [F.col("ts"), F.col("page.page_id")])
 
 
 def bounces(page_log: DataFrame, within_ms: int = BOUNCE_MS, slot_ms: int | None = None) -> DataFrame:
@@ -43,14 +43,19 @@ def bounces(page_log: DataFrame, within_ms: int = BOUNCE_MS, slot_ms: int | None
     comes next ends the wait: one with a page id continues the visit, and one without
     breaks it, so neither leaves a bounce.
     """
+    device = page_log.withColumn("__mid", F.col("common.mid"))
+    # Of rows at the same millisecond only the last can bounce. Copies are dropped in the map
+    # tasks, so that a slot of a device holds at most one row per millisecond.
+    last = first_per_key(device, ["__mid", "ts"], [F.desc("page.page_id")])
     reached = with_neighbour(
-        page_log,
-        key=F.col("common.mid"),
+        last,
+        key=F.col("__mid"),
         ts_ms=F.col("ts"),
         reach_ms=within_ms,
         value=F.lit(True),
         name="__continued",
-        ties=(F.xxhash64("page"),),
         slot_ms=slot_ms,
     )
-    return reached.where(is_session_start() & F.col("__continued").isNull()).drop("__continued")
+    return reached.where(is_session_start() & F.col("__continued").isNull()).select(
+        *page_log.columns
+    )
