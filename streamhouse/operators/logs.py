@@ -64,9 +64,12 @@ def split_logs(log: DataFrame) -> LogSplit:
 
     A row is a start row when its ``start`` object is present and not empty.
     """
-    is_start = F.coalesce(_is_filled(log, "start"), F.lit(False))
-    page = log.where(~is_start)
-    return LogSplit(log.where(is_start), page, explode_displays(page))
+    page = log.where(~is_start(log))
+    return LogSplit(log.where(is_start(log)), page, explode_displays(page))
+
+
+def is_start(log: DataFrame) -> Column:
+    return F.coalesce(_is_filled(log, "start"), F.lit(False))
 
 
 def _is_filled(log: DataFrame, column: str) -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from streamhouse import constants as C
 from streamhouse.functions.times import event_time
 from streamhouse.operators.joins import dim_join
-from streamhouse.operators.logs import explode_displays
 from streamhouse.operators.wide import Dims, sku_snowflake
 from streamhouse.operators.windows import WINDOW, count_once, tumble
 
@@ -44,21 +43,26 @@ def _branch(df: DataFrame, **measures: Column) -> DataFrame:
     )
 
 
-def click_measures(page_log: DataFrame) -> DataFrame:
-    clicked = page_log.where(F.col("page.page_id") == C.PAGE_GOOD_DETAIL).select(
-        event_time(F.col("ts")).alias("event_time"), F.col("page.item").alias("sku_id")
-    )
-    return _branch(clicked, click_ct=F.lit(1))
+def page_measures(page_log: DataFrame) -> DataFrame:
+    """A click per product page and a display per shown product, in one pass over the pages."""
 
+    def hit(sku: Column, click: Column, display: Column) -> Column:
+        return F.struct(
+            sku.alias("sku_id"),
+            F.coalesce(click, F.lit(False)).cast("int").alias("click"),
+            F.coalesce(display, F.lit(False)).cast("int").alias("display"),
+        )
 
-def display_measures(page_log: DataFrame) -> DataFrame:
-    shown = explode_displays(page_log, keep=("ts",)).where(
-        F.col("item_type") == C.ITEM_TYPE_SKU
+    page = hit(F.col("page.item"), F.col("page.page_id") == C.PAGE_GOOD_DETAIL, F.lit(False))
+    shown = F.transform(
+        "displays", lambda d: hit(d["item"], F.lit(False), d["item_type"] == C.ITEM_TYPE_SKU)
     )
-    shown = shown.select(
-        event_time(F.col("ts")).alias("event_time"), F.col("item").alias("sku_id")
+    hits = F.coalesce(F.concat(F.array(page), shown), F.array(page))
+    counted = page_log.select(
+        event_time(F.col("ts")).alias("event_time"),
+        F.inline(F.filter(hits, lambda h: h["click"] + h["display"] > 0)),
     )
-    return _branch(shown, display_ct=F.lit(1))
+    return _branch(counted, click_ct=F.col("click"), display_ct=F.col("display"))
 
 
 def favor_measures(favors: DataFrame) -> DataFrame:
@@ -158,8 +162,7 @@ def product_stats(
     """Displays, clicks, favours, carts, orders, payments, refunds and comments per SKU."""
     totals = product_totals(
         [
-            click_measures(page_log),
-            display_measures(page_log),
+            page_measures(page_log),
             order_measures(orders, width),
             favor_measures(favors),
             cart_measures(carts),

@@ -171,6 +171,13 @@ def order_wide(
     )
 
 
+def enrich_order_wide(rows: DataFrame, dims: Dims, as_of: Column) -> DataFrame:
+    """Order-wide rows with all dimensions looked up after the join, as streams need it."""
+    bare = rows.drop(*USER_COLUMNS, *PROVINCE_COLUMNS, *SKU_COLUMNS)
+    known = with_sku(with_province(with_user(bare, dims.user, as_of), dims.province), dims)
+    return known.select(*ORDER_WIDE.fieldNames())
+
+
 def payment_wide(
     payments: DataFrame, orders: DataFrame, reach_ms: tuple[int, int] = PAYMENT_REACH_MS
 ) -> DataFrame:
