@@ -15,14 +15,14 @@ def search_keywords(
     page_view: DataFrame, width: str = WINDOW, delay: str = "2 seconds"
 ) -> DataFrame:
     """Searched words per window. ``page`` is a map, and event time has whole seconds."""
-    searched = page_view.where(
-        (F.col("page")["page_id"] == C.PAGE_GOOD_LIST) & F.col("page")["item"].isNotNull()
-    ).select(
-        F.timestamp_seconds(F.expr("ts div 1000")).alias("event_time"),
-        F.col("page")["item"].alias("fullword"),
+    stamped = page_view.withColumn(
+        "event_time", F.timestamp_seconds(F.expr("ts div 1000"))
     )
-    if searched.isStreaming:
-        searched = searched.withWatermark("event_time", delay)
+    if stamped.isStreaming:
+        stamped = stamped.withWatermark("event_time", delay)
+    searched = stamped.where(
+        (F.col("page")["page_id"] == C.PAGE_GOOD_LIST) & F.col("page")["item"].isNotNull()
+    ).select("event_time", F.col("page")["item"].alias("fullword"))
     words = explode_keywords(searched, "fullword")
     counted = tumble(words, ["keyword"], [F.count(F.lit(1)).alias("ct")], width)
     return counted.withColumn("source", F.lit(C.KEYWORD_SEARCH))

@@ -43,8 +43,11 @@ def _branch(df: DataFrame, **measures: Column) -> DataFrame:
     )
 
 
-def page_measures(page_log: DataFrame) -> DataFrame:
-    """A click per product page and a display per shown product, in one pass over the pages."""
+def page_measures(page_log: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """A click per product page and a display per shown product, in one pass over the pages.
+
+    On a stream every page moves the watermark on, not only those with products.
+    """
 
     def hit(sku: Column, click: Column, display: Column) -> Column:
         return F.struct(
@@ -58,9 +61,11 @@ def page_measures(page_log: DataFrame) -> DataFrame:
         "displays", lambda d: hit(d["item"], F.lit(False), d["item_type"] == C.ITEM_TYPE_SKU)
     )
     hits = F.coalesce(F.concat(F.array(page), shown), F.array(page))
-    counted = page_log.select(
-        event_time(F.col("ts")).alias("event_time"),
-        F.inline(F.filter(hits, lambda h: h["click"] + h["display"] > 0)),
+    stamped = page_log.withColumn("event_time", event_time(F.col("ts")))
+    if stamped.isStreaming:
+        stamped = stamped.withWatermark("event_time", delay)
+    counted = stamped.select(
+        "event_time", F.inline(F.filter(hits, lambda h: h["click"] + h["display"] > 0))
     )
     return _branch(counted, click_ct=F.col("click"), display_ct=F.col("display"))
 
@@ -130,7 +135,10 @@ def product_totals(
 
 
 def _marked(branch: DataFrame, delay: str) -> DataFrame:
-    return branch if branch.schema["event_time"].metadata else branch.withWatermark("event_time", delay)
+    """The branch with a watermark, unless it already has one."""
+    if branch.schema["event_time"].metadata:
+        return branch
+    return branch.withWatermark("event_time", delay)
 
 
 def with_product_dims(totals: DataFrame, dims: Dims) -> DataFrame:

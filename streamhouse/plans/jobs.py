@@ -191,7 +191,7 @@ def product_stats(w: Warehouse) -> StreamingQuery:
     """Window totals per SKU; dimensions, table and topic once per micro-batch."""
     log = w.records(C.TOPIC_PAGE, S.PAGE_LOG)
     branches = [
-        product.page_measures(log),
+        product.page_measures(log, IN_ORDER),
         product.order_measures(w.records(C.TOPIC_ORDER_WIDE, S.ORDER_WIDE), w.window, IN_ORDER),
         product.favor_measures(w.records(C.TOPIC_FAVOR, S.FAVOR_INFO)),
         product.cart_measures(w.records(C.TOPIC_CART, S.CART_INFO)),
