@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SECOND_PATTERN = "yyyy-MM-dd HH:mm:ss"
@@ -23,6 +23,13 @@ def to_epoch_ms(text: Column, offset: str | None = None) -> Column:
     return F.unix_millis(F.to_timestamp(shifted, f"{SECOND_PATTERN} XXX"))
 
 
+def created_at(df: DataFrame, text: str = "create_time") -> Column:
+    """Creation time of wide rows: ``event_time`` where it is still at hand, else parsed."""
+    if "event_time" in df.columns:
+        return F.col("event_time")
+    return F.to_timestamp(text, SECOND_PATTERN)
+
+
 def to_second_text(ts: Column) -> Column:
     return F.date_format(ts, SECOND_PATTERN)
 

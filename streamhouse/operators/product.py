@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamhouse import constants as C
-from streamhouse.functions.times import event_time
+from streamhouse.functions.times import created_at, event_time
 from streamhouse.operators.joins import dim_join
 from streamhouse.operators.wide import Dims, sku_snowflake
 from streamhouse.operators.windows import WINDOW, count_once, tumble
@@ -86,9 +86,9 @@ def comment_measures(comments: DataFrame) -> DataFrame:
     return _branch(rows, comment_ct=F.lit(1), good_comment_ct=F.col("good"))
 
 
-def _order_rows(df: DataFrame, time: str, delay: str, **columns: Column) -> DataFrame:
+def _order_rows(df: DataFrame, at: Column, delay: str, **columns: Column) -> DataFrame:
     rows = df.select(
-        _at(time).alias("event_time"), "sku_id", "order_id",
+        at.alias("event_time"), "sku_id", "order_id",
         *[c.alias(name) for name, c in columns.items()],
     )
     return rows.withWatermark("event_time", delay) if df.isStreaming else rows
@@ -96,7 +96,7 @@ def _order_rows(df: DataFrame, time: str, delay: str, **columns: Column) -> Data
 
 def order_measures(orders: DataFrame, width: str = WINDOW, delay: str = "0 seconds") -> DataFrame:
     rows = _order_rows(
-        orders, "create_time", delay, num=F.col("sku_num"), amount=F.col("split_total_amount")
+        orders, created_at(orders), delay, num=F.col("sku_num"), amount=F.col("split_total_amount")
     )
     sums = {"num": "num", "amount": "amount"}
     once = count_once(rows, ["sku_id"], "order_id", "orders", sums, width)
@@ -112,14 +112,14 @@ def payment_measures(
     payments: DataFrame, width: str = WINDOW, delay: str = "0 seconds"
 ) -> DataFrame:
     rows = _order_rows(
-        payments, "payment_create_time", delay, amount=F.col("split_total_amount")
+        payments, _at("payment_create_time"), delay, amount=F.col("split_total_amount")
     )
     once = count_once(rows, ["sku_id"], "order_id", "orders", {"amount": "amount"}, width)
     return _branch(once, paid_order_ct=F.col("orders"), payment_amount=F.col("amount"))
 
 
 def refund_measures(refunds: DataFrame, width: str = WINDOW, delay: str = "0 seconds") -> DataFrame:
-    rows = _order_rows(refunds, "create_time", delay, amount=F.col("refund_amount"))
+    rows = _order_rows(refunds, created_at(refunds), delay, amount=F.col("refund_amount"))
     once = count_once(rows, ["sku_id"], "order_id", "orders", {"amount": "amount"}, width)
     return _branch(once, refund_order_ct=F.col("orders"), refund_amount=F.col("amount"))
 

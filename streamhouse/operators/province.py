@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from streamhouse.functions.times import created_at
 from streamhouse.operators.windows import WINDOW, count_once, tumble
 
 RENAMED = {
@@ -21,7 +22,7 @@ def province_stats(
 ) -> DataFrame:
     """Distinct orders and order amount per province and window of the order's creation."""
     rows = order_wide.select(
-        F.to_timestamp("create_time", "yyyy-MM-dd HH:mm:ss").alias("event_time"),
+        created_at(order_wide).alias("event_time"),
         *[F.col(c).alias(out) for c, out in RENAMED.items()],
         "order_id",
         "split_total_amount",
