@@ -31,13 +31,13 @@ def with_neighbour(
     if slot < reach_ms:
         raise ValueError("slot must not be shorter than the reach")
 
-    own = F.floor(ts_ms / F.lit(slot)).cast("bigint")
-    into_slot = ts_ms - own * F.lit(slot)
+    into_slot = F.pmod(ts_ms, F.lit(slot))
+    own = ts_ms - into_slot
     near_border = into_slot < reach_ms if forward else F.lit(slot) - into_slot <= reach_ms
-    other = own - 1 if forward else own + 1
+    other = own - slot if forward else own + slot
 
-    def place(number: Column, copy: bool) -> Column:
-        return F.struct(number.alias("slot"), F.lit(copy).alias("copy"))
+    def place(start: Column, copy: bool) -> Column:
+        return F.struct(start.alias("slot"), F.lit(copy).alias("copy"))
 
     placed = df.select(
         "*",
