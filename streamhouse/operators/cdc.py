@@ -33,8 +33,8 @@ def normalise_type(kind: Column) -> Column:
 def load_routes(spark: SparkSession, config: DataFrame) -> DataFrame:
     """Routing table as a local relation, one row per table and operation.
 
-    The row count is checked: a table past the limit is left distributed, so that it joins
-    by shuffle. An empty table is an error.
+    The row count is checked before the table is marked for broadcast. A table past the limit
+    is left distributed and joins by shuffle. An empty table is an error.
     """
     config = config.select(*ROUTES.fieldNames())
     rows = config.limit(MAX_BROADCAST_ROUTES + 1).collect()
@@ -43,7 +43,7 @@ def load_routes(spark: SparkSession, config: DataFrame) -> DataFrame:
     if len(rows) > MAX_BROADCAST_ROUTES:
         return config.dropDuplicates(["source_table", "operate_type"])
     by_key = {(r.source_table, r.operate_type): tuple(r) for r in rows}
-    return spark.createDataFrame(list(by_key.values()), ROUTES)
+    return F.broadcast(spark.createDataFrame(list(by_key.values()), ROUTES))
 
 
 def route(cdc: DataFrame, routes: DataFrame) -> DataFrame:

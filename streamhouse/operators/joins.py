@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from streamhouse.functions.times import interval_ms
 
 HOT_ROWS = 2_000_000
+MAX_HOT_KEYS = 100_000
 SALTS = 64
 
 
@@ -71,14 +72,15 @@ def keyed_lookup(
     source: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    max_hot_keys: int = MAX_HOT_KEYS,
 ) -> DataFrame:
     """Attach per-key aggregates to every row without gathering a key in one task. Batch only.
 
     The aggregate is combined in the map tasks, and one aggregation serves both uses below:
 
-    * Keys with more than ``hot_rows`` rows are broadcast with their aggregate. There are at
-      most rows / ``hot_rows`` of them.
-    * The others join by shuffle. Rows that are done, or have a null key, match nothing there
+    * The largest keys, of more than ``hot_rows`` rows, are broadcast with their aggregate, at
+      most ``max_hot_keys`` of them.
+    * All others join by shuffle. Rows that are done, or have a null key, match nothing there
       and are spread over ``salts`` places by a hash of ``spread`` and their input partition,
       which stays the same when a lost task runs again.
     """
@@ -86,14 +88,16 @@ def keyed_lookup(
     totals = (source if source is not None else df).groupBy(F.col(key).alias("__key")).agg(
         F.count(F.lit(1)).alias("__rows"), *[c.alias(name) for name, c in aggregate.items()]
     )
-    is_hot = F.col("__rows") > hot_rows
-    hot = totals.where(is_hot).select(
-        F.col("__key").alias("__hot"), *[F.col(n).alias(f"__hot_{n}") for n in names]
+    hot = (
+        totals.where(F.col("__rows") > hot_rows)
+        .orderBy(F.desc("__rows"), "__key")
+        .limit(max_hot_keys)
+        .select(F.col("__key").alias("__hot"), *[F.col(n).alias(f"__hot_{n}") for n in names])
     )
-    cold = totals.where(~is_hot).select(
+    cold = totals.select(
         F.col("__key").alias("__cold"),
         # Always 0, yet not a literal: a literal would drop out of the join's shuffle keys.
-        is_hot.cast("int").alias("__place"),
+        (F.col("__rows") < 0).cast("int").alias("__place"),
         *[F.col(n).alias(f"__cold_{n}") for n in names],
     )
     place = F.pmod(F.xxhash64(*spread) + F.spark_partition_id(), F.lit(salts)).cast("int") + 1

@@ -7,8 +7,8 @@ from functools import lru_cache
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-TARGET_PARTITION_BYTES = 64 * 1024 * 1024
-MAX_PARTITIONS = 100_000
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+MAX_PARTITIONS = 50_000
 
 
 def tune(spark: SparkSession, *inputs: str) -> SparkSession:

@@ -97,7 +97,9 @@ def test_shuffles_grow_with_the_input(spark):
     size_shuffles(spark, 0)
     assert spark.conf.get(key) == spark.conf.get("spark.sql.shuffle.partitions")
     size_shuffles(spark, 64 * 1024**3)
-    assert spark.conf.get(key) == "1024"
+    assert spark.conf.get(key) == "512"
+    size_shuffles(spark, 100 * 1024**4)
+    assert spark.conf.get(key) == "50000"
     tune(spark, "/root/testdata/sf0.001")
     assert spark.conf.get(key) == spark.conf.get("spark.sql.shuffle.partitions")
 

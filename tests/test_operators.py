@@ -15,6 +15,7 @@ from streamhouse.functions.measures import unpivot_measures
 from streamhouse.functions.texts import explode_keywords, is_blank, to_json_value
 from streamhouse.operators import cdc, keyword, logs, product, province, visitor, visits, wide
 from streamhouse.operators.joins import dim_join, keyed_lookup
+from streamhouse.operators.neighbours import with_neighbour
 
 BASE = 1_700_000_000_000
 DAY = 24 * 3600 * 1000
@@ -69,29 +70,111 @@ def test_new_visitor_repair(log, logs_of, rows, hot_rows):
     )
 
 
-def test_keyed_lookup_is_the_same_hot_or_cold(spark, rows):
-    df = spark.range(600).select(
+def third_hot(spark, n):
+    return spark.range(n).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id"
     )
+
+
+@pytest.mark.parametrize("limits", [(10, 100), (10, 1), (0, 5), (0, 1000)])
+def test_keyed_lookup_is_the_same_hot_or_cold(spark, rows, limits):
+    hot_rows, max_hot_keys = limits
+    df = third_hot(spark, 600)
     pick = {"low": F.min("id"), "n": F.count("id")}
     cold = keyed_lookup(df, "k", pick, ["id"])
-    hot = keyed_lookup(df, "k", pick, ["id"], hot_rows=10, salts=8)
+    hot = keyed_lookup(
+        df, "k", pick, ["id"], hot_rows=hot_rows, salts=8, max_hot_keys=max_hot_keys
+    )
     assert rows(cold) == rows(hot)
     assert hot.where("k = 'hot'").select("low", "n").distinct().collect() == [(0, 200)]
 
 
-def test_keyed_lookup_spreads_the_hot_key(spark):
-    df = spark.range(20_000).select(F.lit("hot").alias("k"), "id")
-    out = keyed_lookup(df, "k", {"low": F.min("id")}, ["id"], hot_rows=100, salts=16)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+@pytest.fixture
+def no_size_broadcast(spark):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for k in keys:
+        spark.conf.set(k, "-1")
+    yield
+    for k in keys:
+        spark.conf.unset(k)
+
+
+def test_keyed_lookup_spreads_the_hot_key(spark, no_size_broadcast):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    out = keyed_lookup(third_hot(spark, 9_000), "k", {"low": F.min("id")}, ["id"], hot_rows=100)
+    hot = out.where("k = 'hot'").groupBy(F.spark_partition_id().alias("p"))
+    sizes = [r.n for r in hot.agg(F.count("low").alias("n")).collect()]
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 3_000
+    assert len(sizes) == 4 and max(sizes) < 1_500
+
+
+def final_plan(df):
+    """The executed plan after adaptive re-planning."""
+    query = df._jdf.queryExecution()
+    query.toRdd().count()
+    return query.executedPlan().toString().split("Initial Plan")[0]
+
+
+SMALL_SKEW = {
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+}
+
+
+@pytest.fixture
+def small_skew(spark, no_size_broadcast):
+    for k, v in SMALL_SKEW.items():
+        spark.conf.set(k, v)
+    yield
+    for k in SMALL_SKEW:
+        spark.conf.unset(k)
+
+
+def test_hot_order_is_split(spark, small_skew):
+    """A third of all lines belong to one order: the join splits it, the counts stay exact."""
+    sales = orders(spark, [(i, 5, i % 7, AT) for i in range(3_000)])
+    ids = spark.range(60_000).select(
+        "id",
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 3_000).alias("order_id"),
+        (F.col("id") % 50).alias("sku_id"),
+        F.lit(0).alias("ms"),
+    )
+    amount = (F.rand(1) * 1_000).cast(S.MONEY)
+    lines = details(spark, ids).withColumn("split_total_amount", amount)
+    wide_rows = wide.order_wide(sales, lines.repartition(8), wide.Dims())
+    stats = province.province_stats(wide_rows)
+    assert "skew=true" in final_plan(stats)
+    totals = stats.agg(F.sum("order_count"), F.sum("order_amount")).first()
+    kept = lines.join(sales.select(F.col("id").alias("order_id")), "order_id", "left_semi")
+    assert tuple(totals) == (
+        kept.select("order_id").distinct().count(),
+        kept.agg(F.sum("split_total_amount")).first()[0],
+    )
+
+
+def test_hot_sku_lookup_is_split(spark, small_skew):
+    lines = spark.range(6_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("sku_id"), "id"
+    )
+    dim = spark.range(6_000).select(F.col("id").alias("k"), F.col("id").cast("string").alias("name"))
+    out = dim_join(lines.repartition(8), dim.repartition(8), {"sku_id": "k"}, {"sku_name": F.col("name")})
+    assert "skew=true" in final_plan(out)
+    assert out.where("sku_name is null").count() == 0
+    assert out.count() == 6_000
+
+
+def test_hot_device_is_spread_over_time(spark, no_size_broadcast):
+    """No window group holds more than one slot of a device."""
+    df = spark.range(20_000).select(F.lit("hot").alias("k"), (F.col("id") * 1_000 + BASE).alias("ts"))
+    out = with_neighbour(df, F.col("k"), F.col("ts"), 10_000, F.lit(True), "next")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        # Consumed as a whole, so that the join stays in the plan.
-        sizes = [r.n for r in out.groupBy(F.spark_partition_id(), "low").agg(F.count("k").alias("n")).collect()]
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert sum(sizes) == 20_000
+    counts = out.groupBy(F.spark_partition_id()).agg(F.count("ts").alias("n"), F.count("next"))
+    sizes = [r.n for r in counts.collect()]
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 20_000 and len(sizes) == 4 and max(sizes) < 10_000
+    assert out.where("next is null").count() == 1
 
 
 def test_unique_visit(log, logs_of, rows):
@@ -256,7 +339,8 @@ def orders(spark, data):
 
 def details(spark, data):
     """Details at milliseconds after a fixed second."""
-    df = spark.createDataFrame(data, "id long, order_id long, sku_id long, ms long")
+    schema = "id long, order_id long, sku_id long, ms long"
+    df = spark.createDataFrame(data, schema) if isinstance(data, list) else data
     at = F.timestamp_millis(F.lit(BASE) + F.col("ms"))
     return df.withColumns(
         {
