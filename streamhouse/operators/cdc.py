@@ -30,19 +30,25 @@ def normalise_type(kind: Column) -> Column:
     return F.when(kind == "bootstrap-insert", F.lit("insert")).otherwise(kind)
 
 
-def load_routes(spark: SparkSession, config: DataFrame) -> DataFrame:
+def load_routes(
+    spark: SparkSession, config: DataFrame, known: dict[tuple[str, str], tuple] | None = None
+) -> DataFrame:
     """Routing table as a local relation, one row per table and operation.
 
+    ``known`` carries routes from one refresh to the next: newer rows overwrite older ones of
+    the same key, and a route that left the table stays in use.
+
     The row count is checked before the table is marked for broadcast. A table past the limit
     is left distributed and joins by shuffle. An empty table is an error.
     """
     config = config.select(*ROUTES.fieldNames())
     rows = config.limit(MAX_BROADCAST_ROUTES + 1).collect()
-    if not rows:
-        raise ValueError("the routing table is empty")
+    by_key = known if known is not None else {}
     if len(rows) > MAX_BROADCAST_ROUTES:
         return config.dropDuplicates(["source_table", "operate_type"])
-    by_key = {(r.source_table, r.operate_type): tuple(r) for r in rows}
+    by_key.update({(r.source_table, r.operate_type): tuple(r) for r in rows})
+    if not by_key:
+        raise ValueError("the routing table is empty")
     return F.broadcast(spark.createDataFrame(list(by_key.values()), ROUTES))
 
 

@@ -41,11 +41,14 @@ def count_once(
       its own that goes when its window closes.
     """
     if not df.isStreaming:
-        per_value = df.groupBy(F.window("event_time", width), *keys, distinct).agg(
+        placed = df.select(
+            F.window("event_time", width)["start"].alias("event_time"), *keys, distinct, *sums.values()
+        )
+        per_value = placed.groupBy("event_time", *keys, distinct).agg(
             *[F.sum(c).alias(out) for out, c in sums.items()]
         )
         return per_value.select(
-            F.col("window.start").alias("event_time"),
+            "event_time",
             *keys,
             F.when(F.col(distinct).isNotNull(), 1).otherwise(0).cast("bigint").alias(count),
             *sums,

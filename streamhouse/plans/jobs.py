@@ -112,10 +112,11 @@ def split_log(w: Warehouse) -> StreamingQuery:
 
 def route_changes(w: Warehouse) -> StreamingQuery:
     """Route change records to fact topics and dimension tables, as configured right now."""
+    known: dict[tuple[str, str], tuple] = {}
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        routes = cdc.load_routes(spark, w.routes())
+        routes = cdc.load_routes(spark, w.routes(), known)
         tables = create_dims(spark, w.dims, routes)
         records = logs.parse_json(batch, CDC_RECORD, keep=("position",)).good
         routed = cdc.route(cdc.clean(records), routes).withColumnRenamed("ts", "at").persist()
@@ -225,7 +226,7 @@ def province_stats(w: Warehouse) -> StreamingQuery:
 
 def keyword_stats(w: Warehouse) -> StreamingQuery:
     view = create_topic_view(
-        w.spark, w.bus, C.TOPIC_PAGE, S.PAGE_VIEW, "page_view", "keyword_stats_app"
+        w.spark, w.bus, C.TOPIC_PAGE, S.PAGE_VIEW, "page_view", "keyword_stats"
     )
     stats = keyword.search_keywords(view, w.window)
     return w.start_stats("keyword_stats", stats, "keyword_stats", S.KEYWORD_STATS)
@@ -236,7 +237,7 @@ def product_keyword_stats(w: Warehouse) -> StreamingQuery:
         spu_name=S.STRING, click_ct=S.LONG, cart_ct=S.LONG, order_ct=S.LONG, stt=S.STRING, edt=S.STRING
     )
     stats = create_topic_view(
-        w.spark, w.bus, C.TOPIC_PRODUCT_STATS, fields, "product_stats", "keyword_stats_app"
+        w.spark, w.bus, C.TOPIC_PRODUCT_STATS, fields, "product_stats", "product_keyword_stats"
     )
     words = keyword.product_keywords(stats)
     return w.start_stats("product_keyword_stats", words, "keyword_stats", S.KEYWORD_STATS)

@@ -58,7 +58,7 @@ BOUNCES = f"""bounced AS (
 OINFO = f"""oinfo AS (
   SELECT o_orderkey AS id, o_custkey AS user_id, o_orderstatus AS order_status,
          {_money('o_totalprice')} AS total_amount, epoch_ms(o_orderdate) AS ms,
-         strftime(o_orderdate, '{SECOND}') AS create_time, c_nationkey AS province_id
+         strftime(o_orderdate, '{SECOND}') AS create_time, CAST(c_nationkey AS BIGINT) AS province_id
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey)"""
 
 ODETAIL = f"""odetail AS (

@@ -45,3 +45,27 @@ def start(
     )
     trigger = {"availableNow": True} if available_now else {"processingTime": every}
     return writer.trigger(**trigger).start()
+
+
+def start_console(
+    df: DataFrame, name: str, checkpoints: str | None = None, rows: int = 20
+) -> StreamingQuery:
+    """Print each micro-batch of a stream, for debugging."""
+    root = checkpoints or durable_dir(df.sparkSession, "streams")
+    writer = df.writeStream.queryName(name).format("console").outputMode("append")
+    return (
+        writer.option("numRows", rows)
+        .option("truncate", "false")
+        .option("checkpointLocation", f"{root}/{name}")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows the query's recent micro-batches dropped because they came after the watermark."""
+    return sum(
+        state.numRowsDroppedByWatermark
+        for progress in query.recentProgress
+        for state in progress.stateOperators
+    )

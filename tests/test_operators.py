@@ -302,6 +302,14 @@ def test_last_route_of_a_key_counts(spark):
     assert [r.sink_table for r in routes.collect()] == ["newer"]
 
 
+def test_routes_stay_known_after_they_leave_the_table(spark):
+    known = {}
+    cdc.load_routes(spark, spark.createDataFrame(ROUTES[:2], S.ROUTES), known)
+    newer = [("t", "insert", "kafka", "newer", "id", "id", None)]
+    routes = cdc.load_routes(spark, spark.createDataFrame(newer, S.ROUTES), known)
+    assert sorted(r.sink_table for r in routes.collect()) == ["dwd_all", "newer"]
+
+
 def test_dim_schemas(spark):
     tables = cdc.dim_schemas(spark.createDataFrame(ROUTES, S.ROUTES))
     assert list(tables) == ["DIM_T"]

@@ -14,7 +14,8 @@ from streamhouse.operators import logs, visitor, visits
 from streamhouse.plans import jobs
 from streamhouse.sinks.tables import StatsSink
 from streamhouse.sources.tables import find_in_dim, read_dim, write_version
-from streamhouse.sources.topics import Bus
+from streamhouse.sources.topics import Bus, read_topic
+from streamhouse.streaming.runner import late_rows, start_console
 
 BASE = 1_700_000_000_000
 LATER = BASE + 40 * 24 * 3600 * 1000
@@ -141,7 +142,9 @@ def test_late_row_is_dropped(house, feed, log, rows):
     feed(house.bus.folder, C.TOPIC_PAGE, [log("a", BASE + 60_001, "home")])
     feed(house.bus.folder, C.TOPIC_PAGE, [log("a", BASE + 1, "good_list", page={"item": "late"})])
     feed(house.bus.folder, C.TOPIC_PAGE, [log("end", LATER, "good_list", page={"item": "end"})])
-    finish(jobs.keyword_stats(house))
+    query = jobs.keyword_stats(house)
+    finish(query)
+    assert late_rows(query) == 1
     got = stats(house, "keyword_stats")
     assert rows(got, "keyword", "ct", "source") == [
         ("bolt", 1, "SEARCH"), ("red", 1, "SEARCH"), ("ring", 1, "SEARCH"),
@@ -275,3 +278,22 @@ def test_route_changes(house, feed, spark, rows):
     assert rows(dim_rows) == [("1", "North-East"), ("2", "South")]
     assert rows(find_in_dim(dim_rows, id="2", name="South")) == [("2", "South")]
     assert rows(find_in_dim(dim_rows, id="2", name="North")) == []
+
+
+def test_console(house, feed):
+    feed(house.bus.folder, "t", ["hello"])
+    topic_rows = read_topic(house.spark, house.bus, "t").select("value")
+    query = start_console(topic_rows, "shown", house.checkpoints)
+    finish(query)
+    assert "Console" in query.lastProgress.sink.description
+    assert query.recentProgress[0].numInputRows == 1
+
+
+def test_repeated_batches_change_nothing(house, feed, log, rows):
+    """A job that starts over without its checkpoint replaces what it wrote before."""
+    feed(house.bus.folder, C.TOPIC_PAGE, [log("a", BASE), log("b", BASE + 1), log("a", BASE + 2)])
+    finish(jobs.unique_visit(house))
+    once = rows(topic(house, C.TOPIC_UNIQUE_VISIT, S.PAGE_LOG), "common.mid", "ts")
+    again = replace(house, checkpoints=f"{house.checkpoints}-again")
+    finish(jobs.unique_visit(again))
+    assert rows(topic(house, C.TOPIC_UNIQUE_VISIT, S.PAGE_LOG), "common.mid", "ts") == once
