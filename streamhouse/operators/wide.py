@@ -122,7 +122,8 @@ def join_order_detail(
     Both sides need an ``event_time`` timestamp; on streams it carries the watermark. Detail
     columns that collide get the prefix ``detail_``.
     """
-    renamed = {c: f"detail_{c}" for c in details.columns if c in orders.columns}
+    taken = set(orders.columns)
+    renamed = {c: f"detail_{c}" for c in details.columns if c in taken}
     detail = details.withColumnsRenamed(renamed)
     return interval_join(
         orders,
@@ -153,16 +154,19 @@ def order_wide(
         orders = with_province(orders, dims.province)
     if dims.sku is not None:
         details = with_sku(details, dims)
+    # Per order, not per line.
+    orders = orders.withColumns(
+        {
+            "create_date": F.date_format("event_time", "yyyy-MM-dd"),
+            "create_hour": F.date_format("event_time", "HH"),
+        }
+    )
     joined = join_order_detail(orders, details, reach_ms)
-    created = F.to_timestamp("create_time", "yyyy-MM-dd HH:mm:ss")
-    merged = {
-        "order_id": F.col("id"),
-        "create_date": F.date_format(created, "yyyy-MM-dd"),
-        "create_hour": F.date_format(created, "HH"),
-    }
+    present = set(joined.columns)
+    merged = {"order_id": F.col("id")}
     return joined.select(
         *[
-            merged.get(f.name, F.col(f.name) if f.name in joined.columns else F.lit(None))
+            merged.get(f.name, F.col(f.name) if f.name in present else F.lit(None))
             .cast(f.dataType)
             .alias(f.name)
             for f in ORDER_WIDE.fields
@@ -185,7 +189,8 @@ def payment_wide(
 
     Columns of both sides take the payment's value.
     """
-    pay = payments.select(*[F.col(c).alias(f"pay_{c}") for c in payments.columns])
+    names = payments.columns
+    pay = payments.select(*[F.col(c).alias(f"pay_{c}") for c in names])
     joined = interval_join(
         pay,
         orders,
@@ -198,11 +203,7 @@ def payment_wide(
         "payment_id": F.col("pay_id"),
         "payment_create_time": F.col("pay_create_time"),
         "order_create_time": F.col("create_time"),
-        **{
-            c: F.col(f"pay_{c}")
-            for c in PAYMENT_WIDE.fieldNames()
-            if f"pay_{c}" in pay.columns
-        },
+        **{c: F.col(f"pay_{c}") for c in PAYMENT_WIDE.fieldNames() if c in names},
     }
     return joined.select(
         *[
@@ -215,14 +216,15 @@ def payment_wide(
 
 def coalesce_wide(left: DataFrame, right: DataFrame, key: str = "detail_id") -> DataFrame:
     """Full join of two wide tables, first non-null value per merged column. Batch only."""
-    renamed = {c: f"__right_{c}" for c in right.columns}
+    names, others = left.columns, right.columns
+    renamed = {c: f"__right_{c}" for c in others}
     joined = left.join(
         right.withColumnsRenamed(renamed), F.col(key) == F.col(f"__right_{key}"), "full"
     )
-    both = [c for c in left.columns if c in right.columns and c in (key, *MERGED_COLUMNS)]
+    both = [c for c in names if c in others and c in (key, *MERGED_COLUMNS)]
     return joined.select(
         *[
             F.coalesce(c, f"__right_{c}").alias(c) if c in both else F.col(c)
-            for c in left.columns
+            for c in names
         ]
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from streamhouse import constants as C
 from streamhouse.functions.texts import to_json_value
@@ -40,9 +41,14 @@ class Inputs:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self.schemas: dict[str, StructType] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A table; its schema is read from the file once."""
+        path = f"{self.folder}/{name}.parquet"
+        if name not in self.schemas:
+            self.schemas[name] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self.schemas[name]).parquet(path)
 
     # -- logs ---------------------------------------------------------------------------
 
