@@ -111,6 +111,32 @@ def dim_changes(dims: DataFrame, sink_table: str) -> DataFrame:
     return dims.where((F.upper("sink_table") == sink_table.upper()) & (F.size("data") > 0))
 
 
+def _writes(changes: DataFrame, pk: str, columns: Sequence[str], order: Column) -> DataFrame:
+    """Key, order and one nullable ``struct<v>`` per column; null where nothing is written."""
+    written = [
+        F.when(F.map_contains_key("data", F.lit(c)), F.struct(F.col("data")[c].alias("v"))).alias(c)
+        for c in columns
+        if c != pk
+    ]
+    at = F.struct(F.lit(1).alias("fresh"), order.alias("at")).alias("__at")
+    return changes.select(F.col("data")[pk].alias(pk), at, *written).where(F.col(pk).isNotNull())
+
+
+def _latest(writes: DataFrame, pk: str, columns: Sequence[str]) -> DataFrame:
+    """Last write per key and column, combined in the map tasks."""
+    return writes.groupBy(pk).agg(
+        *[
+            F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("__at"))).alias(c)
+            for c in columns
+            if c != pk
+        ]
+    )
+
+
+def _values(latest: DataFrame, pk: str, columns: Sequence[str]) -> DataFrame:
+    return latest.select(*[F.col(c) if c == pk else F.col(f"{c}.v").alias(c) for c in columns])
+
+
 def upsert(
     current: DataFrame | None,
     changes: DataFrame,
@@ -124,30 +150,43 @@ def upsert(
     keeps its value, and one set to null becomes null. One aggregation, combined in the map
     tasks, so a key with many changes does not gather in one task.
     """
-    value_columns = [c for c in columns if c != pk]
-    writes = changes.select(
-        F.col("data")[pk].alias(pk),
-        F.struct(F.lit(1).alias("fresh"), order.alias("at")).alias("__at"),
-        *[
-            F.when(
-                F.map_contains_key("data", F.lit(c)),
-                F.struct(F.col("data")[c].alias("v")),
-            ).alias(c)
-            for c in value_columns
-        ],
-    )
+    writes = _writes(changes, pk, columns, order)
     if current is not None:
         at_type = writes.schema["__at"].dataType["at"].dataType
-        stored = current.select(
+        at = F.struct(F.lit(0).alias("fresh"), F.lit(None).cast(at_type).alias("at"))
+        stored = current.where(F.col(pk).isNotNull()).select(
             F.col(pk),
-            F.struct(F.lit(0).alias("fresh"), F.lit(None).cast(at_type).alias("at")).alias("__at"),
-            *[F.struct(F.col(c).alias("v")).alias(c) for c in value_columns],
+            at.alias("__at"),
+            *[F.struct(F.col(c).alias("v")).alias(c) for c in columns if c != pk],
         )
         writes = stored.unionByName(writes)
-    latest = writes.where(F.col(pk).isNotNull()).groupBy(pk).agg(
+    return _values(_latest(writes, pk, columns), pk, columns)
+
+
+def latest_changes(
+    changes: DataFrame, pk: str, columns: Sequence[str], order: Column
+) -> DataFrame:
+    """Last write per key and column of some changes, for ``apply_few``."""
+    return _latest(_writes(changes, pk, columns, order), pk, columns)
+
+
+def apply_few(
+    current: DataFrame, latest: DataFrame, pk: str, columns: Sequence[str]
+) -> DataFrame:
+    """The outcome of ``upsert`` for so few ``latest`` changes that they can be broadcast.
+
+    The dimension is passed through without a shuffle. The caller has counted ``latest``.
+    """
+    few = F.broadcast(latest.select(F.col(pk).alias("__pk"), *[F.col(c).alias(f"__{c}") for c in columns if c != pk]))
+    changed = current.join(few, F.col(pk) == F.col("__pk"), "left").select(
         *[
-            F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("__at"))).alias(c)
-            for c in value_columns
+            F.col(c)
+            if c == pk
+            else F.when(F.col(f"__{c}").isNotNull(), F.col(f"__{c}.v")).otherwise(F.col(c)).alias(c)
+            for c in columns
         ]
     )
-    return latest.select(*[F.col(f"{c}.v").alias(c) if c != pk else F.col(c) for c in columns])
+    # As few as the changes, hence broadcast as well.
+    known = current.join(F.broadcast(latest.select(pk)), pk, "left_semi").select(pk)
+    added = latest.join(F.broadcast(known), pk, "left_anti")
+    return changed.unionByName(_values(added, pk, columns))

@@ -69,7 +69,6 @@ def keyed_lookup(
     key: str,
     aggregate: Mapping[str, Column],
     spread: Sequence[str],
-    source: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
     max_hot_keys: int = MAX_HOT_KEYS,
@@ -85,7 +84,7 @@ def keyed_lookup(
       which stays the same when a lost task runs again.
     """
     names = list(aggregate)
-    totals = (source if source is not None else df).groupBy(F.col(key).alias("__key")).agg(
+    totals = df.groupBy(F.col(key).alias("__key")).agg(
         F.count(F.lit(1)).alias("__rows"), *[c.alias(name) for name, c in aggregate.items()]
     )
     hot = (

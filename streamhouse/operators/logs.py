@@ -50,12 +50,12 @@ def repair_new_visitors(
 
     Batch form; ``streaming.jobs`` keeps the first day as state instead.
     """
+    is_new = F.col("common.is_new") == "1"
     day = F.to_date(event_time(F.col("ts")))
     marked = log.withColumns({"__mid": F.col("common.mid"), "__day": day})
-    first_day = {"__first": F.min("__day")}
-    new_rows = marked.where(F.col("common.is_new") == "1")
-    known = keyed_lookup(marked, "__mid", first_day, ["ts"], new_rows, hot_rows, salts)
-    late = (F.col("common.is_new") == "1") & (F.col("__day") != F.col("__first"))
+    first_day = {"__first": F.min(F.when(is_new, F.col("__day")))}
+    known = keyed_lookup(marked, "__mid", first_day, ["ts"], hot_rows, salts)
+    late = is_new & (F.col("__day") != F.col("__first"))
     return _flip(known, F.coalesce(late, F.lit(False))).drop("__mid", "__day", "__first")
 
 

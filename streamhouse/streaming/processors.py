@@ -13,7 +13,7 @@ from streamhouse.operators.visits import BOUNCE_MS, is_session_start
 
 
 class FirstDay(StatefulProcessor):
-    """Remembers the first day on which a device was marked new; later days are not new."""
+    """Remembers the first day on which a device was marked new; on other days it is not new."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.first = handle.getValueState("first_day", "day string")
@@ -22,14 +22,10 @@ class FirstDay(StatefulProcessor):
         known = self.first.get()
         first = known[0] if known else None
         for row in rows:
-            flag = row.is_new
-            if flag == "1":
-                if first is None:
-                    first = row.day
-                    self.first.update((first,))
-                elif first != row.day:
-                    flag = "0"
-            yield Row(is_new=flag, value=row.value)
+            if first is None:
+                first = row.day
+                self.first.update((first,))
+            yield Row(is_new="1" if row.day == first else "0", value=row.value)
 
     def close(self) -> None:
         pass
@@ -83,27 +79,29 @@ class BounceWait(StatefulProcessor):
 
 
 def repair_new_visitors_stream(log: DataFrame) -> DataFrame:
-    """Page logs with ``is_new`` repaired, in order of arrival; ``log`` has the raw layout.
+    """Page logs with ``is_new`` repaired, in order of arrival.
 
-    Rows cross to Python as their key, flag, day and JSON text only.
+    Only rows marked new reach the state. They cross to Python as key, day and JSON text;
+    all other rows pass by.
     """
-    flat = log.select(
+    is_new = F.coalesce(F.col("common.is_new") == "1", F.lit(False))
+    flat = log.where(is_new).select(
         F.col("common.mid").alias("mid"),
-        F.col("common.is_new").alias("is_new"),
         day_of(F.col("ts")).alias("day"),
         F.to_json(F.struct(*log.columns)).alias("value"),
     )
-    fixed = flat.groupBy("mid").transformWithState(
+    marked = flat.groupBy("mid").transformWithState(
         statefulProcessor=FirstDay(),
         outputStructType="is_new string, value string",
         outputMode="Append",
         timeMode="None",
     )
-    parsed = fixed.select("is_new", F.from_json("value", log.schema).alias("row"))
-    return parsed.select(
+    parsed = marked.select("is_new", F.from_json("value", log.schema).alias("row"))
+    fixed = parsed.select(
         F.col("row.common").withField("is_new", F.col("is_new")).alias("common"),
         *[F.col(f"row.{c}") for c in log.columns if c != "common"],
     )
+    return fixed.unionByName(log.where(~is_new))
 
 
 def bounces_stream(

@@ -92,6 +92,19 @@ def test_dim_versions(spark, tmp_path, rows):
     assert latest_version(spark, f"{root}/DIM_P", before=5) == 1
 
 
+def test_many_changes_are_merged_by_shuffle(spark, tmp_path, rows, monkeypatch):
+    from streamhouse.sinks import tables
+
+    root = str(tmp_path)
+    routes = spark.createDataFrame([("p", "insert", "hbase", "dim_p", "id,a", "id", None)], S.ROUTES)
+    ((table, (schema, pk)),) = create_dims(spark, root, routes).items()
+    data = [({"id": str(i), "a": "x"}, i, 0) for i in range(5)]
+    df = spark.createDataFrame(data, "data map<string,string>, position long, at long")
+    monkeypatch.setattr(tables, "MAX_FEW_CHANGES", 2)
+    upsert_dim(spark, root, table, schema, pk, df, 0)
+    assert rows(read_dim(spark, root, "dim_p")) == [(str(i), "x") for i in range(5)]
+
+
 def test_shuffles_grow_with_the_input(spark):
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     size_shuffles(spark, 0)

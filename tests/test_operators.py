@@ -331,11 +331,21 @@ def test_upsert(spark, rows):
     once = cdc.upsert(current, writes, "id", ["id", "a", "b"], F.col("at"))
     assert rows(once) == want
     assert rows(cdc.upsert(once, writes, "id", ["id", "a", "b"], F.col("at"))) == want
+    latest = cdc.latest_changes(writes, "id", ["id", "a", "b"], F.col("at"))
+    assert rows(cdc.apply_few(current, latest, "id", ["id", "a", "b"])) == want
     assert rows(cdc.upsert(None, writes, "id", ["id", "a"], F.col("at"))) == [
         ("1", "newest"), ("2", None), ("3", None),
     ]
 
 
+def test_few_changes_do_not_shuffle_the_dimension(spark, no_size_broadcast):
+    current = spark.range(1_000).select(F.col("id").cast("string").alias("id"), F.lit("x").alias("a"))
+    latest = spark.createDataFrame([("5", ("y",)), ("n", ("z",))], "id string, a struct<v:string>")
+    out = cdc.apply_few(current, latest, "id", ["id", "a"])
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.where("a <> 'x'").count() == 2 and out.count() == 1_001
+
+
 # -- wide tables ------------------------------------------------------------------------
 
 
