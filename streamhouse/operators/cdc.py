@@ -58,23 +58,24 @@ def route(cdc: DataFrame, routes: DataFrame) -> DataFrame:
     ``data`` keeps only the columns the route lists; an empty list keeps all.
     """
     typed = cdc.withColumn("type", normalise_type(F.col("type")))
+    # The column list is split once per route, not once per record.
+    keeps_all = F.coalesce("sink_columns", F.lit("")) == ""
     known = routes.where(F.col("sink_type").isin(C.SINK_DIM, C.SINK_FACT)).select(
         F.col("source_table").alias("table"),
         F.col("operate_type").alias("type"),
         "sink_type",
         "sink_table",
-        "sink_columns",
         "sink_pk",
+        F.when(~keeps_all, F.split("sink_columns", ",")).alias("__listed"),
     )
-    return typed.join(known, ["table", "type"]).withColumn("data", prune(F.col("data")))
+    routed = typed.join(known, ["table", "type"])
+    return routed.withColumn("data", prune(F.col("data"), F.col("__listed"))).drop("__listed")
 
 
-def prune(data: Column, sink_columns: str = "sink_columns") -> Column:
-    listed = F.split(F.col(sink_columns), ",")
-    keep_all = F.coalesce(F.col(sink_columns), F.lit("")) == ""
-    return F.when(keep_all, data).otherwise(
-        F.map_filter(data, lambda k, _: F.array_contains(listed, k))
-    )
+def prune(data: Column, listed: Column) -> Column:
+    """Entries of ``data`` whose key is in ``listed``; all of them if ``listed`` is null."""
+    kept = F.map_filter(data, lambda k, _: F.array_contains(listed, k))
+    return F.when(listed.isNull(), data).otherwise(kept)
 
 
 def split_routed(routed: DataFrame) -> Routed:

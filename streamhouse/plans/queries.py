@@ -64,8 +64,8 @@ def cdc_clean(t: Inputs) -> DataFrame:
 
 
 def cdc_route(t: Inputs) -> DataFrame:
-    facts, dims = cdc.split_routed(_routed(t))
-    return facts.unionByName(dims).select(
+    """Facts and dimensions in one pass, told apart by their sink type."""
+    return _routed(t).select(
         "table", "type", "sink_type", "sink_table", F.col("data")[F.col("sink_pk")].alias("pk")
     )
 
