@@ -15,6 +15,7 @@ from streamhouse.plans import jobs
 from streamhouse.sinks.tables import StatsSink
 from streamhouse.sources.tables import find_in_dim, read_dim, write_version
 from streamhouse.sources.topics import Bus, read_topic
+from streamhouse.streaming.processors import bounces_stream
 from streamhouse.streaming.runner import late_rows, start_console
 
 BASE = 1_700_000_000_000
@@ -297,3 +298,50 @@ def test_repeated_batches_change_nothing(house, feed, log, rows):
     again = replace(house, checkpoints=f"{house.checkpoints}-again")
     finish(jobs.unique_visit(again))
     assert rows(topic(house, C.TOPIC_UNIQUE_VISIT, S.PAGE_LOG), "common.mid", "ts") == once
+
+
+def test_restart_goes_on_where_it_stopped(house, feed, log, rows):
+    day = 24 * 3600 * 1000
+    feed(house.bus.folder, C.TOPIC_PAGE, [log("a", BASE), log("b", BASE + 1)])
+    finish(jobs.unique_visit(house))
+    feed(house.bus.folder, C.TOPIC_PAGE, [log("a", BASE + 5), log("b", BASE + day), log("c", BASE + 6)])
+    finish(jobs.unique_visit(house))
+    assert rows(topic(house, C.TOPIC_UNIQUE_VISIT, S.PAGE_LOG), "common.mid", "ts") == [
+        ("a", BASE), ("b", BASE + 1), ("b", BASE + day), ("c", BASE + 6),
+    ]
+
+
+def test_first_day_survives_a_restart(house, feed, log, rows):
+    day = 24 * 3600 * 1000
+    feed(house.bus.folder, C.TOPIC_RAW_LOG, [log("a", BASE), log("old", BASE, is_new="0")])
+    finish(jobs.split_log(house))
+    feed(house.bus.folder, C.TOPIC_RAW_LOG, [log("a", BASE + day), log("old", BASE + day)])
+    finish(jobs.split_log(house))
+    page = topic(house, C.TOPIC_PAGE, S.PAGE_LOG)
+    assert rows(page, "common.mid", "ts", "common.is_new") == [
+        ("a", BASE, "1"), ("a", BASE + day, "0"), ("old", BASE, "0"), ("old", BASE + day, "1"),
+    ]
+
+
+def test_bounces_with_disorder_across_files(house, feed, log, logs_of, rows):
+    """Rows up to the delay late, spread over files, give the batch result."""
+    chance = random.Random(11)
+    records = []
+    for mid in "abcd":
+        ts = BASE
+        for _ in range(30):
+            ts += chance.choice([300, 3_000, 9_999, 10_000, 25_000])
+            records.append(log(mid, ts, last=chance.choice([None, "home"])))
+    # Each record arrives up to 15 seconds after its time.
+    records.sort(key=lambda r: r["ts"] + chance.randrange(15_000))
+    for i in range(0, len(records), 20):
+        feed(house.bus.folder, C.TOPIC_PAGE, records[i : i + 20])
+    feed(house.bus.folder, C.TOPIC_PAGE, [log("end", LATER)])
+    log_stream = house.records(C.TOPIC_PAGE, S.PAGE_LOG)
+    bounced = bounces_stream(log_stream, delay="20 seconds")
+    out = bounced.select(F.lit("bounced").alias("topic"), "value")
+    finish(house.start_topics("bounced", out))
+    want = visits.bounces(logs_of(records))
+    assert rows(topic(house, "bounced", S.PAGE_LOG), "common.mid", "ts") == rows(
+        want, "common.mid", "ts"
+    )
