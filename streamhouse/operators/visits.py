@@ -44,9 +44,12 @@ def bounces(page_log: DataFrame, within_ms: int = BOUNCE_MS, slot_ms: int | None
     breaks it, so neither leaves a bounce.
     """
     device = page_log.withColumn("__mid", F.col("common.mid"))
-    # Of rows at the same millisecond only the last can bounce. Copies are dropped in the map
-    # tasks, so that a slot of a device holds at most one row per millisecond.
-    last = first_per_key(device, ["__mid", "ts"], [F.desc("page.page_id")])
+    # Of rows at the same millisecond, session starts coming first, only the last can bounce.
+    # The others are dropped in the map tasks, so that a slot of a device holds at most one
+    # row per millisecond.
+    last = first_per_key(
+        device, ["__mid", "ts"], [is_session_start().asc(), F.desc("page.page_id")]
+    )
     reached = with_neighbour(
         last,
         key=F.col("__mid"),

@@ -60,7 +60,8 @@ class BounceWait(StatefulProcessor):
 
     def _settle(self, watermark: int) -> Iterator[Row]:
         """Emit the bounces that are certain, keep the rows that may still be continued."""
-        rows = sorted(self.pending.get(), key=lambda r: (r[0], r[1] or ""))
+        # Session starts come first among rows of the same millisecond.
+        rows = sorted(self.pending.get(), key=lambda r: (r[0], not r[2], r[1] or ""))
         decided = [r for r in rows if r[0] + self.within_ms <= watermark]
         waiting = rows[len(decided) :]
         if waiting:

@@ -207,6 +207,7 @@ def test_bounce_edges(log, logs_of, rows):
             log("nopage", BASE), log("nopage", BASE + 1_000, page_id=None, last="home"),
             log("same", BASE), log("same", BASE),
             log("inner", BASE, last="home"),
+            log("tied", BASE), log("tied", BASE, last="home"),
         ]
     )
     assert rows(visits.bounces(df), "common.mid", "ts") == [
