@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamhouse.llm import divergence
+from streamhouse.llm import divergence, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,5 +19,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op9_quality_rules,)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op9_quality_rules, op10_simhash)}
 SQL: dict[str, str] = {}
