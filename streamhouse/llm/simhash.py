@@ -79,7 +79,8 @@ def close(fp: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded = np.zeros(blocks * 64, np.uint64)
     padded[:n] = fp
     bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    planes = np.packbits(bits.T.reshape(64, blocks, 64), axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+    packed = np.packbits(bits.T.reshape(64, blocks, 64), axis=2, bitorder="little")
+    planes = np.ascontiguousarray(packed).view(np.uint64)[:, :, 0]
     last = np.searchsorted(group, group, side="right") - 1  # of the same group
     row = np.arange(n)
     count = np.where(last > row, last // 64 - row // 64 + 1, 0)
