@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from streamhouse.llm import divergence, licenses, repeats, simhash, weak_labels
+from streamhouse.llm import divergence, licenses, pieces, repeats, simhash, weak_labels
 
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -23,6 +25,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_labels.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    found = pieces.encode(table(spark, sf_dir, "documents"), pieces.load(vocabulary))
+    return found.select("doc_id", "n_pieces", F.sha2("ids", 256).alias("ids_sha256"), "score", "second_score", "round_trip")
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"))
 
@@ -35,5 +42,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_license_scan, op4_quality_classifier, op7_suffix_array_dedup, op9_quality_rules, op10_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_license_scan, op4_quality_classifier, op5_sentencepiece, op7_suffix_array_dedup, op9_quality_rules, op10_simhash)}
 SQL: dict[str, str] = {}
