@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamhouse.llm import divergence, licenses, pieces, repeats, simhash, weak_labels
+from streamhouse.llm import decontamination, divergence, licenses, pieces, repeats, simhash, weak_labels
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABU
     return found.select("doc_id", "n_pieces", F.sha2("ids", 256).alias("ids_sha256"), "score", "second_score", "round_trip")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_license_scan, op4_quality_classifier, op5_sentencepiece, op7_suffix_array_dedup, op9_quality_rules, op10_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_license_scan, op4_quality_classifier, op5_sentencepiece, op6_decontamination, op7_suffix_array_dedup, op9_quality_rules, op10_simhash)}
 SQL: dict[str, str] = {}
