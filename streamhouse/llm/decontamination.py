@@ -3,8 +3,7 @@
 1. Passage frequencies of hashed words over all documents give the idf weights.
 2. A distributed randomised SVD (random projection, power iterations, QR) of the benchmark's TF-IDF rows gives a latent
    space of RANK dimensions. It is fitted on all items of a block, which are what is searched for.
-3. Every document is cut into overlapping windows of a few lengths; their latent vectors are differences of prefix sums.
-   Windows whose cosine with an item of that length class reaches CANDIDATE are candidates. A window's
+3. Every document is cut into overlapping windows of a few lengths, whose latent vectors are sums over their words. Windows whose cosine with an item of that length class reaches CANDIDATE are candidates. A window's
    share of idf energy in the items' words, and then its length in the latent space, bound its cosines, so most windows are
    left before they meet any item.
 4. Around a candidate the longest common subsequence of words decides: COPY of the item's words, or PARAPHRASE of them and
@@ -108,10 +107,14 @@ def latent(items: DataFrame, idf: np.ndarray) -> np.ndarray:
         z = np.zeros((TERMS, RANK + OVERSAMPLE))
         for row in items.select("text").coalesce(4).mapInArrow(partial(projected, idf, basis, 7), "term bigint, vector binary").toLocalIterator():
             z[row["term"]] += np.frombuffer(row["vector"])
-        basis = np.linalg.qr(z)[0] if z.any() else z
-        basis[~z.any(axis=1)] = 0
-    small = np.linalg.svd(z.T @ basis)[0] if z.any() else np.eye(RANK + OVERSAMPLE)
-    return (basis @ small)[:, :RANK]
+        some = np.flatnonzero(z.any(axis=1))  # the items' own terms
+        basis = np.zeros_like(z)
+        if len(some):
+            q = np.linalg.qr(z[some])[0]
+            basis[some, : q.shape[1]] = q
+            turn = np.linalg.svd(z[some].T @ q)[2].T  # main directions first
+            basis[some, : q.shape[1]] = q @ turn
+    return basis[:, :RANK]
 
 
 @dataclass
@@ -185,8 +188,6 @@ def searched(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         np.cumsum(energy, out=square[1:])
         np.cumsum(np.where(own >= 0, energy, 0), out=known[1:])
         np.cumsum(own >= 0, out=place[1:])
-        prefix = np.zeros((len(live) + 1, x.vectors.shape[1]), np.float32)
-        np.cumsum(x.vectors[own[live]], axis=0, out=prefix[1:], dtype=np.float32)
         best: dict[tuple[int, int], tuple] = {}
         for length in np.unique(x.lengths).tolist():
             step = max(length // 4, 1)
@@ -197,9 +198,12 @@ def searched(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             a, b = place[start], place[stop]
             some = np.flatnonzero((b > a) & (known[stop] - known[start] >= CANDIDATE**2 * (square[stop] - square[start])))
             which = np.flatnonzero(x.lengths == length)
-            for k in range(0, len(some), 8192):
-                at = some[k : k + 8192]
-                vector = prefix[b[at]] - prefix[a[at]]
+            for k in range(0, len(some), 4096):
+                at = some[k : k + 4096]
+                size = b[at] - a[at]
+                until = np.cumsum(size)
+                own_words = live[np.arange(until[-1]) + np.repeat(a[at] - until + size, size)]
+                vector = np.add.reduceat(x.vectors[own[own_words]], until - size, axis=0)
                 size = np.sqrt(np.maximum(square[stop[at]] - square[start[at]], 1e-9))
                 near = np.sqrt((vector**2).sum(axis=1)) >= CANDIDATE * size
                 at, vector, size = at[near], vector[near], size[near]
