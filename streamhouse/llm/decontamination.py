@@ -3,7 +3,8 @@
 1. Passage frequencies of hashed words over all documents give the idf weights.
 2. A distributed randomised SVD (random projection, power iterations, QR) of the benchmark's TF-IDF rows gives a latent
    space of RANK dimensions. It is fitted on all items of a block, which are what is searched for.
-3. Every document is cut into overlapping windows of a few lengths, whose latent vectors are sums over their words. Windows whose cosine with an item of that length class reaches CANDIDATE are candidates. A window's
+3. Every document is cut into overlapping windows of a few lengths, whose latent vectors are
+   sums over their words. Windows whose cosine with an item of that length class reaches CANDIDATE are candidates. A window's
    share of idf energy in the items' words, and then its length in the latent space, bound its cosines, so most windows are
    left before they meet any item.
 4. Around a candidate the longest common subsequence of words decides: COPY of the item's words, or PARAPHRASE of them and
@@ -35,10 +36,10 @@ PASSAGE = 64
 RANK, OVERSAMPLE, POWER = 192, 16, 2
 ITEMS = 1_024
 SHORTEST = 5
-CANDIDATE = 0.45
+CANDIDATE = 0.5
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 #: Terms in more than this share of passages are left out of the latent space.
-COMMON_SHARE = 0.05
+COMMON_SHARE = 0.01
 
 
 def terms(texts: list[bytes]) -> tuple[words.Chunk, np.ndarray, np.ndarray]:
@@ -176,6 +177,7 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 def searched(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of documents and items."""
     x: Index = sent.value
+    padded = np.concatenate([x.vectors, np.zeros((1, RANK), np.float32)])
     for part, texts in words.slices(batches):
         c, h, term = terms(texts)
         n = len(h)
@@ -198,12 +200,11 @@ def searched(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             a, b = place[start], place[stop]
             some = np.flatnonzero((b > a) & (known[stop] - known[start] >= CANDIDATE**2 * (square[stop] - square[start])))
             which = np.flatnonzero(x.lengths == length)
-            for k in range(0, len(some), 4096):
-                at = some[k : k + 4096]
-                size = b[at] - a[at]
-                until = np.cumsum(size)
-                own_words = live[np.arange(until[-1]) + np.repeat(a[at] - until + size, size)]
-                vector = np.add.reduceat(x.vectors[own[own_words]], until - size, axis=0)
+            for k in range(0, len(some), 1024):
+                at = some[k : k + 1024]
+                size = (b[at] - a[at])[:, None]
+                pad = np.arange(size.max())
+                vector = padded[np.where(pad < size, own[live[np.minimum(a[at][:, None] + pad, len(live) - 1)]], len(x.vectors))].sum(axis=1)
                 size = np.sqrt(np.maximum(square[stop[at]] - square[start[at]], 1e-9))
                 near = np.sqrt((vector**2).sum(axis=1)) >= CANDIDATE * size
                 at, vector, size = at[near], vector[near], size[near]
