@@ -12,7 +12,7 @@ Every byte that a string of LENGTH bytes covers goes if that string starts anywh
    128-bit hashes instead, pre-aggregated, so no task holds them.
 
 Whole segments are compared by 128-bit hashes, strings within them by their bytes. Memory of a task: BATCH_BYTES of segments
-(about 100 times that in arrays), or one text.
+(about 200 times that in arrays), or one text.
 
 Defined cases: null text is empty; texts below LENGTH bytes lose nothing; rows with the same id and text repeat each other,
 and each has its own row; an empty table gives no rows; other columns are ignored.
@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from streamhouse.llm import words
 
 LENGTH, GRAM = 400, 200
-BUCKET = 1_000
-BATCH_BYTES = 1 << 20
+BUCKET = 400
+BATCH_BYTES = 1 << 18
+SLICE_BYTES = 1 << 20
 POSITION = np.uint64((1 << 30) - 1)
 KEY = ["doc_id", "text_hash"]
 
@@ -45,9 +46,13 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     n = len(data) - GRAM + 1
     if n < LENGTH - GRAM + 1:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
-    at = np.arange(n)
-    gram = words.Hasher(data).spans(at, at + GRAM)
-    low = (gram & ~POSITION) | at.astype(np.uint64)
+    hasher = words.Hasher(data)
+    gram = hasher.prefix[GRAM:] - hasher.prefix[:-GRAM]
+    gram *= hasher.down[:n]
+    gram = words.mix(gram)
+    del hasher
+    low = gram & ~POSITION
+    low |= np.arange(n, dtype=np.uint64)
     width = 1
     while 2 * width <= LENGTH - GRAM + 1:
         low = np.minimum(low[: len(low) - width], low[width:])
@@ -72,7 +77,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in words.slices(batches):
+    for part, texts in words.slices(batches, limit=SLICE_BYTES):
         doc, gram, first, end, full, more = anchors(texts)
         ids = [part.column(k).take(pa.array(doc)) for k in KEY]
         yield pa.RecordBatch.from_arrays([*ids, pa.array(gram), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(full), pa.array(more)], [*KEY, "gram", "first", "end", "full", "more"])
