@@ -53,7 +53,7 @@ def fingerprint(text: bytes) -> int:
 def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in words.slices(batches):
         x = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(x)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(x)], ["doc_id", "text_hash", "fp"])
 
 
 def masks(level: int) -> list[int]:
@@ -185,15 +185,33 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id: a row per document."""
+def classes(documents: DataFrame) -> DataFrame:
+    """doc_id, text_hash, fp, label (of the component), component_id: a row per document."""
     words.ship(documents.sparkSession)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    slim = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    own = words.checkpointed(slim.mapInArrow(fingerprinted, f"doc_id {kind}, fp bigint"))
+    text = F.col("text").cast("string")
+    slim = documents.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    own = words.checkpointed(slim.mapInArrow(fingerprinted, f"doc_id {kind}, text_hash bigint, fp bigint"))
     prints = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     labels = components(links(prints.select("fp")))
     members = prints.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     ids = members.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = members.join(ids, "label").select("fp", "component_id")
-    return own.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return own.join(members.join(ids, "label").select("fp", "label", "component_id"), "fp")
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id: a row per document."""
+    return classes(documents).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The documents' columns; of each component the row with the smallest id (null last), of equal ids that of the smallest
+    text hash, of equal rows one."""
+    first = classes(documents).groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("one")).select("one.*")
+    own, hashed = documents.alias("d"), F.xxhash64(F.col("d.text").cast("string"))
+    kept = own.join(first.distinct().alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (hashed == F.col("f.text_hash")), "left_semi")
+    # Rows of equal id and text are in one component. Only ids with several such rows meet again.
+    keys = kept.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    if keys.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.withColumn("_hash", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
