@@ -4,7 +4,8 @@
 2. A distributed randomised SVD (random projection, power iterations, QR) of the benchmark's TF-IDF rows gives a latent
    space of RANK dimensions. It is fitted on all items of a block, which are what is searched for.
 3. Every document is cut into overlapping windows of a few lengths, whose latent vectors are
-   sums over their words. Windows whose cosine with an item of that length class reaches CANDIDATE are candidates. A window's
+   sums over their words. Windows whose cosine with an item of that length class reaches CANDIDATE of what
+   the latent space holds of the item are candidates. A window's
    share of idf energy in the items' words, and then its length in the latent space, bound its cosines, so most windows are
    left before they meet any item.
 4. Around a candidate the longest common subsequence of words decides: COPY of the item's words, or PARAPHRASE of them and
@@ -33,19 +34,19 @@ from streamhouse.llm import words
 
 TERMS = 1 << 16
 PASSAGE = 64
-RANK, OVERSAMPLE, POWER = 192, 16, 2
-ITEMS = 1_024
+RANK, OVERSAMPLE, POWER = 256, 16, 2
+ITEMS = 512
 SHORTEST = 5
-CANDIDATE = 0.5
+CANDIDATE, LEAST = 0.5, 0.1
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 #: Terms in more than this share of passages are left out of the latent space.
 COMMON_SHARE = 0.01
 
 
 def terms(texts: list[bytes]) -> tuple[words.Chunk, np.ndarray, np.ndarray]:
-    """Words, their hashes (lower case), and the terms that these fall into."""
-    c = words.chunk(texts, words.ALNUM)
-    h = words.Hasher(words.LOWER[c.data]).spans(c.starts, c.ends)
+    """Words in lower case (of any script), their hashes, and the terms that these fall into."""
+    c = words.chunk([t.lower() if t.isascii() else t.decode().lower().encode() for t in texts], words.ALNUM)
+    h = words.Hasher(c.data).spans(c.starts, c.ends)
     return c, h, (h % np.uint64(TERMS)).astype(np.int64)
 
 
@@ -77,7 +78,15 @@ def weights(documents: DataFrame) -> np.ndarray:
     return idf
 
 
-def projected(idf: np.ndarray, basis: np.ndarray | None, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@dataclass
+class Basis:
+    """Vectors of the items' own terms (sorted); all other terms have zero."""
+
+    terms: np.ndarray
+    vectors: np.ndarray
+
+
+def projected(idf: np.ndarray, basis: Basis | None, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The task's share of A^T (A X), for TF-IDF rows A and X the basis, or Gaussian where there is none: a row per term."""
     out: dict[int, np.ndarray] = {}
     for _, texts in words.slices(batches):
@@ -89,11 +98,11 @@ def projected(idf: np.ndarray, basis: np.ndarray | None, seed: int, batches: Ite
             if norm == 0:
                 continue
             row = row / norm
-            x = np.stack([gauss(seed, t) for t in own]) if basis is None else basis[own]
+            own, row = own[row > 0], row[row > 0]
+            x = np.stack([gauss(seed, t) for t in own]) if basis is None else basis.vectors[np.searchsorted(basis.terms, own)]
             y = row @ x
             for t, w in zip(own.tolist(), row.tolist(), strict=True):
-                if w:
-                    out[t] = out[t] + w * y if t in out else w * y
+                out[t] = out.get(t, 0) + w * y
     yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([v.tobytes() for v in out.values()], pa.binary())], ["term", "vector"])
 
 
@@ -101,21 +110,20 @@ def gauss(seed: int, term: int) -> np.ndarray:
     return np.random.default_rng((seed, int(term))).standard_normal(RANK + OVERSAMPLE)
 
 
-def latent(items: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """Orthonormal basis (terms, RANK) of the space that the items' TF-IDF rows mostly lie in."""
+def latent(items: DataFrame, idf: np.ndarray) -> Basis:
+    """Orthonormal basis, of RANK vectors at most, of the space that the items' TF-IDF rows mostly lie in."""
     basis = None
     for _ in range(1 + POWER):
-        z = np.zeros((TERMS, RANK + OVERSAMPLE))
+        sums: dict[int, np.ndarray] = {}
         for row in items.select("text").coalesce(4).mapInArrow(partial(projected, idf, basis, 7), "term bigint, vector binary").toLocalIterator():
-            z[row["term"]] += np.frombuffer(row["vector"])
-        some = np.flatnonzero(z.any(axis=1))  # the items' own terms
-        basis = np.zeros_like(z)
-        if len(some):
-            q = np.linalg.qr(z[some])[0]
-            basis[some, : q.shape[1]] = q
-            turn = np.linalg.svd(z[some].T @ q)[2].T  # main directions first
-            basis[some, : q.shape[1]] = q @ turn
-    return basis[:, :RANK]
+            sums[row["term"]] = sums.get(row["term"], 0) + np.frombuffer(row["vector"])
+        own = np.array(sorted(sums), np.int64)
+        if not len(own):
+            return Basis(own, np.zeros((0, RANK)))
+        z = np.stack([sums[t] for t in own.tolist()])
+        q = np.linalg.qr(z)[0]
+        basis = Basis(own, q @ np.linalg.svd(z.T @ q)[2].T)  # main directions first
+    return Basis(basis.terms, basis.vectors[:, :RANK])
 
 
 @dataclass
@@ -134,15 +142,16 @@ class Index:
     """Latent vectors of length 1."""
     lengths: np.ndarray
     """Window length of each item's class."""
+    bounds: np.ndarray
+    """Least cosine of a candidate: CANDIDATE of the share of the item that the latent space holds."""
 
 
-def index(items: list[tuple], idf: np.ndarray, basis: np.ndarray) -> Index:
-    live = np.flatnonzero(basis.any(axis=1) & (idf > 0))
+def index(items: list[tuple], idf: np.ndarray, basis: Basis) -> Index:
     row = np.full(TERMS, -1, np.int32)
-    row[live] = np.arange(len(live))
-    vectors = (idf[live, None] * basis[live]).astype(np.float32)
-    found = Index(idf.astype(np.float32), row, vectors, [], [], [], np.zeros((0, RANK), np.float32), np.zeros(0, np.int64))
-    queries, lengths = [], []
+    row[basis.terms] = np.arange(len(basis.terms))
+    vectors = (idf[basis.terms, None] * basis.vectors).astype(np.float32)
+    found = Index(idf.astype(np.float32), row, vectors, [], [], [], np.zeros((0, vectors.shape[1]), np.float32), np.zeros(0, np.int64), np.zeros(0))
+    queries, lengths, bounds = [], [], []
     for item, text in items:
         text = (text or "").encode()
         _, h, term = terms([text])
@@ -154,10 +163,13 @@ def index(items: list[tuple], idf: np.ndarray, basis: np.ndarray) -> Index:
         found.ids.append(item)
         found.hashes.append(h)
         found.answers.append(terms([sentences[-1]])[1] if sentences else h)
-        queries.append(q / np.sqrt((q**2).sum()))
+        length = np.sqrt((q**2).sum())
+        queries.append(q / length)
+        bounds.append(max(LEAST, CANDIDATE * length / np.sqrt((idf[term] ** 2).sum())))
         lengths.append(8 * 2 ** (np.ceil(2 * np.log2(max(len(h), 8) / 8)) / 2))  # half powers of two
     if queries:
         found.queries, found.lengths = np.stack(queries).astype(np.float32), np.array(lengths).astype(np.int64)
+        found.bounds = np.array(bounds)
     return found
 
 
@@ -177,7 +189,7 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 def searched(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of documents and items."""
     x: Index = sent.value
-    padded = np.concatenate([x.vectors, np.zeros((1, RANK), np.float32)])
+    padded = np.concatenate([x.vectors, np.zeros((1, x.vectors.shape[1]), np.float32)])
     for part, texts in words.slices(batches):
         c, h, term = terms(texts)
         n = len(h)
@@ -206,10 +218,10 @@ def searched(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 pad = np.arange(size.max())
                 vector = padded[np.where(pad < size, own[live[np.minimum(a[at][:, None] + pad, len(live) - 1)]], len(x.vectors))].sum(axis=1)
                 size = np.sqrt(np.maximum(square[stop[at]] - square[start[at]], 1e-9))
-                near = np.sqrt((vector**2).sum(axis=1)) >= CANDIDATE * size
+                near = np.sqrt((vector**2).sum(axis=1)) >= x.bounds[which].min() * size
                 at, vector, size = at[near], vector[near], size[near]
                 score = (vector @ x.queries[which].T) / size[:, None]
-                for w, j in zip(*np.nonzero(score >= CANDIDATE), strict=True):
+                for w, j in zip(*np.nonzero(score >= x.bounds[which]), strict=True):
                     item, doc = int(which[j]), int(of[at[w]])
                     size_ = len(x.hashes[item])
                     region = h[max(begin[doc], start[at[w]] - size_ // 2) : min(end[doc], stop[at[w]] + size_ // 2)]
