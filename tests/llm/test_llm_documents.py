@@ -1,0 +1,350 @@
+"""Operators on documents against brute force, on small tables with nulls, repeats, ties, long and empty texts."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from streamhouse.llm import decontamination, divergence, licenses, pieces, repeats, secret_scan, simhash, weak_labels
+
+SPACED = r"[^\x20\x09-\x0D]+"
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, label string"
+
+
+def texts() -> list[tuple]:
+    r = random.Random(3)
+    vocabulary = ["the", "of", "Ñandú", "été", "x1", "MIT", "license,", "cc-by", "apache", "License", "gnu", "General", "public", "**", "#a|b", "İk"]
+    core = " ".join(r.choices(vocabulary, k=150))
+    rows = [(1, None), (2, ""), (3, " \n\t"), (None, core), (5, core), (5, core), (6, core + " tail"), (7, core.replace("the", "thé", 1))]
+    rows += [(8, "word " * 3000), (9, "a" * 3000), (10, "GNU General Public License\nApache License cc by cc by"), (11, "spam spam\nspam spam\n\nspam"), (12, "tail \n" * 4)]
+    rows += [(20 + i, " ".join(r.choices(vocabulary, k=r.randint(0, 120))) + r.choice(["", "\n", "!! "])) for i in range(40)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    rows = [(i, t, "en" if (i or 0) % 3 else None, "s", len(t or ""), "own", "own") for i, t in texts()]
+    return spark.createDataFrame(rows, SCHEMA).repartition(5).cache()
+
+
+@pytest.fixture
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def same(df, expected, columns):
+    key = lambda row: tuple((v is None, v if v is not None else 0) for v in row)
+    assert sorted((tuple(r) for r in df.select(*columns).collect()), key=key) == sorted(expected, key=key)
+
+
+def test_license_scan(documents, empty):
+    expected = []
+    for i, t in texts():
+        w = re.findall(ALNUM, (t or "").translate(LOWER))
+        at = {p: [k for k in range(len(w)) if w[k : k + len(p.split())] == p.split()] for p in licenses.BASE}
+        every = sorted(k for v in at.values() for k in v)
+        expected.append((i, len(w), len(every), every[0] if every else None, every[-1] if every else None, ",".join(sorted(licenses.BASE[p] for p, v in at.items() if v))))
+    found = licenses.scan(documents)
+    same(found, expected, ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"])
+    assert found.filter("score < 0 or score > 1").count() == 0
+    for row in found.collect():
+        assert set(filter(None, row.base_labels.split(","))) <= set(row.labels.split(","))
+        spans = [(s.first, s.last) for s in row.spans]
+        assert not any(a != b and a[0] <= b[0] and b[1] <= a[1] for a in spans for b in spans)
+    assert licenses.scan(empty).count() == 0
+
+
+def test_license_suppression(spark):
+    df = spark.createDataFrame([(1, "Licensed under CC BY-NC 4.0."), (2, "SPDX-License-Identifier: Apache-2.0"), (3, "Apache License, Version 2.0 or later")], "doc_id long, text string")
+    found = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert found[1].labels == "cc-by,cc-by-nc" and [s.label for s in found[1].spans] == ["cc-by-nc", "cc-by-nc"]
+    assert found[2].labels == "apache" and found[2].score == 1.0
+    assert len(found[3].spans) == 1
+    assert len(licenses.rules()) > 200
+
+
+def test_quality_rules(documents, empty):
+    expected = []
+    for i, t in texts():
+        t = t or ""
+        w = re.findall(SPACED, t)
+        lines = [x for x in t.split("\n") if re.search(SPACED, x)]
+        grams = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        covered = {k + d for k in range(len(w) - 4) if grams[tuple(w[k : k + 5])] > 1 for d in range(5)}
+        failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
+        expected.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), failed))
+    found = divergence.quality_rules(documents)
+    same(found, expected, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"])
+    assert found.filter("base_failed and kept").count() == 0
+    assert divergence.quality_rules(empty).count() == 0
+
+
+def test_distance(spark):
+    def plain(p, q):
+        p, q = np.array(p) / sum(p), np.array(q) / sum(q)
+        m = (p + q) / 2
+        kl = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m, strict=True) if x)
+        return np.sqrt((kl(p) + kl(q)) / 2)
+
+    rows = [([1, 2, 3], [3, 2, 1]), ([5, 0, 0], [0, 0, 5]), ([1, 1, 1], [2, 2, 2])]
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").select("a", "b", divergence.distance(F.col("a"), F.col("b")).alias("d"))
+    for r in df.collect():
+        assert r.d == pytest.approx(plain(r.a, r.b), abs=1e-9)
+    assert spark.createDataFrame([([0, 0], [1, 1])], "a array<bigint>, b array<bigint>").select(divergence.distance(F.col("a"), F.col("b"))).first()[0] is None
+
+
+def plain_fingerprint(text) -> int:
+    w = (text or "").encode().lower().split()
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(b" ".join(w[k : k + 3]), 42) for k in range(max(1, len(w) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def components(prints, ids):
+    label = list(range(len(prints)))
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(prints)):
+            for b in range(a):
+                if label[a] != label[b] and (prints[a] ^ prints[b]).bit_count() <= 3:
+                    label[a] = label[b] = min(label[a], label[b])
+                    changed = True
+    least = {}
+    for k, i in zip(label, ids, strict=True):
+        if i is not None:
+            least[k] = min(least.get(k, i), i)
+    return [least.get(k) for k in label]
+
+
+@pytest.mark.parametrize("bucket", [512, 2])
+def test_simhash(documents, empty, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    ids, prints = [i for i, _ in texts()], [plain_fingerprint(t) for _, t in texts()]
+    expected = [(i, f"{p:016x}", c) for i, p, c in zip(ids, prints, components(prints, ids), strict=True)]
+    same(simhash.near_duplicates(documents), expected, ["doc_id", "fingerprint", "component_id"])
+    assert simhash.near_duplicates(empty).count() == 0
+    key = lambda x: (x is None, x or 0)
+    kept = sorted((r.doc_id for r in simhash.one_of_each(documents).collect()), key=key)
+    assert kept == sorted({c for *_, c in expected}, key=key)
+
+
+def test_bit_slices():
+    r = np.random.default_rng(2)
+    base = r.integers(0, 2**63, 12, dtype=np.uint64)
+    fp = np.concatenate([base] * 20)
+    for i in range(len(fp)):
+        for _ in range(i % 5):
+            fp[i] ^= np.uint64(1) << np.uint64(r.integers(0, 64))
+    group = np.sort(np.arange(len(fp)) % 3)
+    found = set(zip(*(x.tolist() for x in simhash.close(fp, group)), strict=True))
+    expected = {(i, j) for i in range(len(fp)) for j in range(i + 1, len(fp)) if group[i] == group[j] and (int(fp[i]) ^ int(fp[j])).bit_count() <= 3}
+    assert found == expected and expected
+
+
+def test_fixed_bits_hold_every_pair():
+    r = random.Random(1)
+    for level in (2, 3):
+        fixed = simhash.masks(level)
+        for _ in range(200):
+            difference = sum(1 << b for b in r.sample(range(64), 3))
+            assert any(not m & difference for m in fixed)
+
+
+def plain_repeats(rows, size):
+    data = [(t or "").encode() for _, t in rows]
+    seen = Counter(b[k : k + size] for b in data for k in range(len(b) - size + 1))
+    out = []
+    for (i, _), b in zip(rows, data, strict=True):
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - size + 1):
+            if seen[b[k : k + size]] > 1:
+                gone[k : k + size] = True
+        runs = int((np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1).sum())
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        out.append((i, len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("bucket", [400, 2])
+def test_repeats(spark, documents, empty, monkeypatch, bucket):
+    monkeypatch.setattr(repeats, "BUCKET", bucket)
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    same(repeats.without_repeats(documents), plain_repeats(texts(), repeats.LENGTH), columns)
+    r = random.Random(4)
+    core = ["".join(r.choices("abcdé ", k=700)) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        t = "".join(r.choices("ab ", k=r.randint(0, 200)))
+        for _ in range(r.randint(0, 3)):
+            a = r.randint(0, 250)
+            t += r.choice(core)[a : a + r.randint(200, 600)] + "".join(r.choices("ab ", k=r.randint(0, 9)))
+        rows.append((i, t))
+    same(repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")), plain_repeats(rows, repeats.LENGTH), columns)
+    assert repeats.without_repeats(empty).count() == 0
+
+
+def test_open_borders():
+    r = random.Random(6)
+    for _ in range(20):
+        segments = [bytes(r.choices(b"ab", k=r.randint(400, 420))) for _ in range(3)]
+        segments.append(segments[0][: r.randint(400, len(segments[0]))])
+        seen = Counter(s[k : k + 400] for s in segments for k in range(len(s) - 399))
+        assert [f.tolist() for f in repeats.repeated(segments)] == [[seen[s[k : k + 400]] > 1 for k in range(len(s) - 399)] for s in segments]
+
+
+@pytest.fixture(scope="module")
+def segmenter():
+    return pieces.Segmenter(pieces.load(VOCABULARY))
+
+
+def every_path(s, chunk):
+    if not chunk:
+        return [(0.0, [])]
+    out = []
+    for k in range(1, len(chunk) + 1):
+        known = s.ids.get(chunk[:k])
+        first = (known[0], [known[1]]) if known else (s.unknown, [s.bytes[b] for b in chunk[0].encode()]) if k == 1 else None
+        if first:
+            out += [(first[0] + score, first[1] + ids) for score, ids in every_path(s, chunk[k:])]
+    return out
+
+
+@pytest.mark.parametrize("chunk", ["▁hello", "▁né漢a", "▁", "▁▁▁x", "\n", "ththe"])
+def test_n_best(segmenter, chunk):
+    paths = sorted(every_path(segmenter, chunk), key=lambda p: -p[0])
+    found = segmenter.n_best(chunk, 6)
+    assert [s for s, _ in found] == [s for s, _ in paths[:6]]
+    assert all((s, ids) in paths for s, ids in found)
+
+
+def test_many_chunks_at_once(segmenter):
+    chunks = {c for _, t in texts() for c in segmenter.chunks(t or "")}
+    segmenter.clear()
+    segmenter.learn(chunks)
+    learned = dict(segmenter)
+    for c, (ids, score, gap) in learned.items():
+        best, *others = segmenter.n_best(c, 2)
+        assert score == best[0] and gap == (best[0] - others[0][0] if others else float("inf"))
+        assert gap == 0 or np.frombuffer(ids, np.int32).tolist() == best[1]
+
+
+def test_encode_and_decode(documents, empty, spark):
+    table = pieces.load(VOCABULARY)
+    odd = [(100, "  two  spaces "), (101, "▁ literal ▁▁"), (102, "\n▁\t 漢"), (103, "é" * 5000)]
+    every = documents.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
+    tokens = pieces.encode(every, table).cache()
+    assert tokens.filter("not round_trip").count() == 0
+    same(pieces.decode(tokens, table), [(i, t or "") for i, t in [*texts(), *odd]], ["doc_id", "text"])
+    assert tokens.filter("second_score > score").count() == 0
+    assert pieces.encode(empty, table).count() == 0
+
+
+def test_weak_labels(spark, empty):
+    r = random.Random(5)
+    prose = "the of and to in was reon thatha erling onsted".split()
+    rows, labels = [], []
+    for i in range(400):
+        w = r.choices(prose, k=60)
+        kind = i % 8
+        if kind == 0:
+            t = " ".join(x.upper() + "!!" for x in w)
+        elif kind == 1:
+            t = " ".join([r.choice(prose[7:])] * 40)
+        elif kind == 2:
+            t = " ".join(w) + ". You idiot, stupid moron. " + " ".join(w) + "."
+        else:
+            t = ", ".join(" ".join(w[k : k + 9]) for k in range(0, 60, 9)) + "."
+        rows.append((i, t, kind))
+        labels.append((i, int(kind > 1), int(kind == 2)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind int")
+    kept = {r.doc_id: r.kept for r in weak_labels.classify(df).collect()}
+    wrong = sum(kept[i] != (kind > 2) for i, _, kind in rows)
+    assert wrong <= 8
+    told = weak_labels.classify(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert told.filter("toxicity > 0.5").count() == pytest.approx(50, abs=3)
+    assert weak_labels.classify(empty).count() == 0
+
+
+def test_weak_labels_of_edge_rows(documents):
+    assert weak_labels.classify(documents).count() == len(texts())
+
+
+def test_expectation_maximisation():
+    r = np.random.default_rng(1)
+    truth = r.random(4000) < 0.3
+    accuracy = [0.95, 0.9, 0.8, 0.7]
+    votes = np.stack([np.where(r.random(4000) < a, truth, ~truth) + 1 for a in accuracy], axis=1)
+    counts = np.bincount(weak_labels.patterns(votes), minlength=81)
+    posterior, chance = weak_labels.expectation_maximisation(counts, 4)
+    assert np.mean((posterior[weak_labels.patterns(votes)] > 0.5) == truth) > 0.95
+    for k, a in enumerate(accuracy):
+        assert chance[1, k, weak_labels.BAD] == pytest.approx(a, abs=0.05)
+
+
+def test_decontamination(spark, documents, empty):
+    r = random.Random(8)
+    vocabulary = ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(4000)]
+    items = [(k, " ".join(r.choices(vocabulary, k=r.randint(12, 60))) + ".") for k in range(30)] + [(90, None), (91, "too short")]
+    rows, expected = [], set()
+    for i in range(200):
+        w = r.choices(vocabulary, k=r.randint(0, 400))
+        if i % 4 == 0:
+            k = i // 4 % 30
+            own = items[k][1].upper().split() if i % 8 else items[k][1].split()
+            if i % 12 == 0:
+                own[3:3] = ["extra", "words"]
+            at = r.randint(0, len(w))
+            w[at:at] = own
+            expected.add((i, k))
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame([*rows, (500, None), (501, "")], "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontamination.leaks(df, benchmark).collect()}
+    assert found == expected
+    assert decontamination.leaks(empty, benchmark).count() == 0
+    assert decontamination.leaks(df, benchmark.limit(0)).count() == 0
+
+
+def test_common_subsequence():
+    r = random.Random(2)
+    for _ in range(100):
+        a, b = (np.array(r.choices(range(6), k=r.randint(0, 30)), np.uint64) for _ in range(2))
+        d = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                d[i + 1, j + 1] = d[i, j] + 1 if a[i] == b[j] else max(d[i, j + 1], d[i + 1, j])
+        assert decontamination.common(a, b) == d[-1, -1]
+
+
+def test_secret_scan(spark, documents, empty):
+    secret = hashlib.sha1(b"x").hexdigest()
+    rows = [(200 + i, f"é the of and password={hashlib.md5(str(i).encode()).hexdigest()[:18]} in that, token = \"{secret}\" to") for i in range(20)]
+    rows += [(300, "commit 6cfd1f1f244d4c4c327ecfd8fd9898497c475388 of the tree"), (301, "see src/the/that/with2 and tel 4917085256960696")]
+    every = documents.select("doc_id", "text", "lang", "source", "n_chars", "spans", "label")
+    more = spark.createDataFrame([(i, t, "en", "s", len(t), "own", "own") for i, t in rows], SCHEMA)
+    df = every.unionByName(more)
+    kept = secret_scan.findings(df).filter("kept")
+    by = Counter(r.doc_id for r in kept.collect())
+    assert by == {200 + i: 2 for i in range(20)}
+    clean = {r.doc_id: r for r in secret_scan.redact(df).collect()}
+    assert clean[200].text == 'é the of and password=<SECRET> in that, token = "<SECRET>" to' and clean[200].n_secrets == 2
+    assert clean[1].text is None and clean[301].text == rows[-1][1] and clean[5].spans == "own"
+    assert secret_scan.redact(df).count() == df.count()
+    assert secret_scan.findings(empty).count() == 0 and secret_scan.redact(empty).count() == 0
+
+
+def test_secret_scan_stays_in_the_jvm(documents):
+    for df in (secret_scan.findings(documents), licenses.scan(documents)):
+        assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().executedPlan().toString())
