@@ -29,6 +29,8 @@ TRAIN_ROWS = 16_000
 HASHED = 1 << 14
 EPOCHS = 8
 STEM_BYTES = 4
+#: Marks of style per document; they follow its words.
+MARKS = 12
 ROUNDS = 60
 NONE, GOOD, BAD = 0, 1, 2
 QUESTIONS = ("quality", "toxicity")
@@ -163,21 +165,28 @@ def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, kind, value, s = features(texts)
         ends = np.cumsum(np.bincount(of, minlength=part.num_rows))[:-1]
         q, t = (patterns(v) for v in votes(s))
-        lists = [pa.array([x.tobytes() for x in np.split(column, ends)], pa.binary()) for column in (kind.astype(np.int32), value.astype(np.float32))]
-        yield pa.RecordBatch.from_arrays([*lists, pa.array(q), pa.array(t), part.column("toxic")], ["kinds", "shares", *QUESTIONS, "toxic"])
+        lists = pa.array([x.tobytes() for x in np.split(kind.astype(np.uint16), ends)], pa.binary())
+        yield pa.RecordBatch.from_arrays([lists, pa.array(q), pa.array(t), part.column("toxic")], ["kinds", *QUESTIONS, "toxic"])
+
+
+def inputs_of(kinds: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Features and values of a sampled document, as features() has them, and the bias."""
+    kinds = np.append(np.frombuffer(kinds, np.uint16).astype(np.int32), HASHED)
+    shares = np.ones(len(kinds), np.float32)
+    shares[: -MARKS - 1] = 1 / np.sqrt(max(len(kinds) - MARKS - 1, 1))
+    return kinds, shares
 
 
 def train(rows: list, posteriors: list[np.ndarray]) -> np.ndarray:
     """Weights of the two scorers, the last one of each its bias: logistic regression with adaptive steps."""
     weights = np.zeros((2, HASHED + 1))
-    inputs = [(np.append(np.frombuffer(r["kinds"], np.int32), HASHED), np.append(np.frombuffer(r["shares"], np.float32), np.float32(1))) for r in rows]
     for k, (question, posterior) in enumerate(zip(QUESTIONS, posteriors, strict=True)):
         w, seen = weights[k], np.full(HASHED + 1, 1e-6)
         told = [r["toxic"] if question == "toxicity" and r["toxic"] is not None else posterior[r[question]] for r in rows]
-        data = [(*x, y) for x, y in zip(inputs, told, strict=True) if abs(y - 0.5) > 0.2]
+        data = [(r["kinds"], y) for r, y in zip(rows, told, strict=True) if abs(y - 0.5) > 0.2]
         for epoch in range(EPOCHS):
             for i in np.random.default_rng(epoch).permutation(len(data)):
-                kinds, shares, y = data[i]
+                (kinds, shares), y = inputs_of(data[i][0]), data[i][1]
                 slope = (1 / (1 + np.exp(-np.clip(w[kinds] @ shares, -30, 30))) - y) * shares
                 seen[kinds] += slope * slope
                 w[kinds] -= 0.3 * slope / np.sqrt(seen[kinds])
@@ -212,7 +221,7 @@ def fit(documents: DataFrame, labels: DataFrame | None = None) -> tuple[np.ndarr
     else:
         told = labels.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
         rows = rows.join(told, "doc_id", "left")
-    schema = "kinds binary, shares binary, quality bigint, toxicity bigint, toxic int"
+    schema = "kinds binary, quality bigint, toxicity bigint, toxic int"
     return train(rows.select("text", "toxic").mapInArrow(sampled, schema).collect(), posteriors), chances
 
 
