@@ -1,31 +1,7 @@
 """Business codes shared by the operators."""
 
-# Code tables of the source systems.
-ORDER_STATUS = {
-    "unpaid": "1001",
-    "paid": "1002",
-    "cancelled": "1003",
-    "finished": "1004",
-    "refunding": "1005",
-    "refunded": "1006",
-}
-PAYMENT_TYPE = {"alipay": "1101", "wechat": "1102", "union": "1103"}
+# Codes of comments.
 APPRAISE = {"good": "1201", "soso": "1202", "bad": "1203", "auto": "1204"}
-REFUND_REASON = {
-    "bad_goods": "1301",
-    "wrong_description": "1302",
-    "sold_out": "1303",
-    "wrong_size": "1304",
-    "mistake": "1305",
-    "no_reason": "1306",
-    "other": "1307",
-}
-COUPON_STATUS = {"unused": "1401", "using": "1402", "used": "1403"}
-REFUND_TYPE = {"money_only": "1501", "with_goods": "1502"}
-SOURCE_TYPE = {"query": "2401", "promotion": "2402", "recommendation": "2403", "activity": "2404"}
-ACTIVITY_RULE_TYPE = {"amount_off": "3101", "percent_off": "3102", "discount": "3103"}
-COUPON_TYPE = {"amount_off": "3201", "percent_off": "3202", "voucher": "3203"}
-COUPON_RANGE = {"category3": "3301", "trademark": "3302", "spu": "3303"}
 
 # Keyword sources.
 KEYWORD_SEARCH = "SEARCH"
@@ -60,3 +36,6 @@ TOPIC_BOUNCE = "dwm_user_jump_detail"
 TOPIC_ORDER_WIDE = "dwm_order_wide"
 TOPIC_PAYMENT_WIDE = "dwm_payment_wide"
 TOPIC_PRODUCT_STATS = "dws_product_stats"
+
+# Records that do not parse.
+TOPIC_DEAD_LETTER = "dead_letter"

@@ -1,5 +1,7 @@
 """Table functions for SQL, usable in lateral joins on tables and streams."""
 
+# The names of the SQL functions are public.
+
 from __future__ import annotations
 
 from pyspark.sql import SparkSession

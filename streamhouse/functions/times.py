@@ -16,18 +16,21 @@ def event_time(ts_ms: Column) -> Column:
 
 
 def to_epoch_ms(text: Column, offset: str | None = None) -> Column:
-    """``yyyy-MM-dd HH:mm:ss`` to epoch milliseconds, in the session zone or at a fixed offset."""
+    """``yyyy-MM-dd HH:mm:ss`` to epoch milliseconds, in the session zone or at a fixed offset.
+
+    Text of another form gives null.
+    """
     if offset is None:
-        return F.unix_millis(F.to_timestamp(text, SECOND_PATTERN))
+        return F.unix_millis(F.try_to_timestamp(text, F.lit(SECOND_PATTERN)))
     shifted = F.concat(text, F.lit(f" {offset}"))
-    return F.unix_millis(F.to_timestamp(shifted, f"{SECOND_PATTERN} XXX"))
+    return F.unix_millis(F.try_to_timestamp(shifted, F.lit(f"{SECOND_PATTERN} XXX")))
 
 
 def created_at(df: DataFrame, text: str = "create_time") -> Column:
     """Creation time of wide rows: ``event_time`` where it is still at hand, else parsed."""
     if "event_time" in df.columns:
         return F.col("event_time")
-    return F.to_timestamp(text, SECOND_PATTERN)
+    return F.try_to_timestamp(F.col(text), F.lit(SECOND_PATTERN))
 
 
 def to_second_text(ts: Column) -> Column:
@@ -50,7 +53,7 @@ def now_ms() -> Column:
 
 def age_in_years(birthday: Column, as_of: Column) -> Column:
     """Whole 365-day years from a ``yyyy-MM-dd`` birthday to ``as_of``, truncated toward zero."""
-    lived_ms = F.unix_millis(as_of) - F.unix_millis(F.to_timestamp(birthday, "yyyy-MM-dd"))
+    lived_ms = F.unix_millis(as_of) - F.unix_millis(F.try_to_timestamp(birthday, F.lit("yyyy-MM-dd")))
     return (lived_ms / F.lit(YEAR_MS)).cast("int")
 
 

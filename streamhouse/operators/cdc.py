@@ -5,15 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from streamhouse import constants as C
 from streamhouse.schemas import ROUTES
 
-MAX_BROADCAST_ROUTES = 10_000
-
 
 class Routed(NamedTuple):
     facts: DataFrame
@@ -30,26 +28,28 @@ def normalise_type(kind: Column) -> Column:
     return F.when(kind == "bootstrap-insert", F.lit("insert")).otherwise(kind)
 
 
-def load_routes(
-    spark: SparkSession, config: DataFrame, known: dict[tuple[str, str], tuple] | None = None
-) -> DataFrame:
-    """Routing table as a local relation, one row per table and operation.
-
-    ``known`` carries routes from one refresh to the next: newer rows overwrite older ones of
-    the same key, and a route that left the table stays in use.
+def load_routes(config: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Routing table, one row per table and operation. An empty table is an error.
 
-    The row count is checked before the table is marked for broadcast. A table past the limit
-    is left distributed and joins by shuffle. An empty table is an error.
+    ``known`` are the routes of the refresh before: newer rows overwrite those of the same key,
+    and a route that left the table stays in use. Of rows with one key in the same refresh the
+    largest counts, by all columns. The outcome is checkpointed where anything is new.
     """
+    key = ["source_table", "operate_type"]
+    rest = [c for c in ROUTES.fieldNames() if c not in key]
     config = config.select(*ROUTES.fieldNames())
-    rows = config.limit(MAX_BROADCAST_ROUTES + 1).collect()
-    by_key = known if known is not None else {}
-    if len(rows) > MAX_BROADCAST_ROUTES:
-        return config.dropDuplicates(["source_table", "operate_type"])
-    by_key.update({(r.source_table, r.operate_type): tuple(r) for r in rows})
-    if not by_key:
+    if known is not None and config.exceptAll(known).isEmpty():
+        return known
+    every = config.withColumn("__fresh", F.lit(1))
+    if known is not None:
+        every = every.unionByName(known.withColumn("__fresh", F.lit(0)))
+    newest = every.groupBy(*key).agg(F.max(F.struct("__fresh", *rest)).alias("__route"))
+    routes = newest.select(*key, *[F.col(f"__route.{c}") for c in rest])
+    if known is not None:
+        routes = routes.checkpoint()
+    if routes.isEmpty():
         raise ValueError("the routing table is empty")
-    return F.broadcast(spark.createDataFrame(list(by_key.values()), ROUTES))
+    return routes
 
 
 def route(cdc: DataFrame, routes: DataFrame) -> DataFrame:
@@ -88,22 +88,22 @@ def split_routed(routed: DataFrame) -> Routed:
 def dim_schemas(routes: DataFrame) -> dict[str, tuple[StructType, str]]:
     """Layout and primary key of every dimension table that the routes create.
 
-    All columns are strings. The key defaults to ``id``. The first insert route of a source
-    table counts.
+    All columns are strings. The key defaults to ``id``. Of several insert routes to a table the
+    first by source table counts.
     """
     inserts = routes.where(
         (F.col("sink_type") == C.SINK_DIM) & (F.col("operate_type") == "insert")
     ).select("source_table", "sink_table", "sink_columns", "sink_pk")
-    rows = inserts.limit(MAX_BROADCAST_ROUTES + 1).collect()
-    if len(rows) > MAX_BROADCAST_ROUTES:
-        raise ValueError(f"more than {MAX_BROADCAST_ROUTES} dimension routes")
+    first = inserts.groupBy(F.upper("sink_table").alias("t")).agg(
+        F.min(F.struct("source_table", "sink_columns", "sink_pk")).alias("r"),
+        F.max(F.when(F.coalesce("sink_columns", F.lit("")) == "", F.col("source_table"))).alias("bare"),
+    )
     tables: dict[str, tuple[StructType, str]] = {}
-    for r in rows:
-        if not r.sink_columns:
-            raise ValueError(f"the route of {r.source_table} lists no columns")
-        pk = r.sink_pk or "id"
+    for t, r, bare in first.toLocalIterator():  # a row per table to create
+        if bare is not None:
+            raise ValueError(f"the route of {bare} lists no columns")
         fields = [StructField(c, StringType()) for c in r.sink_columns.split(",")]
-        tables.setdefault(r.sink_table.upper(), (StructType(fields), pk))
+        tables[t] = StructType(fields), r.sink_pk or "id"
     return tables
 
 
@@ -162,32 +162,3 @@ def upsert(
         )
         writes = stored.unionByName(writes)
     return _values(_latest(writes, pk, columns), pk, columns)
-
-
-def latest_changes(
-    changes: DataFrame, pk: str, columns: Sequence[str], order: Column
-) -> DataFrame:
-    """Last write per key and column of some changes, for ``apply_few``."""
-    return _latest(_writes(changes, pk, columns, order), pk, columns)
-
-
-def apply_few(
-    current: DataFrame, latest: DataFrame, pk: str, columns: Sequence[str]
-) -> DataFrame:
-    """The outcome of ``upsert`` for so few ``latest`` changes that they can be broadcast.
-
-    The dimension is passed through without a shuffle. The caller has counted ``latest``.
-    """
-    few = F.broadcast(latest.select(F.col(pk).alias("__pk"), *[F.col(c).alias(f"__{c}") for c in columns if c != pk]))
-    changed = current.join(few, F.col(pk) == F.col("__pk"), "left").select(
-        *[
-            F.col(c)
-            if c == pk
-            else F.when(F.col(f"__{c}").isNotNull(), F.col(f"__{c}.v")).otherwise(F.col(c)).alias(c)
-            for c in columns
-        ]
-    )
-    # As few as the changes, hence broadcast as well.
-    known = current.join(F.broadcast(latest.select(pk)), pk, "left_semi").select(pk)
-    added = latest.join(F.broadcast(known), pk, "left_anti")
-    return changed.unionByName(_values(added, pk, columns))

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from streamhouse.functions.times import interval_ms
 
-HOT_ROWS = 2_000_000
-MAX_HOT_KEYS = 100_000
-SALTS = 64
-
 
 def interval_join(
     left: DataFrame,
@@ -64,47 +60,16 @@ def first_per_key(dim: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return dim.withColumn("__rank", rank).where(F.col("__rank") == 1).drop("__rank")
 
 
-def keyed_lookup(
-    df: DataFrame,
-    key: str,
-    aggregate: Mapping[str, Column],
-    spread: Sequence[str],
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
-    max_hot_keys: int = MAX_HOT_KEYS,
-) -> DataFrame:
-    """Attach per-key aggregates to every row without gathering a key in one task. Batch only.
-
-    The aggregate is combined in the map tasks, and one aggregation serves both uses below:
+def keyed_lookup(df: DataFrame, key: str, aggregate: Mapping[str, Column]) -> DataFrame:
+    """Attach per-key aggregates to every row; null keys get nulls. Batch only.
 
-    * The largest keys, of more than ``hot_rows`` rows, are broadcast with their aggregate, at
-      most ``max_hot_keys`` of them.
-    * All others join by shuffle. Rows that are done, or have a null key, match nothing there
-      and are spread over ``salts`` places by a hash of ``spread`` and their input partition,
-      which stays the same when a lost task runs again.
+    The aggregate is combined in the map tasks. The rows of a hot key meet one row of it in a
+    shuffle join, whose hot partitions AQE splits. It can only split a join that has shuffles of
+    its own on both sides, so the aggregate is shuffled again, by one more key that is always 0.
     """
     names = list(aggregate)
-    totals = df.groupBy(F.col(key).alias("__key")).agg(
-        F.count(F.lit(1)).alias("__rows"), *[c.alias(name) for name, c in aggregate.items()]
-    )
-    hot = (
-        totals.where(F.col("__rows") > hot_rows)
-        .orderBy(F.desc("__rows"), "__key")
-        .limit(max_hot_keys)
-        .select(F.col("__key").alias("__hot"), *[F.col(n).alias(f"__hot_{n}") for n in names])
-    )
-    cold = totals.select(
-        F.col("__key").alias("__cold"),
-        # Always 0, yet not a literal: a literal would drop out of the join's shuffle keys.
-        (F.col("__rows") < 0).cast("int").alias("__place"),
-        *[F.col(n).alias(f"__cold_{n}") for n in names],
-    )
-    place = F.pmod(F.xxhash64(*spread) + F.spark_partition_id(), F.lit(salts)).cast("int") + 1
-    done = F.col("__hot").isNotNull() | F.col(key).isNull()
-    rows = df.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn(
-        "__salt", F.when(done, place).otherwise(F.lit(0))
-    )
-    matched = (F.col(key) == F.col("__cold")) & (F.col("__salt") == F.col("__place"))
-    return rows.join(cold, matched, "left").select(
-        *df.columns, *[F.coalesce(f"__hot_{n}", f"__cold_{n}").alias(n) for n in names]
-    )
+    totals = df.groupBy(F.col(key).alias("__key")).agg(*[c.alias(name) for name, c in aggregate.items()])
+    zero = lambda c: F.pmod(F.xxhash64(c), F.lit(1))
+    found = totals.withColumn("__zero", zero("__key"))
+    on = (F.col(key) == F.col("__key")) & (zero(key) == F.col("__zero"))
+    return df.join(found, on, "left").select(*df.columns, *names)

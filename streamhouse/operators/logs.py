@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from streamhouse.functions.times import event_time
-from streamhouse.operators.joins import HOT_ROWS, SALTS, keyed_lookup
+from streamhouse.operators.joins import keyed_lookup
 
 
 class Parsed(NamedTuple):
@@ -43,9 +43,7 @@ def _flip(log: DataFrame, is_old: Column) -> DataFrame:
     return log.withColumn("common", F.col("common").withField("is_new", flag))
 
 
-def repair_new_visitors(
-    log: DataFrame, hot_rows: int = HOT_ROWS, salts: int = SALTS
-) -> DataFrame:
+def repair_new_visitors(log: DataFrame) -> DataFrame:
     """Set ``is_new`` to 0 on rows marked new after the first day on which a device was new.
 
     Batch form; ``streaming.jobs`` keeps the first day as state instead.
@@ -54,11 +52,25 @@ def repair_new_visitors(
     day = F.to_date(event_time(F.col("ts")))
     marked = log.withColumns({"__mid": F.col("common.mid"), "__day": day})
     first_day = {"__first": F.min(F.when(is_new, F.col("__day")))}
-    known = keyed_lookup(marked, "__mid", first_day, ["ts"], hot_rows, salts)
+    known = keyed_lookup(marked, "__mid", first_day)
     late = is_new & (F.col("__day") != F.col("__first"))
     return _flip(known, F.coalesce(late, F.lit(False))).drop("__mid", "__day", "__first")
 
 
+def with_flag(raw: Column, is_new: Column) -> Column:
+    """The JSON text of a log with the flag in its ``common`` object, all else as it is."""
+    flag = r'("common"\s*:\s*\{[^{}]*?"is_new"\s*:\s*)"?1"?'
+    return F.when(is_new == "0", F.regexp_replace(raw, flag, '$1"0"')).otherwise(raw)
+
+
+def with_page(shown: Column, page_id: Column) -> Column:
+    """The JSON text of a shown item with the page it was shown on, all else as it is."""
+    added = F.substring(F.to_json(F.struct(page_id.alias("page_id"))), 2, 2_147_483_647)
+    body = F.rtrim(F.regexp_replace(shown, r"\}\s*$", ""))
+    comma = F.when(body.endswith("{") | (added == "}"), F.lit("")).otherwise(F.lit(","))
+    return F.concat(body, comma, added)
+
+
 def split_logs(log: DataFrame) -> LogSplit:
     """Start rows, page rows, and one display row per shown item of a page row.
 

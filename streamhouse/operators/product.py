@@ -30,14 +30,14 @@ SUM_TYPE = "decimal(28,2)"
 
 
 def _at(text: str) -> Column:
-    return F.to_timestamp(text, "yyyy-MM-dd HH:mm:ss")
+    return F.try_to_timestamp(F.col(text), F.lit("yyyy-MM-dd HH:mm:ss"))
 
 
 def _branch(df: DataFrame, **measures: Column) -> DataFrame:
     """Shape of the union: event time, SKU and all measures, zero where not given."""
     return df.select(
         "event_time",
-        F.col("sku_id").cast("bigint").alias("sku_id"),
+        F.col("sku_id").try_cast("bigint").alias("sku_id"),
         *[measures.get(c, F.lit(0)).cast("bigint").alias(c) for c in COUNTS],
         *[measures.get(c, F.lit(0)).cast(SUM_TYPE).alias(c) for c in AMOUNTS],
     )

@@ -60,12 +60,12 @@ def sku_snowflake(dims: Dims) -> DataFrame:
     need be shuffled, once by SKU instead of four times.
     """
     sku = dims.sku.select(
-        F.col("ID").cast("bigint").alias("dim_sku_id"),
+        F.col("ID").try_cast("bigint").alias("dim_sku_id"),
         F.col("SKU_NAME").alias("dim_sku_name"),
-        F.col("PRICE").cast("decimal(18,2)").alias("dim_sku_price"),
-        F.col("SPU_ID").cast("bigint").alias("spu_id"),
-        F.col("TM_ID").cast("bigint").alias("tm_id"),
-        F.col("CATEGORY3_ID").cast("bigint").alias("category3_id"),
+        F.col("PRICE").try_cast("decimal(18,2)").alias("dim_sku_price"),
+        F.col("SPU_ID").try_cast("bigint").alias("spu_id"),
+        F.col("TM_ID").try_cast("bigint").alias("tm_id"),
+        F.col("CATEGORY3_ID").try_cast("bigint").alias("category3_id"),
     )
     for table, key, column, name in (
         (dims.spu, "spu_id", "SPU_NAME", "spu_name"),
@@ -75,13 +75,13 @@ def sku_snowflake(dims: Dims) -> DataFrame:
         if table is None:
             sku = sku.withColumn(name, F.lit(None).cast("string"))
             continue
-        typed = table.select(F.col("ID").cast("bigint").alias("dim_id"), column)
+        typed = table.select(F.col("ID").try_cast("bigint").alias("dim_id"), column)
         sku = dim_join(sku, typed, {key: "dim_id"}, {name: F.col(column)})
     return sku
 
 
 def with_user(df: DataFrame, user: DataFrame, as_of: Column) -> DataFrame:
-    typed = user.select(F.col("ID").cast("bigint").alias("dim_id"), "BIRTHDAY", "GENDER")
+    typed = user.select(F.col("ID").try_cast("bigint").alias("dim_id"), "BIRTHDAY", "GENDER")
     return dim_join(
         df,
         typed,
@@ -91,7 +91,7 @@ def with_user(df: DataFrame, user: DataFrame, as_of: Column) -> DataFrame:
 
 
 def with_province(df: DataFrame, province: DataFrame) -> DataFrame:
-    typed = province.withColumn("dim_id", F.col("ID").cast("bigint"))
+    typed = province.withColumn("dim_id", F.col("ID").try_cast("bigint"))
     names = ("NAME", "AREA_CODE", "ISO_CODE", "ISO_3166_2")
     return dim_join(
         df,

@@ -275,7 +275,7 @@ class Inputs:
 
     @staticmethod
     def _category3_id() -> Column:
-        return F.conv(F.substring(F.md5("p_type"), 1, 8), 16, 10)
+        return F.conv(F.substring(F.md5("p_type"), 1, 15), 16, 10)
 
     def dim_sku(self) -> DataFrame:
         return self.table("part").select(

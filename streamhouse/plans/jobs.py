@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -17,11 +17,11 @@ from streamhouse.operators import cdc, keyword, logs, product, province, visitor
 from streamhouse.sinks.tables import StatsSink, create_dims, upsert_dim
 from streamhouse.sinks.topics import publish, to_topic
 from streamhouse.sources.tables import read_dim
-from streamhouse.sources.topics import Bus, create_topic_view, read_records, read_topic
+from streamhouse.sources.topics import Bus, create_topic_view, read_parsed, read_records, read_topic
 from streamhouse.streaming.processors import bounces_stream, repair_new_visitors_stream
 from streamhouse.streaming.runner import start
 
-CDC_RECORD = StructType([*S.CDC.fields]).add("ts", S.LONG)
+CDC_RECORD = StructType([*S.CDC.fields]).add("ts", S.LONG).add("xid", S.LONG).add("xoffset", S.LONG)
 
 # Delays are one millisecond over the allowed disorder: a row exactly at the watermark is late.
 IN_ORDER = "1 millisecond"
@@ -80,52 +80,64 @@ class Warehouse:
 
 
 def log_outputs(log: DataFrame) -> DataFrame:
-    """``topic`` and ``value`` of all outputs of each log row, in one pass over a stream."""
-
-    def record(topic: str, row):
-        return F.struct(F.lit(topic).alias("topic"), F.to_json(row).alias("value"))
-
-    whole = F.struct(*log.columns)
+    """``topic`` and ``value`` of all outputs of each log row, in one pass over a stream.
+
+    With a ``raw`` column the outputs are the text that came in, with ``is_new`` repaired, and
+    displays are its elements with the page added, so fields without a column stay as well.
+    """
+
+    def record(topic: str, value: Column) -> Column:
+        return F.struct(F.lit(topic).alias("topic"), value.alias("value"))
+
+    page_id = F.col("page.page_id")
+    if "raw" in log.columns:
+        whole = logs.with_flag(F.col("raw"), F.col("common.is_new"))
+        shown = F.from_json("raw", "displays array<string>")["displays"]
+        value = lambda d: logs.with_page(d, page_id)
+    else:
+        whole, shown = F.to_json(F.struct(*log.columns)), F.col("displays")
+        value = lambda d: F.to_json(
+            F.struct(d["item_type"].alias("item_type"), d["item"].alias("item"), page_id.alias("page_id"))
+        )
     page = F.array(record(C.TOPIC_PAGE, whole))
-    displays = F.transform(
-        "displays",
-        lambda d: record(
-            C.TOPIC_DISPLAY,
-            F.struct(
-                d["item_type"].alias("item_type"),
-                d["item"].alias("item"),
-                F.col("page.page_id").alias("page_id"),
-            ),
-        ),
-    )
+    displays = F.transform(shown, lambda d: record(C.TOPIC_DISPLAY, value(d)))
     outputs = F.when(logs.is_start(log), F.array(record(C.TOPIC_START, whole))).otherwise(
         F.coalesce(F.concat(page, displays), page)
     )
     return log.select(F.inline(outputs))
 
 
+def dead_letters(bad: DataFrame, topic: str) -> DataFrame:
+    """``topic`` and ``value`` of records that do not parse: where they came from, and their text."""
+    record = F.struct(F.lit(topic).alias("source_topic"), "position", "value")
+    return bad.select(F.lit(C.TOPIC_DEAD_LETTER).alias("topic"), F.to_json(record).alias("value"))
+
+
 def split_log(w: Warehouse) -> StreamingQuery:
     """Repair new-visitor flags and split the raw log into start, page and display topics."""
-    log = repair_new_visitors_stream(w.records(C.TOPIC_RAW_LOG, S.PAGE_LOG))
-    return w.start_topics("split_log", log_outputs(log))
+    parsed = read_parsed(w.spark, w.bus, C.TOPIC_RAW_LOG, S.PAGE_LOG)
+    outputs = log_outputs(repair_new_visitors_stream(parsed.good))
+    return w.start_topics("split_log", outputs.unionByName(dead_letters(parsed.bad, C.TOPIC_RAW_LOG)))
 
 
 def route_changes(w: Warehouse) -> StreamingQuery:
     """Route change records to fact topics and dimension tables, as configured right now."""
-    known: dict[tuple[str, str], tuple] = {}
+    known: DataFrame | None = None
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        nonlocal known
         spark = batch.sparkSession
-        routes = cdc.load_routes(spark, w.routes(), known)
+        known = routes = cdc.load_routes(w.routes(), known)
         tables = create_dims(spark, w.dims, routes)
-        records = logs.parse_json(batch, CDC_RECORD, keep=("position",)).good
+        records, bad = logs.parse_json(batch, CDC_RECORD, keep=("position",))
         routed = cdc.route(cdc.clean(records), routes).withColumnRenamed("ts", "at").persist()
         try:
             facts, dims = cdc.split_routed(routed)
             fact_rows = facts.select(
                 F.col("sink_table").alias("topic"), F.to_json("data").alias("value")
             )
-            publish(fact_rows, w.bus, "route_changes", batch_id)
+            lost = dead_letters(bad, C.TOPIC_RAW_DB)
+            publish(fact_rows.unionByName(lost), w.bus, "route_changes", batch_id)
             # At most one row per dimension route.
             for row in dims.select(F.upper("sink_table").alias("t")).distinct().collect():
                 if row.t not in tables:

@@ -78,7 +78,7 @@ PDIMS = """sku AS (
   SELECT p_partkey AS sku_id, p_name AS sku_name, CAST(p_retailprice AS DECIMAL(18,2)) AS sku_price,
          CAST(p_size AS BIGINT) AS spu_id,
          CAST(regexp_extract(p_brand, '(\\d+)', 1) AS BIGINT) AS tm_id,
-         CAST('0x' || substr(md5(p_type), 1, 8) AS BIGINT) AS category3_id, p_type
+         CAST('0x' || substr(md5(p_type), 1, 15) AS BIGINT) AS category3_id, p_type
   FROM part),
 spu AS (SELECT spu_id, min(sku_name) AS spu_name FROM sku GROUP BY spu_id),
 tm AS (SELECT CAST(regexp_extract(p_brand, '(\\d+)', 1) AS BIGINT) AS tm_id, min(p_brand) AS tm_name

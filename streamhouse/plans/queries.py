@@ -34,10 +34,10 @@ def _double(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def json_parse(t: Inputs) -> DataFrame:
-    """Event properties, cut short on error events: parsed rows and unparsable rows."""
+    """Event properties, with a stray character on error events: parsed rows and unparsable rows."""
     raw = t.table("events").select(
         "event_id",
-        F.when(F.col("event_type") == "error", F.substring("props", 1, 5))
+        F.when(F.col("event_type") == "error", F.concat(F.lit("x"), "props"))
         .otherwise(F.col("props"))
         .alias("value"),
     )
@@ -54,7 +54,7 @@ def _changes(t: Inputs) -> DataFrame:
 
 
 def _routed(t: Inputs) -> DataFrame:
-    return cdc.route(_changes(t), cdc.load_routes(t.spark, t.routes()))
+    return cdc.route(_changes(t), cdc.load_routes(t.routes()))
 
 
 def cdc_clean(t: Inputs) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Record layouts of the topics, wide tables and statistics tables."""
+"""Record layouts of the topics, wide tables and statistics tables.
+
+Fixed values: field names and their order are the wire contract.
+"""
 
 from __future__ import annotations
 

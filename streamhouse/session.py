@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
-MAX_PARTITIONS = 50_000
 
 
 def tune(spark: SparkSession, *inputs: str) -> SparkSession:
@@ -33,13 +30,12 @@ def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
     The count is only ever raised above the cluster's own setting.
     """
     floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = min(-(-input_bytes // TARGET_PARTITION_BYTES), MAX_PARTITIONS)
+    wanted = -(-input_bytes // TARGET_PARTITION_BYTES)
     spark.conf.set(
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(floor, wanted))
     )
 
 
-@lru_cache(maxsize=64)
 def _input_bytes(path: str) -> int:
     """Bytes below a path. Only file lengths are read, never contents."""
     files = (

@@ -14,7 +14,6 @@ from streamhouse.operators import cdc
 from streamhouse.sources.tables import read_dim, write_version
 
 BATCH_ROWS = 5_000
-MAX_FEW_CHANGES = 100_000
 
 
 @dataclass(frozen=True)
@@ -64,19 +63,11 @@ def upsert_dim(
     """Apply one micro-batch of changes and write the outcome as a new version.
 
     The version number follows from the batch, and only older versions are read, so a
-    repeated batch gives the same table. The changed keys are counted: up to
-    ``MAX_FEW_CHANGES`` they are broadcast, beyond it the table is merged by shuffle.
+    repeated batch gives the same table. One merge, whatever the number of changes.
     """
     version = batch_id + 1
     columns = schema.fieldNames()
     current = read_dim(spark, root, table, schema, before=version)
-    order = F.struct("position", "at")
-    latest = cdc.latest_changes(changes, pk, columns, order).persist()
-    try:
-        if latest.limit(MAX_FEW_CHANGES + 1).count() <= MAX_FEW_CHANGES:
-            dim = cdc.apply_few(current, latest, pk, columns)
-        else:
-            dim = cdc.upsert(current, changes, pk, columns, order)
-        write_version(dim, f"{root}/{table.upper()}", version)
-    finally:
-        latest.unpersist()
+    # Positions compare within one partition of a topic only, so the source's own order comes first.
+    order = F.struct(*[c for c in ("at", "xid", "xoffset", "position") if c in changes.columns])
+    write_version(cdc.upsert(current, changes, pk, columns, order), f"{root}/{table.upper()}", version)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from streamhouse.operators.logs import parse_json
+from streamhouse.operators.logs import Parsed, parse_json
 
 
 @dataclass(frozen=True)
@@ -63,6 +63,15 @@ def read_topic(
     )
 
 
+def read_parsed(
+    spark: SparkSession, bus: Bus, topic: str, schema: StructType, group: str | None = None
+) -> Parsed:
+    """Streams of typed records with their text as ``raw``, and of records that do not parse."""
+    records = read_topic(spark, bus, topic, group)
+    found = parse_json(records.withColumn("raw", F.col("value")), schema, keep=("raw",))
+    return Parsed(found.good, found.bad.drop("raw"))
+
+
 def read_records(
     spark: SparkSession,
     bus: Bus,

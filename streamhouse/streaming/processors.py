@@ -13,18 +13,20 @@ from streamhouse.operators.visits import BOUNCE_MS, is_session_start
 
 
 class FirstDay(StatefulProcessor):
-    """Remembers the first day on which a device was marked new; on other days it is not new."""
+    """Remembers the first day on which a device was marked new; on other days it is not new.
+
+    The earliest day of a micro-batch counts, in whatever order its rows come.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.first = handle.getValueState("first_day", "day string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known = self.first.get()
-        first = known[0] if known else None
-        for row in rows:
-            if first is None:
-                first = row.day
-                self.first.update((first,))
+        arrived, known = list(rows), self.first.get()
+        first = min([*([known[0]] if known else []), *(r.day for r in arrived if r.day is not None)], default=None)
+        if first is not None:
+            self.first.update((first,))
+        for row in arrived:
             yield Row(is_new="1" if row.day == first else "0", value=row.value)
 
     def close(self) -> None:
@@ -80,12 +82,12 @@ class BounceWait(StatefulProcessor):
 
 
 def repair_new_visitors_stream(log: DataFrame) -> DataFrame:
-    """Page logs with ``is_new`` repaired, in order of arrival.
+    """Page logs with ``is_new`` repaired: micro-batches in order of arrival, each by its earliest day.
 
     Only rows marked new reach the state. They cross to Python as key, day and JSON text;
-    all other rows pass by.
+    all other rows, and those without a device, pass by.
     """
-    is_new = F.coalesce(F.col("common.is_new") == "1", F.lit(False))
+    is_new = F.coalesce((F.col("common.is_new") == "1") & F.col("common.mid").isNotNull(), F.lit(False))
     flat = log.where(is_new).select(
         F.col("common.mid").alias("mid"),
         day_of(F.col("ts")).alias("day"),

@@ -48,18 +48,15 @@ def start(
 
 
 def start_console(
-    df: DataFrame, name: str, checkpoints: str | None = None, rows: int = 20
+    df: DataFrame, name: str, checkpoints: str | None = None, available_now: bool = False
 ) -> StreamingQuery:
-    """Print each micro-batch of a stream, for debugging."""
-    root = checkpoints or durable_dir(df.sparkSession, "streams")
-    writer = df.writeStream.queryName(name).format("console").outputMode("append")
-    return (
-        writer.option("numRows", rows)
-        .option("truncate", "false")
-        .option("checkpointLocation", f"{root}/{name}")
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Print every row of a stream as JSON, for debugging; the driver holds a partition at a time."""
+
+    def show(batch: DataFrame, batch_id: int) -> None:
+        for row in batch.toJSON().toLocalIterator():
+            print(f"{name} {batch_id}: {row}", flush=True)
+
+    return start(df, name, show, checkpoints, available_now)
 
 
 def late_rows(query: StreamingQuery) -> int:

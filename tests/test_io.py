@@ -92,17 +92,14 @@ def test_dim_versions(spark, tmp_path, rows):
     assert latest_version(spark, f"{root}/DIM_P", before=5) == 1
 
 
-def test_many_changes_are_merged_by_shuffle(spark, tmp_path, rows, monkeypatch):
-    from streamhouse.sinks import tables
-
+def test_source_time_orders_changes_before_position(spark, tmp_path, rows):
     root = str(tmp_path)
     routes = spark.createDataFrame([("p", "insert", "hbase", "dim_p", "id,a", "id", None)], S.ROUTES)
     ((table, (schema, pk)),) = create_dims(spark, root, routes).items()
-    data = [({"id": str(i), "a": "x"}, i, 0) for i in range(5)]
-    df = spark.createDataFrame(data, "data map<string,string>, position long, at long")
-    monkeypatch.setattr(tables, "MAX_FEW_CHANGES", 2)
+    data = [({"id": "1", "a": "older"}, 900, 100, 1), ({"id": "1", "a": "newest"}, 3, 200, 2), ({"id": "1", "a": "newer"}, 4, 200, 1)]
+    df = spark.createDataFrame(data, "data map<string,string>, position long, at long, xid long")
     upsert_dim(spark, root, table, schema, pk, df, 0)
-    assert rows(read_dim(spark, root, "dim_p")) == [(str(i), "x") for i in range(5)]
+    assert rows(read_dim(spark, root, "dim_p")) == [("1", "newest")]
 
 
 def test_shuffles_grow_with_the_input(spark):
@@ -112,7 +109,7 @@ def test_shuffles_grow_with_the_input(spark):
     size_shuffles(spark, 64 * 1024**3)
     assert spark.conf.get(key) == "512"
     size_shuffles(spark, 100 * 1024**4)
-    assert spark.conf.get(key) == "50000"
+    assert spark.conf.get(key) == str(100 * 1024**4 // (128 * 1024**2))
     tune(spark, "/root/testdata/sf0.001")
     assert spark.conf.get(key) == spark.conf.get("spark.sql.shuffle.partitions")
 

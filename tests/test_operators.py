@@ -50,8 +50,7 @@ def test_split_logs(log, logs_of, rows):
     assert start.count() + page.count() == df.count()
 
 
-@pytest.mark.parametrize("hot_rows", [2_000_000, 1])
-def test_new_visitor_repair(log, logs_of, rows, hot_rows):
+def test_new_visitor_repair(log, logs_of, rows):
     df = logs_of(
         [
             log("a", BASE), log("a", BASE + 1), log("a", BASE + DAY),
@@ -59,7 +58,7 @@ def test_new_visitor_repair(log, logs_of, rows, hot_rows):
             log("c", BASE, is_new="0"), log("c", BASE + DAY), log(None, BASE), log(None, BASE + DAY),
         ]
     )
-    fixed = logs.repair_new_visitors(df, hot_rows=hot_rows, salts=4)
+    fixed = logs.repair_new_visitors(df)
     assert rows(fixed, "common.mid", "ts", "common.is_new") == sorted(
         [
             ("a", BASE, "1"), ("a", BASE + 1, "1"), ("a", BASE + DAY, "0"),
@@ -76,19 +75,6 @@ def third_hot(spark, n):
     )
 
 
-@pytest.mark.parametrize("limits", [(10, 100), (10, 1), (0, 5), (0, 1000)])
-def test_keyed_lookup_is_the_same_hot_or_cold(spark, rows, limits):
-    hot_rows, max_hot_keys = limits
-    df = third_hot(spark, 600)
-    pick = {"low": F.min("id"), "n": F.count("id")}
-    cold = keyed_lookup(df, "k", pick, ["id"])
-    hot = keyed_lookup(
-        df, "k", pick, ["id"], hot_rows=hot_rows, salts=8, max_hot_keys=max_hot_keys
-    )
-    assert rows(cold) == rows(hot)
-    assert hot.where("k = 'hot'").select("low", "n").distinct().collect() == [(0, 200)]
-
-
 @pytest.fixture
 def no_size_broadcast(spark):
     keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
@@ -99,16 +85,6 @@ def no_size_broadcast(spark):
         spark.conf.unset(k)
 
 
-def test_keyed_lookup_spreads_the_hot_key(spark, no_size_broadcast):
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    out = keyed_lookup(third_hot(spark, 9_000), "k", {"low": F.min("id")}, ["id"], hot_rows=100)
-    hot = out.where("k = 'hot'").groupBy(F.spark_partition_id().alias("p"))
-    sizes = [r.n for r in hot.agg(F.count("low").alias("n")).collect()]
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert sum(sizes) == 3_000
-    assert len(sizes) == 4 and max(sizes) < 1_500
-
-
 def final_plan(df):
     """The executed plan after adaptive re-planning."""
     query = df._jdf.queryExecution()
@@ -132,6 +108,14 @@ def small_skew(spark, no_size_broadcast):
         spark.conf.unset(k)
 
 
+def test_keyed_lookup_splits_the_hot_key(spark, rows, small_skew):
+    df = third_hot(spark, 90_000).repartition(8)
+    out = keyed_lookup(df, "k", {"low": F.min("id"), "n": F.count("id")})
+    assert "skew=true" in final_plan(out)
+    assert out.where("k = 'hot'").select("low", "n").distinct().collect() == [(0, 30_000)]
+    assert out.where("k <> 'hot' and (low <> id or n <> 1)").count() == 0 and out.count() == 90_000
+
+
 def test_hot_order_is_split(spark, small_skew):
     """A third of all lines belong to one order: the join splits it, the counts stay exact."""
     sales = orders(spark, [(i, 5, i % 7, AT) for i in range(3_000)])
@@ -271,7 +255,7 @@ def test_cdc_clean(spark, rows):
 
 
 def test_cdc_route(spark, rows):
-    routes = cdc.load_routes(spark, spark.createDataFrame(ROUTES, S.ROUTES))
+    routes = cdc.load_routes(spark.createDataFrame(ROUTES, S.ROUTES))
     data = {"id": 1, "a": 2, "b": 3}
     df = changes(
         spark,
@@ -294,21 +278,34 @@ def test_cdc_route(spark, rows):
 
 def test_routes_must_not_be_empty(spark):
     with pytest.raises(ValueError):
-        cdc.load_routes(spark, spark.createDataFrame([], S.ROUTES))
+        cdc.load_routes(spark.createDataFrame([], S.ROUTES))
 
 
 def test_last_route_of_a_key_counts(spark):
     twice = [ROUTES[0], ("t", "insert", "kafka", "newer", "id", "id", None)]
-    routes = cdc.load_routes(spark, spark.createDataFrame(twice, S.ROUTES))
+    routes = cdc.load_routes(spark.createDataFrame(twice, S.ROUTES))
     assert [r.sink_table for r in routes.collect()] == ["newer"]
 
 
 def test_routes_stay_known_after_they_leave_the_table(spark):
-    known = {}
-    cdc.load_routes(spark, spark.createDataFrame(ROUTES[:2], S.ROUTES), known)
+    known = cdc.load_routes(spark.createDataFrame(ROUTES[:2], S.ROUTES))
     newer = [("t", "insert", "kafka", "newer", "id", "id", None)]
-    routes = cdc.load_routes(spark, spark.createDataFrame(newer, S.ROUTES), known)
+    routes = cdc.load_routes(spark.createDataFrame(newer, S.ROUTES), known)
     assert sorted(r.sink_table for r in routes.collect()) == ["dwd_all", "newer"]
+    assert cdc.load_routes(spark.createDataFrame(newer, S.ROUTES), routes) is routes
+
+
+def test_many_routes(spark):
+    n = 20_000
+    config = spark.range(n).selectExpr(
+        "cast(id as string) source_table", "'insert' operate_type", "'kafka' sink_type",
+        "concat('dwd_', id) sink_table", "'id' sink_columns", "'id' sink_pk", "cast(null as string) sink_extend",
+    )
+    gone = spark.createDataFrame(ROUTES[:1], S.ROUTES)
+    routes = cdc.load_routes(config, cdc.load_routes(gone))
+    assert routes.count() == n + 1
+    df = changes(spark, [{"table": "19999", "type": "insert", "data": {"id": 1}}, {"table": "t", "type": "insert", "data": {"id": 2}}])
+    assert sorted(r.sink_table for r in cdc.route(df, routes).collect()) == sorted(["dwd_19999", ROUTES[0][3]])
 
 
 def test_dim_schemas(spark):
@@ -332,19 +329,23 @@ def test_upsert(spark, rows):
     once = cdc.upsert(current, writes, "id", ["id", "a", "b"], F.col("at"))
     assert rows(once) == want
     assert rows(cdc.upsert(once, writes, "id", ["id", "a", "b"], F.col("at"))) == want
-    latest = cdc.latest_changes(writes, "id", ["id", "a", "b"], F.col("at"))
-    assert rows(cdc.apply_few(current, latest, "id", ["id", "a", "b"])) == want
     assert rows(cdc.upsert(None, writes, "id", ["id", "a"], F.col("at"))) == [
         ("1", "newest"), ("2", None), ("3", None),
     ]
 
 
-def test_few_changes_do_not_shuffle_the_dimension(spark, no_size_broadcast):
-    current = spark.range(1_000).select(F.col("id").cast("string").alias("id"), F.lit("x").alias("a"))
-    latest = spark.createDataFrame([("5", ("y",)), ("n", ("z",))], "id string, a struct<v:string>")
-    out = cdc.apply_few(current, latest, "id", ["id", "a"])
-    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
-    assert out.where("a <> 'x'").count() == 2 and out.count() == 1_001
+def test_upsert_has_one_rule_for_repeated_and_null_keys(spark, rows):
+    current = spark.createDataFrame([("1", "a"), ("1", "b"), (None, "n"), ("2", "c")], "id string, a string")
+    writes = spark.createDataFrame([({"id": "3", "a": "z"}, 1)], "data map<string,string>, at int")
+    out = cdc.upsert(current, writes, "id", ["id", "a"], F.col("at"))
+    assert [r[0] for r in rows(out)] == ["1", "2", "3"]
+
+
+def test_unreadable_values_give_nulls(spark, rows):
+    user = spark.createDataFrame([("1", "soon", "F"), ("x", "1990-01-01", "M")], "ID string, BIRTHDAY string, GENDER string")
+    df = spark.createDataFrame([(1,), (2,)], "user_id long")
+    out = wide.with_user(df, user, F.lit("2024-01-01").cast("timestamp"))
+    assert rows(out, "user_id", "user_age", "user_gender") == [(1, None, "F"), (2, None, None)]
 
 
 # -- wide tables ------------------------------------------------------------------------

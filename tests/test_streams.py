@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 from dataclasses import replace
 
@@ -74,6 +75,56 @@ def test_split_log(house, feed, log, rows):
     assert rows(shown) == [("sku_id", "7", "home"), ("x", "8", "home")]
 
 
+def test_split_log_passes_the_whole_log_on(house, feed, log, rows):
+    day = 24 * 3600 * 1000
+    more = {"err": {"code": 7}, "actions": [{"a": 1}]}
+    second = log("a", BASE + day, displays=[{"item_type": "sku_id", "item": "7", "pos": 3}, {}], page={"page_item_type": "x"}, **more)
+    second["common"]["md"] = "phone"
+    feed(house.bus.folder, C.TOPIC_RAW_LOG, [log("a", BASE)])
+    feed(house.bus.folder, C.TOPIC_RAW_LOG, [second, "not json", {"common": {"mid": "q"}, "ts": "soon"}])
+    finish(jobs.split_log(house))
+    read = house.spark.read.option("recursiveFileLookup", "true").text
+    page = [json.loads(r.value) for r in read(f"{house.bus.folder}/topic={C.TOPIC_PAGE}").collect()]
+    second["common"]["is_new"] = "0"
+    assert second in page
+    shown = [json.loads(r.value) for r in read(f"{house.bus.folder}/topic={C.TOPIC_DISPLAY}").collect()]
+    assert {"item_type": "sku_id", "item": "7", "pos": 3, "page_id": "home"} in shown and {"page_id": "home"} in shown
+    lost = [json.loads(r.value) for r in read(f"{house.bus.folder}/topic={C.TOPIC_DEAD_LETTER}").collect()]
+    assert sorted(x["value"] for x in lost) == sorted(["not json", json.dumps({"common": {"mid": "q"}, "ts": "soon"})])
+    assert all(x["source_topic"] == C.TOPIC_RAW_LOG and x["position"] for x in lost)
+
+
+def test_new_visitor_days_in_any_order(house, feed, log, logs_of, rows):
+    day = 24 * 3600 * 1000
+    records = [log(mid, BASE + d * day + i) for i in range(3) for d in (3, 1, 2) for mid in ("a", "b")] + [log(None, BASE), log(None, BASE + day)]
+    feed(house.bus.folder, C.TOPIC_RAW_LOG, records)
+    finish(jobs.split_log(house))
+    got = topic(house, C.TOPIC_PAGE, S.PAGE_LOG)
+    want = logs.repair_new_visitors(logs_of(records))
+    columns = ("common.mid", "ts", "common.is_new")
+    assert rows(got, *columns) == rows(want, *columns)
+
+
+def test_late_known_bounce_is_counted(house, feed, log, rows):
+    """The bounce of T is known, and written, once the page log is past T + 10 s."""
+    bounce = log("a", BASE)
+    feed(house.bus.folder, C.TOPIC_PAGE, [bounce])
+    feed(house.bus.folder, C.TOPIC_PAGE, [log("b", BASE + 15_000, last="home")])
+    feed(house.bus.folder, C.TOPIC_UNIQUE_VISIT, [bounce])
+    feed(house.bus.folder, C.TOPIC_UNIQUE_VISIT, [log("b", BASE + 15_000)])
+    feed(house.bus.folder, C.TOPIC_PAGE, [log("c", BASE + 30_000, last="home")])
+    feed(house.bus.folder, C.TOPIC_BOUNCE, [log("z", BASE - 60_000)])
+    feed(house.bus.folder, C.TOPIC_BOUNCE, [log("z", BASE - 50_000)])
+    feed(house.bus.folder, C.TOPIC_BOUNCE, [bounce])
+    for name in (C.TOPIC_PAGE, C.TOPIC_UNIQUE_VISIT, C.TOPIC_BOUNCE):
+        feed(house.bus.folder, name, [log("end", LATER)])
+    query = jobs.visitor_stats(house)
+    finish(query)
+    assert late_rows(query) == 0
+    got = stats(house, "visitors_stats").where("uv_ct > 0 and pv_ct > 0")
+    assert [r.uj_ct for r in got.orderBy("stt").collect()][0] == 1
+
+
 def test_unique_visit(house, feed, log, logs_of, rows):
     day = 24 * 3600 * 1000
     records = [
@@ -281,13 +332,12 @@ def test_route_changes(house, feed, spark, rows):
     assert rows(find_in_dim(dim_rows, id="2", name="North")) == []
 
 
-def test_console(house, feed):
-    feed(house.bus.folder, "t", ["hello"])
+def test_console_prints_every_row(house, feed, capsys):
+    feed(house.bus.folder, "t", [f"hello {i}" for i in range(30)])
     topic_rows = read_topic(house.spark, house.bus, "t").select("value")
-    query = start_console(topic_rows, "shown", house.checkpoints)
+    query = start_console(topic_rows, "shown", house.checkpoints, available_now=True)
     finish(query)
-    assert "Console" in query.lastProgress.sink.description
-    assert query.recentProgress[0].numInputRows == 1
+    assert capsys.readouterr().out.count('{"value":"hello') == 30
 
 
 def test_repeated_batches_change_nothing(house, feed, log, rows):
