@@ -101,7 +101,7 @@ class Inputs:
         return events.select(
             F.struct(
                 F.col("user_id").cast("string").alias("mid"),
-                F.lit("1").alias("is_new"),
+                F.when(F.expr("(user_id + ts div 86400000) % 4 = 0"), "0").otherwise("1").alias("is_new"),
                 F.concat(F.lit("v"), F.col("user_id") % 3).alias("vc"),
                 F.concat(F.lit("ch"), F.col("user_id") % 5).alias("ch"),
                 (F.col("user_id") % 25).cast("string").alias("ar"),

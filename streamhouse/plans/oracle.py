@@ -36,13 +36,15 @@ LOG = f"""log AS (
   SELECT CAST(user_id AS VARCHAR) AS mid, 'v' || (user_id % 3) AS vc, 'ch' || (user_id % 5) AS ch,
          CAST(user_id % 25 AS VARCHAR) AS ar, page_id, event_type, k, ts,
          strftime(make_timestamp(ts * 1000), '%Y%m%d') AS dt,
+         (user_id + ts // 86400000) % 4 <> 0 AS told_new,
          CAST(floor(value * 1000) AS BIGINT) AS during_time,
          CASE WHEN ts - lag(ts) OVER w < {GAP_MS} THEN lag(page_id) OVER w END AS last_page_id,
          lead(ts) OVER w - ts AS next_gap
   FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
 
 FIXED = """fixed AS (
-  SELECT *, CASE WHEN dt <> min(dt) OVER (PARTITION BY mid) THEN '0' ELSE '1' END AS is_new
+  SELECT *, CASE WHEN told_new AND dt = min(CASE WHEN told_new THEN dt END) OVER (PARTITION BY mid)
+                 THEN '1' ELSE '0' END AS is_new
   FROM log)"""
 
 VISITS = """visits AS (
