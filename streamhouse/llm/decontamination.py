@@ -8,7 +8,11 @@
    the latent space holds of the item are candidates. A window's
    share of idf energy in the items' words, and then its length in the latent space, bound its cosines, so most windows are
    left before they meet any item.
-4. Around a candidate the longest common subsequence of words decides: COPY of the item's words, or PARAPHRASE of them and
+4. Common words weigh nothing in the latent space, so a cosine alone would lose pairs. Windows that could still pass step 5
+   are added by counting: who has PARAPHRASE of an item's words has `least` of its `rarest` words, and a bit-parallel
+   common subsequence with each 64 words of the item bounds the rest. Neither bound loses a pair, so all windows have been
+   searched as if each had gone to step 5.
+5. Around a candidate the longest common subsequence of words decides: COPY of the item's words, or PARAPHRASE of them and
    ANSWER of its last sentence's words, all in order.
 
 The benchmark is taken in blocks of about ITEMS rows (by a hash), one scan of the documents each, so what a task holds does
@@ -38,6 +42,8 @@ RANK, OVERSAMPLE, POWER = 256, 16, 2
 ITEMS = 512
 SHORTEST = 5
 CANDIDATE, LEAST = 0.5, 0.1
+#: Seconds for a hit, and for a window that has enough of them: they set how many of an item's rare words are looked up.
+HIT, LOOK = 5e-8, 5e-7
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 #: Terms in more than this share of passages are left out of the latent space.
 COMMON_SHARE = 0.01
@@ -64,8 +70,8 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([-1, *some.tolist()], pa.int64()), pa.array([passages, *total[some].tolist()], pa.int64())], ["term", "n"])
 
 
-def weights(documents: DataFrame) -> np.ndarray:
-    """idf of each term; 0 for those in more than COMMON_SHARE of passages."""
+def weights(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """idf of each term, 0 for those in more than COMMON_SHARE of passages; and each term's share of passages."""
     rows = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(counted, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     n, passages = np.zeros(TERMS), 0
     for term, count in zip(rows["term"], rows["n"], strict=True):
@@ -75,7 +81,7 @@ def weights(documents: DataFrame) -> np.ndarray:
             n[term] = count
     idf = np.log((passages + 1) / (n + 1)) + 1
     idf[n > max(COMMON_SHARE * passages, 50)] = 0
-    return idf
+    return idf, n / max(passages, 1)
 
 
 @dataclass
@@ -144,14 +150,40 @@ class Index:
     """Window length of each item's class."""
     bounds: np.ndarray
     """Least cosine of a candidate: CANDIDATE of the share of the item that the latent space holds."""
-
-
-def index(items: list[tuple], idf: np.ndarray, basis: Basis) -> Index:
+    keys: np.ndarray
+    """Hashes of all items' words, sorted; letters has each item's words as places here."""
+    letters: list[np.ndarray]
+    rare: list[np.ndarray]
+    """Each item's rarest words, as places in keys."""
+    least: np.ndarray
+    """How many of an item's rarest words a pair has at least."""
+
+
+def rarest(h: np.ndarray, often: np.ndarray, length: int) -> tuple[np.ndarray, int]:
+    """Words of an item, the rarest first, and a number of which a pair has at least. often: chance that a word of a text is this one.
+
+    A pair lacks at most n - need words, so of any n - need + t it has t. Every t is safe; taken is the cheapest, by the hits to
+    look at and the windows that then have t hits by chance.
+    """
+    n = len(h)
+    need = int(np.argmax(np.arange(n + 1) / n >= PARAPHRASE))
+    order = np.lexsort((h, often))
+    cost = []
+    for t in range(1, min(need, 64) + 1):
+        own = np.unique(h[order[: n - need + t]], return_index=True)[1]
+        mean = max(float(often[order[own]].sum()), 1e-12)
+        chance = np.exp(np.cumsum([-mean * 2 * length, *np.log(mean * 2 * length / np.arange(1, t))]))  # Poisson: 0 to t - 1 hits
+        cost.append(mean * HIT + max(1 - chance.sum(), 0) * 4 / length * LOOK)
+    t = 1 + int(np.argmin(cost))
+    return np.unique(h[order[: n - need + t]]), t
+
+
+def index(items: list[tuple], idf: np.ndarray, share: np.ndarray, basis: Basis) -> Index:
     row = np.full(TERMS, -1, np.int32)
     row[basis.terms] = np.arange(len(basis.terms))
     vectors = (idf[basis.terms, None] * basis.vectors).astype(np.float32)
-    found = Index(idf.astype(np.float32), row, vectors, [], [], [], np.zeros((0, vectors.shape[1]), np.float32), np.zeros(0, np.int64), np.zeros(0))
-    queries, lengths, bounds = [], [], []
+    found = Index(idf.astype(np.float32), row, vectors, [], [], [], np.zeros((0, vectors.shape[1]), np.float32), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.uint64), [], [], np.zeros(0, np.int64))
+    queries, lengths, bounds, signs, least = [], [], [], [], []
     for item, text in items:
         text = (text or "").encode()
         _, h, term = terms([text])
@@ -167,7 +199,14 @@ def index(items: list[tuple], idf: np.ndarray, basis: Basis) -> Index:
         queries.append(q / length)
         bounds.append(max(LEAST, CANDIDATE * length / np.sqrt((idf[term] ** 2).sum())))
         lengths.append(8 * 2 ** (np.ceil(2 * np.log2(max(len(h), 8) / 8)) / 2))  # half powers of two
+        sign, t = rarest(h, share[term] / PASSAGE, int(lengths[-1]))
+        signs.append(sign)
+        least.append(t)
     if queries:
+        found.keys = np.unique(np.concatenate(found.hashes))
+        found.letters = [np.searchsorted(found.keys, h) for h in found.hashes]
+        found.rare = [np.searchsorted(found.keys, sign) for sign in signs]
+        found.least = np.array(least)
         found.queries, found.lengths = np.stack(queries).astype(np.float32), np.array(lengths).astype(np.int64)
         found.bounds = np.array(bounds)
     return found
@@ -186,6 +225,56 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
+def possible(x: Index, h: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Item, document and start of all windows that could pass the last check, by bounds that lose none."""
+    if not x.ids:
+        return
+    key = np.minimum(np.searchsorted(x.keys, h), len(x.keys) - 1)
+    key[x.keys[key] != h] = len(x.keys)
+    places = np.argsort(key, kind="stable")
+    cuts = np.searchsorted(key[places], np.arange(len(x.keys) + 1))
+    key = np.append(key, len(x.keys))
+    for i in np.flatnonzero([np.sum(cuts[k + 1] - cuts[k]) for k in x.rare] >= x.least).tolist():
+        n, length, t = len(x.hashes[i]), int(x.lengths[i]), int(x.least[i])
+        step, half = max(length // 4, 1), n // 2
+        hit = np.sort(np.concatenate([places[cuts[k] : cuts[k + 1]] for k in x.rare[i].tolist()]))
+        a, b = hit[: len(hit) - t + 1], hit[t - 1 :]
+        near = (b - a < length + 2 * half) & (doc[a] == doc[b])
+        a, b = a[near], b[near]
+        d = doc[a]
+        last = np.maximum(end[d] - begin[d] - length + step - 1, 0) // step  # number of the document's last window
+        low = np.maximum(-(-(b + 1 - half - length - begin[d]) // step), 0)
+        high = np.minimum((a + half - begin[d]) // step, last)
+        many = np.maximum(high - low + 1, 0)
+        d, k = np.repeat(d, many), np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        start = np.unique(begin[d] + step * k)
+        d = doc[start]
+        lo, hi = np.maximum(begin[d], start - half), np.minimum(end[d], np.minimum(start + length, end[d]) + half)
+        rows = max((1 << 20) // (length + 2 * half), 1)
+        for j in range(0, len(start), rows):
+            part = slice(j, j + rows)
+            words_ = lo[part, None] + np.arange(length + 2 * half)
+            words_ = key[np.where(words_ < hi[part, None], words_, len(h))]
+            some = bounded(x.letters[i], len(x.keys), words_) / n >= PARAPHRASE
+            yield from ((i, *w) for w in zip(d[part][some].tolist(), start[part][some].tolist(), strict=True))
+
+
+def bounded(letters: np.ndarray, n_keys: int, rows: np.ndarray) -> np.ndarray:
+    """Of each row of words: a bound of its common subsequence with the item, the true length for items of up to 64 words."""
+    total = np.zeros(len(rows), np.int64)
+    for j in range(0, len(letters), 64):
+        own = letters[j : j + 64]
+        masks = np.zeros(n_keys + 1, np.uint64)
+        np.bitwise_or.at(masks, own, np.uint64(1) << np.arange(len(own), dtype=np.uint64))
+        full = np.uint64((1 << len(own)) - 1)
+        v = np.full(len(rows), full)
+        for m in masks[rows.T]:
+            u = v & m
+            v = (v + u | v - u) & full
+        total += len(own) - np.bitwise_count(v)
+    return total
+
+
 def searched(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of documents and items."""
     x: Index = sent.value
@@ -203,6 +292,20 @@ def searched(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         np.cumsum(np.where(own >= 0, energy, 0), out=known[1:])
         np.cumsum(own >= 0, out=place[1:])
         best: dict[tuple[int, int], tuple] = {}
+
+        def check(item: int, doc: int, begins: int, ends: int, cosine: float, end=end, begin=begin, h=h, best=best) -> None:
+            size = len(x.hashes[item])
+            region = h[max(begin[doc], begins - size // 2) : min(end[doc], ends + size // 2)]
+            share = common(x.hashes[item], region) / size
+            answer = common(x.answers[item], region) / len(x.answers[item])
+            if share >= COPY or share >= PARAPHRASE and answer >= ANSWER:
+                best[doc, item] = max(best.get((doc, item), (0,)), (share, answer, cosine))
+
+        for item, doc, start in possible(x, h, c.doc, begin, end):
+            stop = min(start + int(x.lengths[item]), int(end[doc]))
+            inside = own[start:stop]
+            vector, size = x.vectors[inside[inside >= 0]].sum(axis=0), np.sqrt(max(square[stop] - square[start], 1e-9))
+            check(item, doc, start, stop, float(vector @ x.queries[item] / size))
         for length in np.unique(x.lengths).tolist():
             step = max(length // 4, 1)
             count = np.where(end > begin, np.maximum(end - begin - length + step - 1, 0) // step + 1, 0)
@@ -223,14 +326,7 @@ def searched(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 score = (vector @ x.queries[which].T) / size[:, None]
                 for w, j in zip(*np.nonzero(score >= x.bounds[which]), strict=True):
                     item, doc = int(which[j]), int(of[at[w]])
-                    size_ = len(x.hashes[item])
-                    region = h[max(begin[doc], start[at[w]] - size_ // 2) : min(end[doc], stop[at[w]] + size_ // 2)]
-                    share = common(x.hashes[item], region) / size_
-                    answer = common(x.answers[item], region) / len(x.answers[item])
-                    if share >= COPY or share >= PARAPHRASE and answer >= ANSWER:
-                        row = (share, answer, float(score[w, j]))
-                        if row > best.get((doc, item), (0,)):
-                            best[doc, item] = row
+                    check(item, doc, start[at[w]], stop[at[w]], float(score[w, j]))
         if best:
             docs = part.column("doc_id").take(pa.array([d for d, _ in best]))
             columns = [pa.array(v, pa.float64()) for v in zip(*best.values(), strict=True)]
@@ -248,11 +344,11 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = f"doc_id {kind}, item_id string, common_share double, answer_share double, cosine double"
     blocks = -(-items.count() // ITEMS)
     found = spark.createDataFrame([], schema)
-    idf = weights(slim) if blocks else None
+    idf, share = weights(slim) if blocks else (None, None)
     for block in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         rows = [(r["item_id"], r["text"]) for r in own.collect()]
-        sent = spark.sparkContext.broadcast(index(rows, idf, latent(own, idf)))
+        sent = spark.sparkContext.broadcast(index(rows, idf, share, latent(own, idf)))
         found = found.unionByName(slim.mapInArrow(partial(searched, sent), schema))
     verdict = F.when(F.col("common_share") >= COPY, "copy").otherwise("paraphrase")
     return found.withColumn("item_id", F.col("item_id").cast(item)).withColumn("verdict", verdict)

@@ -317,6 +317,46 @@ def test_decontamination(spark, documents, empty):
     assert decontamination.leaks(df, benchmark.limit(0)).count() == 0
 
 
+def brute_force(h, item, answer):
+    """Whether the last check accepts a window of the document, all of them tried."""
+    n = len(item)
+    length = int(8 * 2 ** (np.ceil(2 * np.log2(max(n, 8) / 8)) / 2))
+    step = max(length // 4, 1)
+    for start in range(0, max(len(h) - length + step - 1, 0) // step * step + 1, step) if len(h) else ():
+        region = h[max(0, start - n // 2) : min(len(h), start + length) + n // 2]
+        share, part = decontamination.common(item, region) / n, decontamination.common(answer, region) / len(answer)
+        if share >= decontamination.COPY or share >= decontamination.PARAPHRASE and part >= decontamination.ANSWER:
+            return True
+    return False
+
+
+def test_decontamination_finds_all_paraphrases(spark):
+    """Half of an item's words common, 60 to 80 % of its words kept: all pairs that the last check accepts."""
+    r = random.Random(4)
+    common = ["".join(r.choices("qrstuvw", k=3)) for _ in range(12)]
+    rare = ["".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(3000)]
+    said = lambda k: [r.choice(common if r.random() < 0.6 else rare) for _ in range(k)]
+    items = [(k, " ".join(said(r.randint(12, 40))) + ". " + " ".join(said(6)) + ".") for k in range(24)]
+    items += [(50, " ".join(said(80)) + ". " + " ".join(said(6)))]
+    rows = []
+    for i in range(1200):
+        w = said(r.randint(0, 200))
+        if i % 8 == 0:
+            own = r.choice(items)[1].split()
+            for j in r.sample(range(len(own) - 6), min(int(len(own) * r.uniform(0.2, 0.4)), len(own) - 6)):
+                own[j] = said(1)[0]
+            at = r.randint(0, len(w))
+            w[at:at] = own
+        rows.append((i, " ".join(w)))
+    hashes = lambda t: decontamination.terms([t.encode()])[1]
+    docs, asked = [(i, hashes(t)) for i, t in rows], [(k, hashes(t), hashes(t.split(". ")[1])) for k, t in items]
+    expected = {(i, k) for i, h in docs for k, item, answer in asked if brute_force(h, item, answer)}
+    assert len(expected) > 100
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {(x.doc_id, x.item_id) for x in decontamination.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == expected
+
+
 def test_common_subsequence():
     r = random.Random(2)
     for _ in range(100):
