@@ -19,7 +19,7 @@ The benchmark is taken in blocks of about ITEMS rows (by a hash), one scan of th
 not grow with it. Cost of a scan: the words of all documents once; nothing is shuffled but counts.
 
 Defined cases: null text is empty; items below SHORTEST words are not searched; a pair of document and item has one row, of
-the best subsequence; repeated rows and ids each get their own rows; empty tables give no rows; other columns are ignored.
+the best subsequence; the cosine is 0 where all of an item's or a window's words are common; repeated rows and ids each get their own rows; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -149,7 +149,7 @@ class Index:
     lengths: np.ndarray
     """Window length of each item's class."""
     bounds: np.ndarray
-    """Least cosine of a candidate: CANDIDATE of the share of the item that the latent space holds."""
+    """Least cosine of a candidate: CANDIDATE of the share of the item that the latent space holds; infinite where it holds nothing."""
     keys: np.ndarray
     """Hashes of all items' words, sorted; letters has each item's words as places here."""
     letters: list[np.ndarray]
@@ -189,15 +189,15 @@ def index(items: list[tuple], idf: np.ndarray, share: np.ndarray, basis: Basis)
         _, h, term = terms([text])
         own = row[term]
         q = vectors[own[own >= 0]].sum(axis=0)
-        if len(h) < SHORTEST or not q.any():
+        if len(h) < SHORTEST:
             continue
         sentences = [s for s in re.split(rb"(?<=[.!?])\s+|\n", text) if len(terms([s])[1]) >= 2]
         found.ids.append(item)
         found.hashes.append(h)
         found.answers.append(terms([sentences[-1]])[1] if sentences else h)
         length = np.sqrt((q**2).sum())
-        queries.append(q / length)
-        bounds.append(max(LEAST, CANDIDATE * length / np.sqrt((idf[term] ** 2).sum())))
+        queries.append(q / max(length, 1e-9))
+        bounds.append(max(LEAST, CANDIDATE * length / np.sqrt((idf[term] ** 2).sum())) if length else np.inf)
         lengths.append(8 * 2 ** (np.ceil(2 * np.log2(max(len(h), 8) / 8)) / 2))  # half powers of two
         sign, t = rarest(h, share[term] / PASSAGE, int(lengths[-1]))
         signs.append(sign)

@@ -357,6 +357,21 @@ def test_decontamination_finds_all_paraphrases(spark):
     assert found == expected
 
 
+def test_decontamination_of_common_words(spark):
+    """Items of words that are in over 1 % of passages have no latent vector."""
+    r = random.Random(6)
+    common = ["".join(r.choices("qrstuvw", k=3)) for _ in range(40)]
+    items = [(k, " ".join(r.choices(common, k=12)) + "?") for k in range(5)] + [(9, "unlike " + " ".join(common[:14]))]
+    rows = [(i, " ".join(r.choices(common, k=60)) + (" " + items[i // 20 % 6][1] if i % 20 == 0 else "")) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {(x.doc_id, x.item_id): x for x in decontamination.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    copies = {(i, items[i // 20 % 6][0]) for i in range(0, 600, 20)}
+    assert copies <= found.keys() and all(found[k].verdict == "copy" for k in copies)
+    assert {k: found[k].cosine for k in copies if k[1] != 9} == {k: 0.0 for k in copies if k[1] != 9}
+    hashes = lambda t: decontamination.terms([t.encode()])[1]
+    assert set(found) == {(i, k) for i, t in rows for k, item in items if brute_force(hashes(t), hashes(item), hashes(item))}
+
+
 def test_common_subsequence():
     r = random.Random(2)
     for _ in range(100):
