@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in built-in functions only.
 
-Rules are regexes over a text's words (lower-cased A-Z, joined by single spaces). A rule runs only where its keyword
-occurs. Where found intervals of words nest, the outer stays; of equal ones that of the smaller priority number.
+Rules are regexes over a text's words (lower-cased A-Z, joined by single spaces). A rule runs only where one of its
+keywords occurs; each alternative of its regex holds one of them. Where found intervals of words nest, the outer stays; of equal ones that of the smaller priority number.
 
 Defined cases: null text is empty; an empty text has no words, no places and score 0; repeated rows and ids each get their
 own row, since nothing is grouped; an empty table gives no rows; other columns are ignored. The scan works within a row,
@@ -15,33 +15,33 @@ from pyspark.sql import functions as F
 
 #: The phrases that are counted, and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: label: keyword, names as regexes over words, SPDX identifiers as words.
+#: label: keywords, names as regexes over words, SPDX identifiers as words.
 LICENSES = {
     "gpl": ("gnu", "gnu general public license|gnu gpl", r"gpl \d \d(?: only| or later)?"),
     "lgpl": ("lesser", "gnu lesser general public license|gnu library or lesser general public license", r"lgpl \d \d(?: only| or later)?"),
     "agpl": ("affero", "(?:gnu )?affero general public license", r"agpl \d \d(?: only| or later)?"),
     "gfdl": ("documentation", "gnu free documentation license", r"gfdl \d \d"),
-    "apache": ("apache", "apache (?:software )?license|asl", r"apache \d \d"),
+    "apache": ("apache asl", "apache (?:software )?license|asl", r"apache \d \d"),
     "mit": ("mit", "mit license|mit x11 license", "mit"),
     "expat": ("expat", "expat license", "expat"),
     "bsd": ("bsd", r"(?:simplified |modified |new |revised )?bsd (?:\d clause )?license|bsd \d clause", r"bsd \d clause"),
-    "0bsd": ("0bsd", "0bsd|zero clause bsd(?: license)?", "0bsd"),
-    "cc-by": ("cc", "cc by|creative commons attribution", r"cc by \d \d"),
-    "cc-by-sa": ("sa", "cc by sa|creative commons attribution share ?alike", r"cc by sa \d \d"),
-    "cc-by-nd": ("nd", "cc by nd|creative commons attribution no ?derivatives", r"cc by nd \d \d"),
-    "cc-by-nc": ("nc", "cc by nc|creative commons attribution non ?commercial", r"cc by nc \d \d"),
+    "0bsd": ("0bsd zero", "0bsd|zero clause bsd(?: license)?", "0bsd"),
+    "cc-by": ("cc creative", "cc by|creative commons attribution", r"cc by \d \d"),
+    "cc-by-sa": ("sa creative", "cc by sa|creative commons attribution share ?alike", r"cc by sa \d \d"),
+    "cc-by-nd": ("nd creative", "cc by nd|creative commons attribution no ?derivatives", r"cc by nd \d \d"),
+    "cc-by-nc": ("nc creative", "cc by nc|creative commons attribution non ?commercial", r"cc by nc \d \d"),
     "cc-by-nc-sa": ("nc", "cc by nc sa", r"cc by nc sa \d \d"),
     "cc-by-nc-nd": ("nc", "cc by nc nd", r"cc by nc nd \d \d"),
-    "cc0": ("cc0", r"cc0(?: 1 0)?|creative commons zero", "cc0 1 0"),
+    "cc0": ("cc0 creative", r"cc0(?: 1 0)?|creative commons zero", "cc0 1 0"),
     "mpl": ("mozilla", "mozilla public license", r"mpl \d \d"),
     "epl": ("eclipse", "eclipse public license", r"epl \d \d"),
     "edl": ("eclipse", "eclipse distribution license", r"edl \d \d"),
-    "cddl": ("cddl", "cddl|common development and distribution license", r"cddl \d \d"),
+    "cddl": ("cddl distribution", "cddl|common development and distribution license", r"cddl \d \d"),
     "cpl": ("common", "common public license", r"cpl \d \d"),
     "isc": ("isc", "isc license", "isc"),
     "zlib": ("zlib", "zlib license|zlib libpng license", "zlib"),
     "unlicense": ("unlicense", "(?:the )?unlicense", "unlicense"),
-    "wtfpl": ("wtfpl", "wtfpl|do what the f\\S* you want to public license", "wtfpl"),
+    "wtfpl": ("wtfpl want", "wtfpl|do what the f\\S* you want to public license", "wtfpl"),
     "artistic": ("artistic", "artistic license", r"artistic \d \d"),
     "boost": ("boost", "boost software license", r"bsl \d \d"),
     "psf": ("python", "python software foundation license|python license", r"psf \d \d"),
@@ -84,10 +84,10 @@ FOUND = "first int, before int, priority int, label string, weight double, base
 
 
 def rules() -> list[tuple[str, str, int, str, float, bool]]:
-    """keyword, regex, priority, label, weight, base."""
+    """keywords, regex, priority, label, weight, base."""
     found = [(phrase.split()[0], phrase, 45, label, 0.7, True) for phrase, label in BASE.items()]
-    for label, (keyword, names, ids) in LICENSES.items():
-        found += [("spdx" if form == "identifier" else keyword, f.format(names=names, ids=ids), priority, label, weight, False) for form, (priority, weight, f) in FORMS.items()]
+    for label, (keywords, names, ids) in LICENSES.items():
+        found += [("spdx" if form == "identifier" else keywords, f.format(names=names, ids=ids), priority, label, weight, False) for form, (priority, weight, f) in FORMS.items()]
     return found
 
 
@@ -130,14 +130,14 @@ def outermost(found: Column) -> Column:
 def scan(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label, first and last word)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    names = ("keyword", "regex", "priority", "label", "weight", "base")
-    table = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(names, r, strict=True))) for r in rules()))
+    names = ("keywords", "regex", "priority", "label", "weight", "base")
+    table = F.array(*(F.struct(*(F.lit(v.split() if k == "keywords" else v).alias(k) for k, v in zip(names, r, strict=True))) for r in rules()))
     lower = F.lower(text)
     may = F.lit(False)
     for k in ("licen", "spdx", "gpl", "cc", "domain", "rights", "clause", "unlicense", "wtfpl", "0bsd", "asl", "cddl", "cecill", "gnu", "creative", "documentation"):
         may = may | lower.contains(k)  # every name holds one of these
     rows = documents.select("doc_id", n_words(text).alias("n_words"), F.when(may, normal(text)).otherwise(F.lit(" ")).alias("text"))
-    due = F.filter(table, lambda r: F.col("text").contains(F.concat(F.lit(" "), r["keyword"], F.lit(" "))))
+    due = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.col("text").contains(F.concat(F.lit(" "), k, F.lit(" ")))))
     rows = rows.select("doc_id", "n_words", F.flatten(F.transform(due, lambda r: matches(F.col("text"), r))).alias("found"))
     rows = rows.select("doc_id", "n_words", F.filter("found", lambda x: x["base"]).alias("base"), outermost(F.col("found")).alias("kept"))
     labels = lambda xs: F.transform(xs, lambda x: x["label"])

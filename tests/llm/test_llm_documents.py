@@ -64,6 +64,35 @@ def test_license_scan(documents, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def spelled(tree):
+    """All branches of a parsed regex, each optional part left out and put in."""
+    said = [""]
+    for kind, x in tree:
+        if str(kind) == "LITERAL":
+            own = [chr(x)]
+        elif str(kind) == "IN":
+            own = ["4" if "DIGIT" in str(x) else "b"]
+        elif str(kind) == "MAX_REPEAT":
+            own = [s * k for k in sorted({x[0], max(x[0], 1)}) for s in spelled(x[2])]
+        else:
+            own = [s for branch in (x[1] if str(kind) == "BRANCH" else [x[3]]) for s in spelled(branch)]
+        said = [a + b for a in said for b in own]
+    return said
+
+
+def test_license_names_alone(spark):
+    """Each alternative of each rule, without the other words of its license."""
+    rows = []
+    for label, (_, names, ids) in licenses.LICENSES.items():
+        for name in spelled(re._parser.parse(names)):
+            rows += [(label, f"x {name} x"), (label, f"Licensed under the {name.title()}, x"), (label, f"{name} version 2.0"), (label, f"{name} 2 or any later version")]
+        rows += [(label, f"SPDX-License-Identifier: {i}") for i in spelled(re._parser.parse(ids))]
+    rows += [("cc-by", "licensed under the Creative Commons Attribution 4.0 License")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    lost = [r for r in licenses.scan(df.withColumn("doc_id", F.concat_ws("|", "doc_id", "text"))).collect() if r.doc_id.split("|")[0] not in r.labels.split(",") or not r.score]
+    assert not lost
+
+
 def test_license_suppression(spark):
     df = spark.createDataFrame([(1, "Licensed under CC BY-NC 4.0."), (2, "SPDX-License-Identifier: Apache-2.0"), (3, "Apache License, Version 2.0 or later")], "doc_id long, text string")
     found = {r.doc_id: r for r in licenses.scan(df).collect()}
