@@ -5,12 +5,13 @@ Every stage but the last returns the columns of documents; a table in parquet be
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamhouse.llm import decontamination, pieces, secret_scan, simhash, weak_labels
+from streamhouse.llm import decontamination, pieces, secret_scan, simhash, weak_labels, words
 from streamhouse.llm.queries import VOCABULARY, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -59,7 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. The other stages' are written to a new folder of this run below the checkpoint folder, and stay there for the returned rows."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    folder = f"{words.checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -120,9 +120,15 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = ":".join([root, *filter(None, paths)])
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared folder that the session names; a folder of the driver's only where it names none (tests)."""
-    context = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names; a folder of the driver's only where it names none (tests)."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/streamhouse-checkpoints")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/streamhouse-checkpoints")
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with files in the checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()

@@ -138,3 +138,20 @@ def test_pipeline(spark):
     assert {r.doc_id for r in out} == ids and all(r.round_trip for r in out)
     labels = {r.doc_id: r for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
     assert sum(labels[i].quality == 0 for i in ids if i in labels) <= 2
+
+
+def test_pipeline_stages_share_parquet_only(spark, monkeypatch):
+    """Each stage reads what the stage before it has written, in a folder of the run's own."""
+    read = []
+
+    def stage(spark, docs, sf_dir):
+        read.append(docs.inputFiles())
+        return docs.withColumn("n_chars", F.col("n_chars") + 1)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage), ("b", stage), ("c", stage)])
+    outs = [corpus_pipeline.run(spark, SMALL) for _ in range(2)]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for out in outs:
+        assert sorted((r.doc_id, r.n_chars) for r in out.collect()) == sorted((r.doc_id, r.n_chars + 3) for r in docs.collect())
+    assert all(SMALL in f for k in (0, 3) for f in read[k])
+    assert all(SMALL not in f for k in (1, 2, 4, 5) for f in read[k]) and not set(read[2]) & set(read[5])
