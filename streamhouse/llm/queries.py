@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamhouse.llm import chat, decontamination, divergence, licenses, pages, pieces, repeats, secret_scan, simhash, weak_labels
+from streamhouse.llm import chat, decontamination, divergence, licenses, pages, pieces, repeats, secret_scan, simhash, token_files, weak_labels, words
 
+BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,5 +66,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_formatting, op2_license_scan, op3_secret_scan, op4_quality_classifier, op5_sentencepiece, op6_decontamination, op7_suffix_array_dedup, op8_html_extraction, op9_quality_rules, op10_simhash)}
+def op11_token_files(spark: SparkSession, sf_dir: str, tokenizer: str = BYTE_BPE) -> DataFrame:
+    folder = f"{words.checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), folder, tokenizer)
+    found = token_files.read_all(spark, folder)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_formatting, op2_license_scan, op3_secret_scan, op4_quality_classifier, op5_sentencepiece, op6_decontamination, op7_suffix_array_dedup, op8_html_extraction, op9_quality_rules, op10_simhash, op11_token_files)}
 SQL: dict[str, str] = {}
