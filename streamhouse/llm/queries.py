@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamhouse.llm import chat, decontamination, divergence, licenses, pages, periods, pieces, repeats, secret_scan, simhash, token_files, weak_labels, words
+from streamhouse.llm import chat, decontamination, divergence, hard_negatives, licenses, pages, periods, pieces, repeats, secret_scan, simhash, token_files, weak_labels, words
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -77,5 +77,9 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(periods.periodic_runs(periods.with_planted(table(spark, sf_dir, "documents"))))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_formatting, op2_license_scan, op3_secret_scan, op4_quality_classifier, op5_sentencepiece, op6_decontamination, op7_suffix_array_dedup, op8_html_extraction, op9_quality_rules, op10_simhash, op11_token_files, op12_periodic_runs)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_formatting, op2_license_scan, op3_secret_scan, op4_quality_classifier, op5_sentencepiece, op6_decontamination, op7_suffix_array_dedup, op8_html_extraction, op9_quality_rules, op10_simhash, op11_token_files, op12_periodic_runs, op13_hard_negatives)}
 SQL: dict[str, str] = {}
