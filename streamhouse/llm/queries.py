@@ -69,8 +69,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_token_files(spark: SparkSession, sf_dir: str, tokenizer: str = BYTE_BPE) -> DataFrame:
     folder = f"{words.checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write(table(spark, sf_dir, "documents"), folder, tokenizer)
-    found = token_files.read_all(spark, folder)
-    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return token_files.read_all(spark, folder, digest=True).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ A store is a folder:
 
 A key is the document's id and, where ids repeat, its number among the rows of that id (`copy`, from 0).
 
-Tasks hold one part of the index (about PART_KEYS keys), SLICE_BYTES of text and ids, or one text. The driver holds a row per
+Tasks hold one part of the index (about PART_KEYS keys), SLICE_BYTES of text and ids, or one text, and ids of up to KEPT words; words
+are told apart by hashes of 64 bits. The driver holds a row per
 shard and per writing task. Files get a name of their own in each attempt, and only names that Spark has committed are in
 the tables, so a task that is repeated leaves a file that nobody reads.
 
@@ -28,11 +29,13 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyarrow import fs
@@ -43,19 +46,25 @@ from pyspark.sql import functions as F
 from streamhouse.llm import words
 
 SHARD_BYTES = 64 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 PART_KEYS = 1 << 16
-KEPT = 300_000
+KEPT, RECENT = 1_000_000, 100_000
+#: Of an Arrow batch of texts.
+BATCH_ROWS = 1000
 SHARDS_PER_TASK = 1 << 24
 #: Of Spark's hashes.
 SEED = 42
 SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<i8"), ("at", "<i8"), ("n", "<i8")])
 #: White space of Unicode.
 SPACE = "\t-\r \x85\xa0  -     　"
+#: Where a space does not begin a word's chunk, or the white space before it is not a chunk of its own.
+SPACED_TWICE = re.compile(f"[{SPACE}] ")
 #: The byte-level pre-tokeniser cuts at each place where this does, and at others within.
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: The byte-level pre-tokeniser's pattern, and the bytes that stand for themselves in its alphabet.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Marks that are a word of their own behind letters.
+MARKS = ".,;:!?"
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
@@ -65,46 +74,137 @@ def alphabet() -> dict[int, int]:
     return {b: b for b in PRINTED} | {b: 256 + k for k, b in enumerate(others)}
 
 
-class Encoder(dict):
-    """chunk: its ids, as bytes. Chunks are kept up to KEPT, then anew."""
+class Vocabulary:
+    """Ids of words by the words' hashes of 64 bits: an old and a recent list, each in order of hash, and all ids in one array.
 
-    def __init__(self, model: str, width: int):
+    About 30 bytes a word; with KEPT words it starts anew.
+    """
+
+    def __init__(self, kind: str):
+        self.kind = kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.flat = np.zeros(0, self.kind)
+        self.old = self.recent = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each begin, and how many; none: 0."""
+        begin, size = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        for keys, places_, sizes in (self.old, self.recent):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[at] == h
+                begin[hit], size[hit] = places_[at[hit]], sizes[at[hit]]
+        return begin, size
+
+    def add(self, h: np.ndarray, ids: list[array]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.array([len(x) for x in ids], np.int32)
+        begin = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), self.kind)])
+        self.recent = self.merged(self.recent, (h, begin, size))
+        if len(self.recent[0]) > RECENT:
+            self.old, self.recent = self.merged(self.old, self.recent), tuple(x[:0] for x in self.recent)
+        return begin, size
+
+    @staticmethod
+    def merged(a: tuple, b: tuple) -> tuple:
+        both = [np.concatenate(x) for x in zip(a, b, strict=True)]
+        by = np.argsort(both[0], kind="stable")
+        return tuple(x[by] for x in both)
+
+
+class Encoder:
+    """Ids of texts. A word is what follows a space, up to the next; it is encoded with its space, and then known for later texts."""
+
+    def __init__(self, model: str, width: int, added: list[str], by_chunks: bool):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.kind, self.alphabet = Tokenizer.from_str(model), "H" if width == 2 else "I", alphabet()
-        told = json.loads(model)
-        self.added = [t["content"] for t in told["added_tokens"]]
-        level = told.get("pre_tokenizer") or {}
-        plain = level.get("type") == "ByteLevel" and level.get("use_regex", True) and not level.get("add_prefix_space")
-        #: Whether a text's ids are those of its chunks, one after another.
-        self.by_chunks = bool(plain) and told["model"]["type"] == "BPE" and not told.get("normalizer") and not told.get("truncation") and not told.get("padding")
-
-    def __missing__(self, chunk: str) -> bytes:
+        self.tokenize, self.added, self.by_chunks = self.tokenizer.model.tokenize, added, by_chunks
+        self.known = Vocabulary(self.kind)
+        self.marks = {m: self.of(m) for m in MARKS}
+
+    def word(self, after: str) -> array:
+        if after.isalpha():
+            own = f"Ġ{after}" if after.isascii() else f" {after}".encode().decode("latin-1").translate(self.alphabet)
+            return array(self.kind, [t.id for t in self.tokenize(own)])
+        if after[-1:] in self.marks and after[:-1].isalpha():
+            return self.word(after[:-1]) + self.marks[after[-1]]
+        return self.of(f" {after}")
+
+    def of(self, text: str) -> array:
+        """Word by word of the pre-tokeniser; no added token is in the text."""
         ids = array(self.kind)
-        for word in WORD.findall(chunk):
-            ids.extend([t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))])
-        if len(self) >= KEPT:
-            self.clear()
-        self[chunk] = found = ids.tobytes()
-        return found
-
-    def ids(self, text: str) -> bytes:
+        for c in CHUNK.findall(text):
+            for word in WORD.findall(c):
+                ids.extend([t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.alphabet))])
+        return ids
+
+    def whole(self, text: str) -> array:
         """What the tokenizer's encode(text, add_special_tokens=False) gives."""
         if self.by_chunks and not any(a in text for a in self.added):
-            return b"".join(map(self.__getitem__, CHUNK.findall(text)))
-        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return self.of(text)
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def many(self, texts: list[str], end: int) -> list[memoryview]:
+        """Of each text: its ids as whole() has them, then `end`. Each different word of the texts is looked up once."""
+        if len(self.known.old[0]) > KEPT:
+            self.known.clear()
+        plain = [self.by_chunks and not SPACED_TWICE.search(t) and not any(a in t for a in self.added) for t in texts]
+        pieces = pc.split_pattern(pa.array([t if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string()), " ")
+        starts = pieces.offsets.to_numpy()
+        inner = np.ones(int(starts[-1]), bool)
+        inner[starts[:-1]] = False  # a text's first piece has no space
+        flat = pieces.flatten()
+        heads = flat.take(pa.array(starts[:-1])).to_pylist()
+        told = flat.filter(pa.array(inner)).dictionary_encode()
+        kinds = told.dictionary
+        _, offsets, data = kinds.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[kinds.offset : kinds.offset + len(kinds) + 1]
+        raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+        h = words.Hasher(raw).spans(bounds[:-1], bounds[1:])
+        begin, size = self.known.find(h)
+        new = np.flatnonzero(size == 0)
+        if len(new):
+            begin[new], size[new] = self.known.add(h[new], [self.word(w) for w in kinds.take(pa.array(new)).to_pylist()])
+        first = [self.of(x) if p else self.whole(t) for t, p, x in zip(texts, plain, heads, strict=True)]
+        # A text is its head, its words, the end.
+        n, count = len(texts), np.diff(starts)
+        sizes = np.concatenate([size, [len(x) for x in first], [1]])
+        own = np.cumsum(sizes[len(kinds) :]) - sizes[len(kinds) :] + len(self.known.flat)
+        begins = np.concatenate([begin, own])
+        ids = np.concatenate([self.known.flat, np.frombuffer(b"".join(first), self.kind), np.array([end], self.kind)])
+        order = np.full(len(inner) + n, len(sizes) - 1, np.int64)
+        at = np.repeat(np.arange(n), count) + np.arange(len(inner))
+        order[at[inner]] = told.indices.to_numpy()
+        order[at[~inner]] = len(kinds) + np.arange(n)
+        length = sizes[order]
+        reach = np.cumsum(length)
+        out = ids[np.arange(int(reach[-1])) + np.repeat(begins[order] - (reach - length), length)]
+        cuts = np.concatenate([[0], reach[starts[1:] + np.arange(n)]]) * out.itemsize
+        view = memoryview(out.astype(out.dtype.newbyteorder("<"))).cast("B")
+        return [view[i:j] for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+
+
+def traits(model: str) -> tuple[list[str], bool]:
+    """Added tokens of a tokenizer's file, and whether a text's ids are those of its chunks, one after another."""
+    told = json.loads(model)
+    level = told.get("pre_tokenizer") or {}
+    plain = level.get("type") == "ByteLevel" and level.get("use_regex", True) and not level.get("add_prefix_space")
+    others = any(told.get(k) for k in ("normalizer", "truncation", "padding"))
+    return [t["content"] for t in told["added_tokens"]], bool(plain) and told["model"]["type"] == "BPE" and not others
 
 
 _encoders: dict[tuple[int, int], Encoder] = {}
 
 
-def encoder(model: str, width: int) -> Encoder:
-    """One for the worker's next tasks, too."""
+def encoder(model: str, width: int, added: list[str], by_chunks: bool) -> Encoder:
+    """One tokenizer for the worker's next tasks, too."""
     key = zlib.crc32(model.encode()), width
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(model, width)
+        _encoders[key] = Encoder(model, width, added, by_chunks)
     return _encoders[key]
 
 
@@ -113,22 +213,21 @@ def place(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
 
 
-def written(batches: Iterator[pa.RecordBatch], folder: str, model: str, width: int, end_id: int) -> Iterator[pa.RecordBatch]:
+def written(batches: Iterator[pa.RecordBatch], folder: str, model: str, of: tuple[list[str], bool], width: int, end_id: int) -> Iterator[pa.RecordBatch]:
     """Rows in order of their keys to shards; a row for each: key, copy (within this task), lead (has the task's first key), shard, file, at, n."""
     files, root = place(folder)
-    own, task, end = encoder(model, width), TaskContext.get().partitionId(), array("H" if width == 2 else "I", [end_id]).tobytes()
+    own, task = encoder(model, width, *of), TaskContext.get().partitionId()
     out, name, size, seq = None, "", 0, -1
     first: list = []
     last, copies = None, 0
     for part, texts in words.slices(batches, limit=SLICE_BYTES):
         rows: list[tuple] = []
-        for key, text in zip(part.column(0).to_pylist(), texts, strict=True):
+        for key, ids in zip(part.column(0).to_pylist(), own.many([t.decode() for t in texts], end_id), strict=True):
             if out is None or size >= SHARD_BYTES:
                 if out is not None:
                     out.close()
                 seq, size, name = seq + 1, 0, f"ids-{task:06d}-{seq + 1:06d}-{uuid.uuid4().hex}.bin"
                 out = files.open_output_stream(f"{root}/{name}")
-            ids = own.ids(text.decode()) + end
             out.write(ids)
             first = first or [key]
             copies = copies + 1 if copies and key == last else 1
@@ -271,8 +370,8 @@ def sought(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
         yield from out.to_batches()
 
 
-def fetched(batches: Iterator[pa.RecordBatch], folder: str, width: int) -> Iterator[pa.RecordBatch]:
-    """Rows in order of shard and place: their ids, four bytes each. Neighbours are read at once, up to SLICE_BYTES."""
+def fetched(batches: Iterator[pa.RecordBatch], folder: str, width: int, digest: bool) -> Iterator[pa.RecordBatch]:
+    """Rows in order of shard and place: their ids, four bytes each, or a digest of these bytes. Neighbours are read at once, up to SLICE_BYTES."""
     files, root = place(folder)
     now, f = None, None
     for batch in batches:
@@ -293,7 +392,8 @@ def fetched(batches: Iterator[pa.RecordBatch], folder: str, width: int) -> Itera
                 raise ValueError(f"{name[i]} ends before the ids that the index names")
             each = [ids[4 * (a - at[i]) : 4 * (a - at[i] + m)] for a, m in zip(at[i:j], n[i:j], strict=True)]
             own = batch.slice(i, j - i)
-            yield pa.RecordBatch.from_arrays([*(own.column(own.schema.get_field_index(k)) for k in ("doc_id", "copy", "start", "n")), pa.array(each, pa.binary())], ["doc_id", "copy", "start", "n_tokens", "ids"])
+            last = pa.array([zlib.crc32(x) for x in each], pa.int64()) if digest else pa.array(each, pa.binary())
+            yield pa.RecordBatch.from_arrays([*(own.column(own.schema.get_field_index(k)) for k in ("doc_id", "copy", "start", "n")), last], ["doc_id", "copy", "start", "n_tokens", "ids_crc32" if digest else "ids"])
             i = j
     if f is not None:
         f.close()
@@ -315,6 +415,18 @@ def carried(tasks: list) -> dict[int, int]:
     return out
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows while something runs: they lie in the memory of both Spark and its Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 2) -> None:
     """Encode all documents and write a store to a new folder, which all executors share. tokenizer: a file of the tokenizers library."""
     from tokenizers import Tokenizer
@@ -332,7 +444,8 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 2) ->
     order = ["doc_id", "text_hash", "row"]  # the last splits the rows of one key and text between tasks
     ranged = slim.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     names = f"doc_id {kind}, copy bigint, lead boolean, shard bigint, file string, at bigint, n bigint"
-    entries = words.checkpointed(ranged.mapInArrow(partial(written, folder=folder, model=model, width=width, end_id=end_id), names))
+    with batches_of(spark, BATCH_ROWS):
+        entries = words.checkpointed(ranged.mapInArrow(partial(written, folder=folder, model=model, of=traits(model), width=width, end_id=end_id), names))
 
     shards = entries.groupBy("shard", "file").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_ids")).collect()
     base, rows = 0, []
@@ -355,9 +468,9 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 2) ->
     spark.createDataFrame([(width, end_id, parts, kind)], "width int, end_id int, parts bigint, kind string").coalesce(1).write.parquet(f"{folder}/format")
 
 
-def read(keys: DataFrame, folder: str) -> DataFrame:
+def read(keys: DataFrame, folder: str, digest: bool = False) -> DataFrame:
     """doc_id, copy, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit integers): a row for each
-    key (doc_id and copy) that the store has."""
+    key (doc_id and copy) that the store has. With digest, ids_crc32 of these bytes stands for ids."""
     spark = keys.sparkSession
     words.ship(spark)
     told = spark.read.parquet(f"{folder}/format").first()
@@ -369,12 +482,12 @@ def read(keys: DataFrame, folder: str) -> DataFrame:
     found = dealt.mapInArrow(partial(sought, folder=folder), f"doc_id {kind}, copy bigint, shard bigint, at bigint, n bigint")
     placed = found.join(shards.select("shard", "file", "base"), "shard").select("doc_id", "copy", "shard", "file", "at", "n", (F.col("base") + F.col("at")).alias("start"))
     ranged = placed.repartition("shard").sortWithinPartitions("shard", "at")
-    return ranged.mapInArrow(partial(fetched, folder=folder, width=told.width), f"doc_id {kind}, copy bigint, start bigint, n_tokens bigint, ids binary")
+    return ranged.mapInArrow(partial(fetched, folder=folder, width=told.width, digest=digest), f"doc_id {kind}, copy bigint, start bigint, n_tokens bigint, {'ids_crc32 bigint' if digest else 'ids binary'}")
 
 
-def read_all(spark: SparkSession, folder: str) -> DataFrame:
+def read_all(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
     """All documents of a store, each found by its key."""
-    return read(spark.read.parquet(f"{folder}/keys"), folder)
+    return read(spark.read.parquet(f"{folder}/keys"), folder, digest)
 
 
 @dataclass
