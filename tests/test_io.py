@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import duckdb
 import pytest
-from pyspark.sql import DataFrameWriter
+from pyspark.sql import DataFrameReader, DataFrameWriter
 from pyspark.sql import functions as F
 
 from streamhouse import schemas as S
 from streamhouse.session import durable_dir, size_shuffles, tune
-from streamhouse.sinks.tables import StatsSink, create_dims, upsert_dim
+from streamhouse.sinks.tables import StatsSink, create_dims, upsert_dim, visible
 from streamhouse.sinks.topics import publish, to_topic
-from streamhouse.sources.tables import latest_version, read_dim
+from streamhouse.sources import tables
+from streamhouse.sources.tables import latest_version, read_dim, write_version
 from streamhouse.sources.topics import Bus, kafka_options
 
 
@@ -70,6 +74,52 @@ def test_stats_over_jdbc(spark, monkeypatch):
     assert calls == [("jdbc:x", "t", {"batchsize": "5000", "driver": "d"}, S.KEYWORD_STATS)]
 
 
+class Database:
+    """DuckDB in this process behind Spark's JDBC calls; no server. Rows go through files."""
+
+    def __init__(self, monkeypatch, spark, folder):
+        self.con, self.spark, self.folder, self.writes, self.fail = duckdb.connect(), spark, folder, [], set()
+        monkeypatch.setattr(DataFrameWriter, "jdbc", lambda w, url, table, mode=None, properties=None: self.write(w._df, table))
+        monkeypatch.setattr(DataFrameReader, "jdbc", lambda r, url, table, properties=None: self.read(table))
+
+    def write(self, df, table):
+        self.writes.append(table)
+        if table in self.fail:
+            raise RuntimeError("lost")
+        path = f"{self.folder}/{len(self.writes)}"
+        df.write.parquet(path)
+        self.con.execute(f"INSERT INTO {table} BY NAME SELECT * FROM '{path}/*.parquet'")
+
+    def read(self, table):
+        return self.spark.createDataFrame(self.con.execute(f"SELECT * FROM {table}").fetchall(), "attempt long")
+
+
+def test_ledger_over_jdbc(spark, tmp_path, monkeypatch):
+    """Each micro-batch counts once, wherever an attempt at it is lost."""
+    base = Database(monkeypatch, spark, tmp_path)
+    columns = "keyword VARCHAR, ct BIGINT, source VARCHAR, stt VARCHAR, edt VARCHAR, ts BIGINT"
+    base.con.execute(f"CREATE TABLE keyword_stats_staging ({columns}, writer VARCHAR, batch BIGINT, attempt BIGINT)")
+    base.con.execute("CREATE TABLE ledger (stats_table VARCHAR, writer VARCHAR, batch BIGINT, attempt BIGINT)")
+    base.con.execute(visible("keyword_stats", S.KEYWORD_STATS, "ledger"))
+    sink = StatsSink(url="jdbc:x", ledger="ledger")
+    df = lambda *words: spark.createDataFrame([(w, 1, "S", "s", "e") for w in words], "keyword string, ct long, source string, stt string, edt string")
+    seen = lambda: base.con.execute("SELECT keyword FROM keyword_stats ORDER BY 1").fetchall()
+    put = lambda batch, *words, writer="o'job": sink.append(df(*words), "keyword_stats", S.KEYWORD_STATS, writer, batch)
+    put(0, "a", "a", "b")
+    put(0, "a", "a", "b")
+    assert seen() == [("a",), ("a",), ("b",)] and base.writes == ["keyword_stats_staging", "ledger"]
+    base.fail = {"ledger"}
+    with pytest.raises(RuntimeError):
+        put(1, "c")
+    assert len(seen()) == 3
+    base.fail = set()
+    put(1, "c")
+    put(1, "c")
+    put(1, "d", writer="other")
+    assert seen() == [("a",), ("a",), ("b",), ("c",), ("d",)]
+    assert base.con.execute("SELECT COUNT(*), MAX(attempt) FROM keyword_stats_staging").fetchone() == (6, 2)
+
+
 def test_dim_versions(spark, tmp_path, rows):
     root = str(tmp_path)
     routes = spark.createDataFrame([("p", "insert", "hbase", "dim_p", "id,a", "id", None)], S.ROUTES)
@@ -92,6 +142,62 @@ def test_dim_versions(spark, tmp_path, rows):
     assert latest_version(spark, f"{root}/DIM_P", before=5) == 1
 
 
+def files_below(folder):
+    return {str(f.relative_to(folder)): f.stat().st_size for f in Path(folder).rglob("part-*.parquet") if "committed" not in f.parts}
+
+
+def test_upsert_writes_only_what_it_touches(spark, tmp_path, rows):
+    root, folder = str(tmp_path), tmp_path / "DIM_P"
+    schema = S.layout(id=S.STRING, a=S.STRING)
+    change = lambda i, a: ({"id": str(i), "a": a}, i, 0)
+    kind = "data map<string,string>, position long, at long"
+    upsert = lambda batch, data: upsert_dim(spark, root, "dim_p", schema, "id", spark.createDataFrame(data, kind), batch, buckets=16)
+    upsert(0, [change(i, "x" * 50) for i in range(4_000)])
+    whole = files_below(folder)
+    assert len(whole) == 16
+    upsert(1, [change(7, "new"), change(7, "newer"), change(9_999, "more")])
+    added = {f: n for f, n in files_below(folder).items() if f not in whole}
+    assert 1 <= len(added) <= 2 and sum(added.values()) < 0.2 * sum(whole.values())
+    got = {r.id: r.a for r in read_dim(spark, root, "dim_p").collect()}
+    assert len(got) == 4_001 and got["7"] == "newer" and got["9999"] == "more" and got["8"] == "x" * 50
+    # A repeated batch, also after one that came later, gives the same table.
+    once = rows(read_dim(spark, root, "dim_p"))
+    upsert(1, [change(7, "new"), change(7, "newer"), change(9_999, "more")])
+    assert rows(read_dim(spark, root, "dim_p")) == once
+    assert read_dim(spark, root, "dim_p", before=2).count() == 4_000
+
+
+def test_upsert_without_commit_is_not_seen(spark, tmp_path, rows, monkeypatch):
+    """A task or driver lost between the files and the mark leaves the version before, and the batch can run again."""
+    root = str(tmp_path)
+    schema = S.layout(id=S.STRING, a=S.STRING)
+    df = lambda *data: spark.createDataFrame([(d, 1, 0) for d in data], "data map<string,string>, position long, at long")
+    upsert_dim(spark, root, "dim_p", schema, "id", df({"id": "1", "a": "x"}), 0)
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(tables, "commit", lost)
+    with pytest.raises(RuntimeError):
+        upsert_dim(spark, root, "dim_p", schema, "id", df({"id": "1", "a": "y"}), 1)
+    assert rows(read_dim(spark, root, "dim_p")) == [("1", "x")]
+    monkeypatch.undo()
+    upsert_dim(spark, root, "dim_p", schema, "id", df({"id": "1", "a": "y"}), 1)
+    assert rows(read_dim(spark, root, "dim_p")) == [("1", "y")]
+
+
+def test_whole_tables_are_cut_at_the_first_upsert(spark, tmp_path, rows):
+    root = str(tmp_path)
+    schema = S.layout(id=S.STRING, a=S.STRING)
+    change = spark.createDataFrame([({"id": "3", "a": "new"}, 1, 0), ({"a": "no key"}, 2, 0)], "data map<string,string>, position long, at long")
+    write_version(spark.createDataFrame([(str(i), "x") for i in range(30)], schema), f"{root}/DIM_P", 0)
+    upsert_dim(spark, root, "dim_p", schema, "id", change, 0, buckets=4)
+    upsert_dim(spark, root, "dim_p", schema, "id", change, 1, buckets=8)
+    assert rows(read_dim(spark, root, "dim_p")) == sorted((str(i), "new" if i == 3 else "x") for i in range(30))
+    upsert_dim(spark, root, "dim_p", schema, "id", change.where("position = 2"), 2, buckets=8)
+    assert read_dim(spark, root, "dim_p").count() == 30
+
+
 def test_source_time_orders_changes_before_position(spark, tmp_path, rows):
     root = str(tmp_path)
     routes = spark.createDataFrame([("p", "insert", "hbase", "dim_p", "id,a", "id", None)], S.ROUTES)
