@@ -11,7 +11,7 @@ from streamhouse import constants as C
 from streamhouse.functions.times import created_at, event_time
 from streamhouse.operators.joins import dim_join
 from streamhouse.operators.wide import Dims, sku_snowflake
-from streamhouse.operators.windows import WINDOW, count_once, tumble
+from streamhouse.operators.windows import WINDOW, carried, count_once, tumble, with_watermark
 
 COUNTS = (
     "display_ct",
@@ -37,13 +37,14 @@ def _branch(df: DataFrame, **measures: Column) -> DataFrame:
     """Shape of the union: event time, SKU and all measures, zero where not given."""
     return df.select(
         "event_time",
+        *carried(df),
         F.col("sku_id").try_cast("bigint").alias("sku_id"),
         *[measures.get(c, F.lit(0)).cast("bigint").alias(c) for c in COUNTS],
         *[measures.get(c, F.lit(0)).cast(SUM_TYPE).alias(c) for c in AMOUNTS],
     )
 
 
-def page_measures(page_log: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def page_measures(page_log: DataFrame, delay: str = "0 seconds", beat: DataFrame | None = None) -> DataFrame:
     """A click per product page and a display per shown product, in one pass over the pages.
 
     On a stream every page moves the watermark on, not only those with products.
@@ -62,8 +63,7 @@ def page_measures(page_log: DataFrame, delay: str = "0 seconds") -> DataFrame:
     )
     hits = F.coalesce(F.concat(F.array(page), shown), F.array(page))
     stamped = page_log.withColumn("event_time", event_time(F.col("ts")))
-    if stamped.isStreaming:
-        stamped = stamped.withWatermark("event_time", delay)
+    stamped = with_watermark(stamped, delay, beat=beat)
     counted = stamped.select(
         "event_time", F.inline(F.filter(hits, lambda h: h["click"] + h["display"] > 0))
     )
@@ -71,32 +71,35 @@ def page_measures(page_log: DataFrame, delay: str = "0 seconds") -> DataFrame:
 
 
 def favor_measures(favors: DataFrame) -> DataFrame:
-    return _branch(favors.select(_at("create_time").alias("event_time"), "sku_id"), favor_ct=F.lit(1))
+    return _branch(favors.select(_at("create_time").alias("event_time"), "sku_id", *carried(favors)), favor_ct=F.lit(1))
 
 
 def cart_measures(carts: DataFrame) -> DataFrame:
-    return _branch(carts.select(_at("create_time").alias("event_time"), "sku_id"), cart_ct=F.lit(1))
+    return _branch(carts.select(_at("create_time").alias("event_time"), "sku_id", *carried(carts)), cart_ct=F.lit(1))
 
 
 def comment_measures(comments: DataFrame) -> DataFrame:
     is_good = F.when(F.col("appraise") == C.APPRAISE["good"], 1).otherwise(0)
     rows = comments.select(
-        _at("create_time").alias("event_time"), "sku_id", is_good.alias("good")
+        _at("create_time").alias("event_time"), "sku_id", is_good.alias("good"), *carried(comments)
     )
     return _branch(rows, comment_ct=F.lit(1), good_comment_ct=F.col("good"))
 
 
-def _order_rows(df: DataFrame, at: Column, delay: str, **columns: Column) -> DataFrame:
+def _order_rows(df: DataFrame, at: Column, delay: str, beat: DataFrame | None, **columns: Column) -> DataFrame:
     rows = df.select(
         at.alias("event_time"), "sku_id", "order_id",
         *[c.alias(name) for name, c in columns.items()],
+        *carried(df),
     )
-    return rows.withWatermark("event_time", delay) if df.isStreaming else rows
+    return with_watermark(rows, delay, beat=beat)
 
 
-def order_measures(orders: DataFrame, width: str = WINDOW, delay: str = "0 seconds") -> DataFrame:
+def order_measures(
+    orders: DataFrame, width: str = WINDOW, delay: str = "0 seconds", beat: DataFrame | None = None
+) -> DataFrame:
     rows = _order_rows(
-        orders, created_at(orders), delay, num=F.col("sku_num"), amount=F.col("split_total_amount")
+        orders, created_at(orders), delay, beat, num=F.col("sku_num"), amount=F.col("split_total_amount")
     )
     sums = {"num": "num", "amount": "amount"}
     once = count_once(rows, ["sku_id"], "order_id", "orders", sums, width)
@@ -109,36 +112,38 @@ def order_measures(orders: DataFrame, width: str = WINDOW, delay: str = "0 secon
 
 
 def payment_measures(
-    payments: DataFrame, width: str = WINDOW, delay: str = "0 seconds"
+    payments: DataFrame, width: str = WINDOW, delay: str = "0 seconds", beat: DataFrame | None = None
 ) -> DataFrame:
     rows = _order_rows(
-        payments, _at("payment_create_time"), delay, amount=F.col("split_total_amount")
+        payments, _at("payment_create_time"), delay, beat, amount=F.col("split_total_amount")
     )
     once = count_once(rows, ["sku_id"], "order_id", "orders", {"amount": "amount"}, width)
     return _branch(once, paid_order_ct=F.col("orders"), payment_amount=F.col("amount"))
 
 
-def refund_measures(refunds: DataFrame, width: str = WINDOW, delay: str = "0 seconds") -> DataFrame:
-    rows = _order_rows(refunds, created_at(refunds), delay, amount=F.col("refund_amount"))
+def refund_measures(
+    refunds: DataFrame, width: str = WINDOW, delay: str = "0 seconds", beat: DataFrame | None = None
+) -> DataFrame:
+    rows = _order_rows(refunds, created_at(refunds), delay, beat, amount=F.col("refund_amount"))
     once = count_once(rows, ["sku_id"], "order_id", "orders", {"amount": "amount"}, width)
     return _branch(once, refund_order_ct=F.col("orders"), refund_amount=F.col("amount"))
 
 
 def product_totals(
-    branches: list[DataFrame], width: str = WINDOW, delay: str = "0 seconds"
+    branches: list[DataFrame], width: str = WINDOW, delay: str = "0 seconds", beat: DataFrame | None = None
 ) -> DataFrame:
     """Sums of all measure branches per window and SKU."""
     if any(b.isStreaming for b in branches):
-        branches = [_marked(b, delay) for b in branches]
+        branches = [_marked(b, delay, beat) for b in branches]
     union = reduce(DataFrame.unionByName, branches)
     return tumble(union, ["sku_id"], [F.sum(c).alias(c) for c in (*COUNTS, *AMOUNTS)], width)
 
 
-def _marked(branch: DataFrame, delay: str) -> DataFrame:
+def _marked(branch: DataFrame, delay: str, beat: DataFrame | None) -> DataFrame:
     """The branch with a watermark, unless it already has one."""
     if branch.schema["event_time"].metadata:
         return branch
-    return branch.withWatermark("event_time", delay)
+    return with_watermark(branch, delay, beat=beat)
 
 
 def with_product_dims(totals: DataFrame, dims: Dims) -> DataFrame:

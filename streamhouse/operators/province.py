@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamhouse.functions.times import created_at
-from streamhouse.operators.windows import WINDOW, count_once, tumble
+from streamhouse.operators.windows import WINDOW, carried, count_once, tumble, with_watermark
 
 RENAMED = {
     "province_id": "province_id",
@@ -26,9 +26,9 @@ def province_stats(
         *[F.col(c).alias(out) for c, out in RENAMED.items()],
         "order_id",
         "split_total_amount",
+        *carried(order_wide),
     )
-    if rows.isStreaming:
-        rows = rows.withWatermark("event_time", delay)
+    rows = with_watermark(rows, delay)
     keys = list(RENAMED.values())
     once = count_once(
         rows, keys, "order_id", "orders", {"amount": "split_total_amount"}, width

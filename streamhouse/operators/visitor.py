@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from streamhouse.functions.times import event_time
 from streamhouse.operators.visits import is_session_start
-from streamhouse.operators.windows import WINDOW, tumble
+from streamhouse.operators.windows import WINDOW, carried, tumble, with_watermark
 
 KEYS = ("vc", "ch", "ar", "is_new")
 MEASURES = ("uv_ct", "pv_ct", "sv_ct", "uj_ct", "dur_sum")
@@ -21,6 +21,7 @@ def _branch(df: DataFrame, **measures: Column) -> DataFrame:
             measures.get(m, F.lit(0)).cast("bigint").alias(m)
             for m in MEASURES
         ],
+        *carried(df),
     )
 
 
@@ -48,12 +49,13 @@ def visitor_stats(
     bounced: DataFrame,
     width: str = WINDOW,
     delay: str = "3 seconds",
+    beat: DataFrame | None = None,
 ) -> DataFrame:
     """Visitors, page views, sessions, bounces and durations per version, channel, area, flag."""
     branches = [page_measures(page_log), unique_visit_measures(visits), bounce_measures(bounced)]
     # A bounce is known long after its page. With a watermark of its own, before the union, its
     # branch holds the windows open; the slowest branch counts.
-    first, *others = [b.withWatermark("event_time", delay) if b.isStreaming else b for b in branches]
+    first, *others = [with_watermark(b, delay, beat=beat) for b in branches]
     for other in others:
         first = first.unionByName(other)
     return tumble(first, KEYS, [F.sum(m).alias(m) for m in MEASURES], width)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,45 @@ from pyspark.sql import functions as F
 from streamhouse.functions.times import to_second_text
 
 WINDOW = "10 seconds"
+#: The id that a record of an exactly-once topic carries.
+RECORD = "_record"
+
+
+def carried(df: DataFrame) -> list[str]:
+    """The id column, for selects between a source and its watermark."""
+    return [RECORD] if RECORD in df.columns else []
+
+
+def pulse(inputs: Sequence[tuple[DataFrame, Column]], idle: str) -> DataFrame:
+    """Event times of some inputs, set back by ``idle``: they move the watermark of a branch that has no rows of its own.
+
+    Time comes from the data and not from a clock, so a job that reads old records again closes the same windows.
+    """
+    times = [df.select((time - F.expr(f"INTERVAL {idle}")).alias("event_time")) for df, time in inputs]
+    return reduce(DataFrame.unionByName, times)
+
+
+def with_watermark(df: DataFrame, delay: str, column: str = "event_time", beat: DataFrame | None = None) -> DataFrame:
+    """The stream with a watermark; records with an id are let through once. Batch input stays as it is.
+
+    With ``beat`` (see ``pulse``) the branch is never further behind than its times: a branch that is silent for
+    longer no longer holds windows open, and rows that it brings later are late.
+
+    A repeat has the event time of its first try. Within the watermark it is dropped by its id, whose state goes once the
+    watermark has passed the record; behind the watermark it is late.
+    """
+    if not df.isStreaming:
+        return df.drop(RECORD)
+    if beat is None:
+        marked = df.withWatermark(column, delay)
+    else:
+        both = df.withColumn("__beat", F.lit(False)).unionByName(
+            beat.select(F.col("event_time").alias(column), F.lit(True).alias("__beat")), allowMissingColumns=True
+        )
+        # The time is part of the condition, or else the filter would be moved below the watermark.
+        own = ~F.col("__beat") | F.col(column).isNull()
+        marked = both.withWatermark(column, delay).where(own).drop("__beat")
+    return marked.dropDuplicatesWithinWatermark([RECORD]).drop(RECORD) if RECORD in df.columns else marked
 
 
 def tumble(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], width: str) -> DataFrame:
