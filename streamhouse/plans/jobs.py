@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,14 +12,16 @@ from pyspark.sql.types import StructType
 
 from streamhouse import constants as C
 from streamhouse import schemas as S
-from streamhouse.functions.times import to_epoch_ms
+from streamhouse.functions.times import created_at, event_time, to_epoch_ms
 from streamhouse.operators import cdc, keyword, logs, product, province, visitor, visits, wide
-from streamhouse.sinks.tables import StatsSink, create_dims, upsert_dim
+from streamhouse.operators.windows import RECORD, pulse, with_watermark
+from streamhouse.sinks.tables import DIM_BUCKETS, StatsSink, create_dims, upsert_dim
 from streamhouse.sinks.topics import publish, to_topic
-from streamhouse.sources.tables import read_dim
-from streamhouse.sources.topics import Bus, create_topic_view, read_parsed, read_records, read_topic
-from streamhouse.streaming.processors import bounces_stream, repair_new_visitors_stream
-from streamhouse.streaming.runner import start
+from streamhouse.sources.tables import latest_version, parts_of, read_dim, read_parts, write_version
+from streamhouse.sources.topics import TEXT, Bus, create_topic_view, read_parsed, read_records, read_topic
+from streamhouse.streaming.late import OUT, is_late, late_input, told_late, watermark_before, with_inputs
+from streamhouse.streaming.processors import bounces_stream, repaired, with_first_days
+from streamhouse.streaming.runner import checkpoint_of, start
 
 CDC_RECORD = StructType([*S.CDC.fields]).add("ts", S.LONG).add("xid", S.LONG).add("xoffset", S.LONG)
 
@@ -39,7 +41,11 @@ DIM_TABLES = {
 
 @dataclass(frozen=True)
 class Warehouse:
-    """Where a deployment keeps its topics, tables and checkpoints."""
+    """Where a deployment keeps its topics, tables and checkpoints.
+
+    ``idle``: how far a silent topic may hold back the windows of a statistic behind page log and orders; without it, for
+    good. ``lexicon``: words by which runs of Chinese text become keywords; without it each stays one.
+    """
 
     spark: SparkSession
     bus: Bus
@@ -50,9 +56,12 @@ class Warehouse:
     available_now: bool = False
     window: str = "10 seconds"
     bounce_ms: int = visits.BOUNCE_MS
+    dim_buckets: int = DIM_BUCKETS
+    idle: str | None = None
+    lexicon: Callable[[], DataFrame] | None = None
 
-    def records(self, topic: str, schema: StructType) -> DataFrame:
-        return read_records(self.spark, self.bus, topic, schema)
+    def records(self, topic: str, schema: StructType, text: bool = False) -> DataFrame:
+        return read_records(self.spark, self.bus, topic, schema, text=text)
 
     def dim_tables(self, *names: str) -> wide.Dims:
         """Newest versions of the dimensions; one that was never written is empty."""
@@ -65,18 +74,46 @@ class Warehouse:
         return wide.Dims(**found)
 
     def start(
-        self, name: str, df: DataFrame, write: Callable[[DataFrame, int], None]
+        self, name: str, df: DataFrame, write: Callable[[DataFrame, int], None], mode: str = "append"
     ) -> StreamingQuery:
-        return start(df, name, write, self.checkpoints, self.available_now)
+        return start(df, name, write, self.checkpoints, self.available_now, mode=mode)
+
+    def beat(self, inputs: Sequence[tuple[DataFrame, Column]]) -> DataFrame | None:
+        return None if self.idle is None else pulse(inputs, self.idle)
+
+    def folder(self, name: str) -> str:
+        """The checkpoint of a job."""
+        return checkpoint_of(self.spark, name, self.checkpoints)
+
+    def publish(self, rows: DataFrame, name: str, batch_id: int) -> None:
+        publish(rows, self.bus, name, batch_id, self.folder(name))
 
     def start_topics(self, name: str, rows: DataFrame) -> StreamingQuery:
         """Publish ``topic`` and ``value`` rows."""
-        return self.start(name, rows, lambda df, batch: publish(df, self.bus, name, batch))
+        return self.start(name, rows, lambda df, batch: self.publish(df, name, batch))
+
+    def start_windows(
+        self, name: str, df: DataFrame, inputs: Sequence[DataFrame], write: Callable[[DataFrame, int], None]
+    ) -> StreamingQuery:
+        """``write`` the closed windows; publish input rows that came after their window had closed."""
+
+        def split(batch: DataFrame, batch_id: int) -> None:
+            before = watermark_before(batch.sparkSession, self.folder(name), batch_id)
+            kept = batch.where(F.col(OUT).isNotNull() | is_late(before, self.window)).persist()
+            try:
+                write(kept.where(F.col(OUT).isNotNull()).select(f"{OUT}.*"), batch_id)
+                late = told_late(kept, before, self.window, C.TOPIC_DEAD_LETTER)
+                publish(late, self.bus, f"{name}_late", batch_id, self.folder(name), "late")
+            finally:
+                kept.unpersist()
+
+        return self.start(name, with_inputs(df, inputs), split)
 
     def start_stats(
-        self, name: str, df: DataFrame, table: str, columns: list[str]
+        self, name: str, df: DataFrame, table: str, columns: list[str], inputs: Sequence[DataFrame] = ()
     ) -> StreamingQuery:
-        return self.start(name, df, lambda b, i: self.stats.append(b, table, columns, name, i))
+        """Append windows to a table of the analytic store."""
+        return self.start_windows(name, df, inputs, lambda b, i: self.stats.append(b, table, columns, name, i))
 
 
 def log_outputs(log: DataFrame) -> DataFrame:
@@ -116,18 +153,45 @@ def dead_letters(bad: DataFrame, topic: str) -> DataFrame:
 def split_log(w: Warehouse) -> StreamingQuery:
     """Repair new-visitor flags and split the raw log into start, page and display topics."""
     parsed = read_parsed(w.spark, w.bus, C.TOPIC_RAW_LOG, S.PAGE_LOG)
-    outputs = log_outputs(repair_new_visitors_stream(parsed.good))
-    return w.start_topics("split_log", outputs.unionByName(dead_letters(parsed.bad, C.TOPIC_RAW_LOG)))
+    tagged = with_first_days(parsed.good)
+    lost = dead_letters(parsed.bad, C.TOPIC_RAW_LOG)
+    stream = tagged.unionByName(lost.select(F.lit("lost").alias("kind"), F.struct("topic", "value").alias("lost")), allowMissingColumns=True)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            outputs = log_outputs(repaired(batch))
+            bad = batch.where("kind = 'lost'").select("lost.topic", "lost.value")
+            w.publish(outputs.unionByName(bad), "split_log", batch_id)
+        finally:
+            batch.unpersist()
+
+    return w.start("split_log", stream, write, mode="update")
+
+
+def refresh_routes(spark: SparkSession, folder: str, config: DataFrame, batch_id: int) -> DataFrame:
+    """The routes for a micro-batch: those of the batches before, overwritten by the configuration. Stored where that changes them."""
+    version = latest_version(spark, folder, before=batch_id)
+    known = None if version is None else read_parts(spark, folder, parts_of(spark, folder, version), S.ROUTES)
+    routes = cdc.load_routes(config, known)
+    if known is not None and routes is known:
+        return known
+    write_version(routes, folder, batch_id)
+    return read_parts(spark, folder, parts_of(spark, folder, batch_id), S.ROUTES)
 
 
 def route_changes(w: Warehouse) -> StreamingQuery:
-    """Route change records to fact topics and dimension tables, as configured right now."""
-    known: DataFrame | None = None
+    """Route change records to fact topics and dimension tables, as configured right now.
+
+    The routes in use are a table beside the job's checkpoint, with a version for each micro-batch that changed them. So a
+    route that left the configuration stays in use after a restart, and a repeated batch starts from what it
+    started from at first.
+    """
+    stored = f"{w.folder('route_changes')}/routes"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        nonlocal known
         spark = batch.sparkSession
-        known = routes = cdc.load_routes(w.routes(), known)
+        routes = refresh_routes(spark, stored, w.routes(), batch_id)
         tables = create_dims(spark, w.dims, routes)
         records, bad = logs.parse_json(batch, CDC_RECORD, keep=("position",))
         routed = cdc.route(cdc.clean(records), routes).withColumnRenamed("ts", "at").persist()
@@ -137,14 +201,14 @@ def route_changes(w: Warehouse) -> StreamingQuery:
                 F.col("sink_table").alias("topic"), F.to_json("data").alias("value")
             )
             lost = dead_letters(bad, C.TOPIC_RAW_DB)
-            publish(fact_rows.unionByName(lost), w.bus, "route_changes", batch_id)
+            w.publish(fact_rows.unionByName(lost), "route_changes", batch_id)
             # At most one row per dimension route.
             for row in dims.select(F.upper("sink_table").alias("t")).distinct().collect():
                 if row.t not in tables:
                     raise ValueError(f"no insert route creates the dimension {row.t}")
                 schema, pk = tables[row.t]
                 changes = cdc.dim_changes(dims, row.t)
-                upsert_dim(spark, w.dims, row.t, schema, pk, changes, batch_id)
+                upsert_dim(spark, w.dims, row.t, schema, pk, changes, batch_id, w.dim_buckets)
         finally:
             routed.unpersist()
 
@@ -152,13 +216,13 @@ def route_changes(w: Warehouse) -> StreamingQuery:
 
 
 def unique_visit(w: Warehouse) -> StreamingQuery:
-    log = w.records(C.TOPIC_PAGE, S.PAGE_LOG)
+    log = w.records(C.TOPIC_PAGE, S.PAGE_LOG).drop(RECORD)  # a repeat is no first visit
     first = visits.unique_visits(log).select(*log.columns)
     return w.start_topics("unique_visit", to_topic(first, C.TOPIC_UNIQUE_VISIT))
 
 
 def bounce_detail(w: Warehouse) -> StreamingQuery:
-    log = w.records(C.TOPIC_PAGE, S.PAGE_LOG)
+    log = w.records(C.TOPIC_PAGE, S.PAGE_LOG).drop(RECORD)  # a repeat changes no bounce
     bounced = bounces_stream(log, w.bounce_ms, IN_ORDER)
     rows = bounced.select(F.lit(C.TOPIC_BOUNCE).alias("topic"), "value")
     return w.start_topics("bounce_detail", rows)
@@ -166,7 +230,7 @@ def bounce_detail(w: Warehouse) -> StreamingQuery:
 
 def _timed(df: DataFrame, column: str, delay: str, offset: str | None = None) -> DataFrame:
     at = F.timestamp_millis(to_epoch_ms(F.col(column), offset))
-    return df.withColumn("event_time", at).withWatermark("event_time", delay)
+    return with_watermark(df.withColumn("event_time", at), delay)
 
 
 def order_wide(w: Warehouse) -> StreamingQuery:
@@ -177,7 +241,7 @@ def order_wide(w: Warehouse) -> StreamingQuery:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = wide.enrich_order_wide(batch, w.dim_tables(), F.now())
-        publish(to_topic(rows, C.TOPIC_ORDER_WIDE), w.bus, "order_wide", batch_id)
+        w.publish(to_topic(rows, C.TOPIC_ORDER_WIDE), "order_wide", batch_id)
 
     return w.start("order_wide", joined, write)
 
@@ -190,58 +254,76 @@ def payment_wide(w: Warehouse) -> StreamingQuery:
 
 
 def visitor_stats(w: Warehouse) -> StreamingQuery:
-    stats = visitor.visitor_stats(
-        w.records(C.TOPIC_PAGE, S.PAGE_LOG),
-        w.records(C.TOPIC_UNIQUE_VISIT, S.PAGE_LOG),
-        w.records(C.TOPIC_BOUNCE, S.PAGE_LOG),
-        w.window,
-        SOME_DISORDER,
-    )
-    return w.start_stats("visitor_stats", stats, "visitors_stats", S.VISITOR_STATS)
+    topics = (C.TOPIC_PAGE, C.TOPIC_UNIQUE_VISIT, C.TOPIC_BOUNCE)
+    inputs = {topic: w.records(topic, S.PAGE_LOG, text=True) for topic in topics}
+    beat = w.beat([(inputs[C.TOPIC_PAGE], event_time(F.col("ts")))])
+    stats = visitor.visitor_stats(*inputs.values(), w.window, SOME_DISORDER, beat)
+    late = [late_input(df, topic, event_time(F.col("ts")), TEXT) for topic, df in inputs.items()]
+    return w.start_stats("visitor_stats", stats, "visitors_stats", S.VISITOR_STATS, late)
 
 
 def product_stats(w: Warehouse) -> StreamingQuery:
     """Window totals per SKU; dimensions, table and topic once per micro-batch."""
-    log = w.records(C.TOPIC_PAGE, S.PAGE_LOG)
+    schemas = {
+        C.TOPIC_PAGE: S.PAGE_LOG,
+        C.TOPIC_ORDER_WIDE: S.ORDER_WIDE,
+        C.TOPIC_FAVOR: S.FAVOR_INFO,
+        C.TOPIC_CART: S.CART_INFO,
+        C.TOPIC_PAYMENT_WIDE: S.PAYMENT_WIDE,
+        C.TOPIC_REFUND: S.REFUND_INFO,
+        C.TOPIC_COMMENT: S.COMMENT_INFO,
+    }
+    inputs = {topic: w.records(topic, schema, text=True) for topic, schema in schemas.items()}
+    page, orders, favors, carts, payments, refunds, comments = inputs.values()
+    beat = w.beat([(page, event_time(F.col("ts"))), (orders, created_at(orders))])
     branches = [
-        product.page_measures(log, IN_ORDER),
-        product.order_measures(w.records(C.TOPIC_ORDER_WIDE, S.ORDER_WIDE), w.window, IN_ORDER),
-        product.favor_measures(w.records(C.TOPIC_FAVOR, S.FAVOR_INFO)),
-        product.cart_measures(w.records(C.TOPIC_CART, S.CART_INFO)),
-        product.payment_measures(
-            w.records(C.TOPIC_PAYMENT_WIDE, S.PAYMENT_WIDE), w.window, IN_ORDER
-        ),
-        product.refund_measures(w.records(C.TOPIC_REFUND, S.REFUND_INFO), w.window, IN_ORDER),
-        product.comment_measures(w.records(C.TOPIC_COMMENT, S.COMMENT_INFO)),
+        product.page_measures(page, IN_ORDER, beat),
+        product.order_measures(orders, w.window, IN_ORDER, beat),
+        product.favor_measures(favors),
+        product.cart_measures(carts),
+        product.payment_measures(payments, w.window, IN_ORDER, beat),
+        product.refund_measures(refunds, w.window, IN_ORDER, beat),
+        product.comment_measures(comments),
     ]
-    totals = product.product_totals(branches, w.window, IN_ORDER)
+    times = {C.TOPIC_PAGE: event_time(F.col("ts")), C.TOPIC_PAYMENT_WIDE: created_at(payments, "payment_create_time")}
+    late = [late_input(df, topic, times.get(topic, created_at(df)), TEXT) for topic, df in inputs.items()]
+    totals = product.product_totals(branches, w.window, IN_ORDER, beat)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        """One micro-batch's windows, with dimensions, to the store and the topic."""
         dims = w.dim_tables("sku", "spu", "trademark", "category3")
         rows = product.with_product_dims(batch, dims).persist()
         try:
             w.stats.append(rows, "product_stats", S.PRODUCT_STATS, "product_stats", batch_id)
-            publish(to_topic(rows, C.TOPIC_PRODUCT_STATS), w.bus, "product_stats", batch_id)
+            w.publish(to_topic(rows, C.TOPIC_PRODUCT_STATS), "product_stats", batch_id)
         finally:
             rows.unpersist()
 
-    return w.start("product_stats", totals, write)
+    return w.start_windows("product_stats", totals, late, write)
 
 
 def province_stats(w: Warehouse) -> StreamingQuery:
     orders = create_topic_view(
-        w.spark, w.bus, C.TOPIC_ORDER_WIDE, S.ORDER_WIDE, "order_wide", "province_stats"
+        w.spark, w.bus, C.TOPIC_ORDER_WIDE, S.ORDER_WIDE, "order_wide", "province_stats", text=True
     )
     stats = province.province_stats(orders, w.window)
-    return w.start_stats("province_stats", stats, "province_stats", S.PROVINCE_STATS)
+    late = late_input(orders, C.TOPIC_ORDER_WIDE, created_at(orders), TEXT)
+    return w.start_stats("province_stats", stats, "province_stats", S.PROVINCE_STATS, [late])
 
 
 def keyword_stats(w: Warehouse) -> StreamingQuery:
     view = create_topic_view(
-        w.spark, w.bus, C.TOPIC_PAGE, S.PAGE_VIEW, "page_view", "keyword_stats"
+        w.spark, w.bus, C.TOPIC_PAGE, S.PAGE_VIEW, "page_view", "keyword_stats", text=True
     )
-    stats = keyword.search_keywords(view, w.window)
-    return w.start_stats("keyword_stats", stats, "keyword_stats", S.KEYWORD_STATS)
+    stats = keyword.search_keywords(view, w.window) if w.lexicon is None else keyword.search_texts(view, w.window)
+    searched = view.where(keyword.is_search())  # other rows are in no window
+    late = late_input(searched, C.TOPIC_PAGE, keyword.searched_at(), TEXT)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch if w.lexicon is None else keyword.keywords_of_texts(batch, w.lexicon())
+        w.stats.append(rows, "keyword_stats", S.KEYWORD_STATS, "keyword_stats", batch_id)
+
+    return w.start_windows("keyword_stats", stats, [late], write)
 
 
 def product_keyword_stats(w: Warehouse) -> StreamingQuery:
@@ -251,8 +333,14 @@ def product_keyword_stats(w: Warehouse) -> StreamingQuery:
     stats = create_topic_view(
         w.spark, w.bus, C.TOPIC_PRODUCT_STATS, fields, "product_stats", "product_keyword_stats"
     )
-    words = keyword.product_keywords(stats)
-    return w.start_stats("product_keyword_stats", words, "keyword_stats", S.KEYWORD_STATS)
+    if w.bus.once:
+        stats = with_watermark(stats.withColumn("event_time", F.try_to_timestamp("stt")), SOME_DISORDER)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        words = keyword.product_keywords(batch, w.lexicon() if w.lexicon else None)
+        w.stats.append(words, "keyword_stats", S.KEYWORD_STATS, "product_keyword_stats", batch_id)
+
+    return w.start("product_keyword_stats", stats, write)
 
 
 JOBS: dict[str, Callable[[Warehouse], StreamingQuery]] = {

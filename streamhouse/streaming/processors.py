@@ -1,110 +1,51 @@
-"""Stateful operators that no built-in expression covers."""
+"""Stream forms of the stateful operators: streaming aggregates and joins, all in Spark's own state."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from streamhouse.functions.times import day_of, event_time
 from streamhouse.operators.visits import BOUNCE_MS, is_session_start
 
+#: Parts of the waiting time that are summed up before bounces are looked for.
+BUCKETS = 10
+ROW, FIRST_DAY = "row", "first_day"
 
-class FirstDay(StatefulProcessor):
-    """Remembers the first day on which a device was marked new; on other days it is not new.
-
-    The earliest day of a micro-batch counts, in whatever order its rows come.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first_day", "day string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        arrived, known = list(rows), self.first.get()
-        first = min([*([known[0]] if known else []), *(r.day for r in arrived if r.day is not None)], default=None)
-        if first is not None:
-            self.first.update((first,))
-        for row in arrived:
-            yield Row(is_new="1" if row.day == first else "0", value=row.value)
+def is_marked_new() -> Column:
+    return F.coalesce((F.col("common.is_new") == "1") & F.col("common.mid").isNotNull(), F.lit(False))
 
-    def close(self) -> None:
-        pass
 
+def with_first_days(log: DataFrame) -> DataFrame:
+    """Page logs, and the first day of each device that the micro-batch marks new, as rows of one stream.
 
-class BounceWait(StatefulProcessor):
-    """Holds the rows of a device until the watermark shows whether one more came in time."""
+    Run it in update mode and give each micro-batch to ``repaired``. A device has one small row of state, which is the
+    earliest day on which it was marked new; rows are pre-aggregated before they reach it, so a hot device is a row per task.
+    State is kept for good: its bound is the number of devices ever marked new.
+    """
+    marked = log.where(is_marked_new()).select(F.col("common.mid").alias("mid"), day_of(F.col("ts")).alias("day"))
+    first = marked.groupBy("mid").agg(F.min("day").alias("day"))
+    rows = log.select(F.lit(ROW).alias("kind"), F.struct(*log.columns).alias("row"))
+    return rows.unionByName(
+        first.select(F.lit(FIRST_DAY).alias("kind"), F.struct("mid", "day").alias("first")), allowMissingColumns=True
+    )
 
-    def __init__(self, within_ms: int):
-        self.within_ms = within_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.pending = handle.getListState(
-            "pending", "ts bigint, page_id string, starts boolean, value string"
-        )
+def repaired(batch: DataFrame) -> DataFrame:
+    """The page logs of a micro-batch of ``with_first_days``, not new on any day but the device's first.
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        arrived = [(r.ts, r.page_id, r.starts, r.value) for r in rows]
-        if not arrived:
-            return
-        self.pending.appendList(arrived)
-        due = min(r[0] for r in arrived) + self.within_ms
-        if due <= timerValues.getCurrentWatermarkInMs():
-            # A timer for a time already passed might never fire.
-            yield from self._settle(timerValues.getCurrentWatermarkInMs())
-        elif not any(timer <= due for timer in self.handle.listTimers()):
-            self.handle.registerTimer(due)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._settle(timerValues.getCurrentWatermarkInMs())
-
-    def _settle(self, watermark: int) -> Iterator[Row]:
-        """Emit the bounces that are certain, keep the rows that may still be continued."""
-        # Session starts come first among rows of the same millisecond.
-        rows = sorted(self.pending.get(), key=lambda r: (r[0], not r[2], r[1] or ""))
-        decided = [r for r in rows if r[0] + self.within_ms <= watermark]
-        waiting = rows[len(decided) :]
-        if waiting:
-            if decided:
-                self.pending.put([tuple(r) for r in waiting])
-            self.handle.registerTimer(waiting[0][0] + self.within_ms)
-        elif decided:
-            self.pending.clear()
-        for i, (ts, _, starts, value) in enumerate(decided):
-            ends = i + 1 == len(rows) or rows[i + 1][0] - ts >= self.within_ms
-            if starts and ends:
-                yield Row(value=value)
-
-    def close(self) -> None:
-        pass
-
-
-def repair_new_visitors_stream(log: DataFrame) -> DataFrame:
-    """Page logs with ``is_new`` repaired: micro-batches in order of arrival, each by its earliest day.
-
-    Only rows marked new reach the state. They cross to Python as key, day and JSON text;
-    all other rows, and those without a device, pass by.
+    Both kinds of rows come from the batch, so it should be persisted. The join with the devices is left to AQE, which
+    splits a hot one.
     """
-    is_new = F.coalesce((F.col("common.is_new") == "1") & F.col("common.mid").isNotNull(), F.lit(False))
-    flat = log.where(is_new).select(
-        F.col("common.mid").alias("mid"),
-        day_of(F.col("ts")).alias("day"),
-        F.to_json(F.struct(*log.columns)).alias("value"),
-    )
-    marked = flat.groupBy("mid").transformWithState(
-        statefulProcessor=FirstDay(),
-        outputStructType="is_new string, value string",
-        outputMode="Append",
-        timeMode="None",
-    )
-    parsed = marked.select("is_new", F.from_json("value", log.schema).alias("row"))
-    fixed = parsed.select(
-        F.col("row.common").withField("is_new", F.col("is_new")).alias("common"),
-        *[F.col(f"row.{c}") for c in log.columns if c != "common"],
-    )
-    return fixed.unionByName(log.where(~is_new))
+    row = F.col("row")
+    first = batch.where(F.col("kind") == FIRST_DAY).select(F.col("first.mid").alias("__mid"), F.col("first.day").alias("__first"))
+    fields = [f.name for f in batch.schema["row"].dataType.fields]
+    logs = batch.where(F.col("kind") == ROW).select(*[row[c].alias(c) for c in fields])
+    known = logs.join(first, (F.col("common.mid") == F.col("__mid")) & is_marked_new(), "left")
+    is_first = day_of(F.col("ts")).eqNullSafe(F.col("__first")) & F.col("__first").isNotNull()
+    flag = F.when(is_marked_new(), F.when(is_first, "1").otherwise("0")).otherwise(F.col("common.is_new"))
+    return known.withColumn("common", F.col("common").withField("is_new", flag)).select(*fields)
 
 
 def bounces_stream(
@@ -112,20 +53,54 @@ def bounces_stream(
 ) -> DataFrame:
     """JSON ``value`` of bounced session starts, once the watermark has passed their wait.
 
-    Only session starts carry their text; other rows just show that a visit went on.
+    A stream-stream left outer join of session starts with what the device did next. The later rows are summed up first:
+    a device and a tenth of the wait has one row, with its earliest time and its last row in order. So a start meets at
+    most twelve of them, however many rows its device has, and only starts carry their text. Both sides are keyed by
+    device and slot of time, so that a hot device is dealt out where a micro-batch spans more than a wait. What no later
+    row matches is emitted by the watermark.
+
+    Of rows at the same millisecond session starts come first, then smaller page ids. Of starts that
+    agree in device, time and page one is kept. Rows without a time are left out.
     """
     starts = is_session_start()
-    flat = page_log.select(
-        F.col("common.mid").alias("mid"),
-        "ts",
-        F.col("page.page_id").alias("page_id"),
-        starts.alias("starts"),
-        F.when(starts, F.to_json(F.struct(*page_log.columns))).alias("value"),
-        event_time(F.col("ts")).alias("event_time"),
-    ).withWatermark("event_time", delay)
-    return flat.groupBy("mid").transformWithState(
-        statefulProcessor=BounceWait(within_ms),
-        outputStructType="value string",
-        outputMode="Append",
-        timeMode="EventTime",
+    device = [F.coalesce("common.mid", F.lit("")).alias("mid"), F.col("common.mid").isNull().alias("nameless")]
+    flat = (
+        page_log.where(F.col("ts").isNotNull())
+        .select(
+            *device,
+            F.col("ts").alias("at"),
+            F.struct(F.col("ts"), (~starts).alias("goes_on"), F.col("page.page_id").alias("page_id")).alias("place"),
+            starts.alias("starts"),
+            F.when(starts, F.to_json(F.struct(*page_log.columns))).alias("value"),
+            event_time(F.col("ts")).alias("time"),
+        )
+        .withWatermark("time", delay)
+    )
+    bucket_ms = max(1, within_ms // BUCKETS)
+    window = F.window("time", f"{bucket_ms} milliseconds").alias("bucket")
+    later = (
+        flat.groupBy("mid", "nameless", window)
+        .agg(F.min("at").alias("earliest"), F.max("place").alias("last"))
+        .select("mid", "nameless", "earliest", "last", F.window_time("bucket").alias("until"))
+    )
+    # A bucket can continue starts of its own slot and of the one before.
+    slot = F.floor(F.col("earliest") / within_ms)
+    seen = later.select("*", F.explode(F.array(slot, slot - 1)).alias("slot")).alias("seen")
+    left = (
+        flat.where("starts")
+        .dropDuplicatesWithinWatermark(["mid", "nameless", "place"])
+        .select("mid", "nameless", "at", "place", "value", "time", F.floor(F.col("at") / within_ms).alias("slot"))
+        .alias("start")
+    )
+    wait = F.expr(f"INTERVAL {within_ms + bucket_ms} MILLISECONDS")
+    goes_on = (
+        (F.col("start.mid") == F.col("seen.mid"))
+        & (F.col("start.nameless") == F.col("seen.nameless"))
+        & (F.col("start.slot") == F.col("seen.slot"))
+        & (F.col("seen.until") >= F.col("start.time"))
+        & (F.col("seen.until") <= F.col("start.time") + wait)
+        & (F.col("seen.last") > F.col("start.place"))
+        & (F.col("seen.earliest") < F.col("start.at") + within_ms)
     )
+    joined = left.join(seen, goes_on, "left_outer")
+    return joined.where(F.col("seen.earliest").isNull()).select("start.value")

@@ -24,6 +24,11 @@ def prepare(spark: SparkSession, state_partitions: int | None = None) -> SparkSe
     return spark
 
 
+def checkpoint_of(spark: SparkSession, name: str, checkpoints: str | None = None) -> str:
+    """The checkpoint of a query: below ``checkpoints``, or else below the cluster's shared folder."""
+    return f"{checkpoints or durable_dir(spark, 'streams')}/{name}"
+
+
 def start(
     df: DataFrame,
     name: str,
@@ -31,16 +36,16 @@ def start(
     checkpoints: str | None = None,
     available_now: bool = False,
     every: str = "5 seconds",
+    mode: str = "append",
 ) -> StreamingQuery:
     """Run ``write`` on every micro-batch of ``df``.
 
     The checkpoint is ``checkpoints``/name, by default below the cluster's shared folder.
     """
-    root = checkpoints or durable_dir(df.sparkSession, "streams")
     writer = (
         df.writeStream.queryName(name)
-        .outputMode("append")
-        .option("checkpointLocation", f"{root}/{name}")
+        .outputMode(mode)
+        .option("checkpointLocation", checkpoint_of(df.sparkSession, name, checkpoints))
         .foreachBatch(write)
     )
     trigger = {"availableNow": True} if available_now else {"processingTime": every}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,8 +16,9 @@ from streamhouse.operators import logs, visitor, visits
 from streamhouse.plans import jobs
 from streamhouse.sinks.tables import StatsSink
 from streamhouse.sources.tables import find_in_dim, read_dim, write_version
-from streamhouse.sources.topics import Bus, read_topic
-from streamhouse.streaming.processors import bounces_stream
+from streamhouse.sinks.topics import publish
+from streamhouse.sources.topics import Bus, kafka_options, read_topic
+from streamhouse.streaming.processors import bounces_stream, with_first_days
 from streamhouse.streaming.runner import late_rows, start_console
 
 BASE = 1_700_000_000_000
@@ -48,6 +50,10 @@ def topic(house, name, schema):
     return logs.parse_json(values, schema).good
 
 
+def topic_text(house, name):
+    return house.spark.read.option("recursiveFileLookup", "true").text(f"{house.bus.folder}/topic={name}")
+
+
 def stats(house, table):
     return house.spark.read.parquet(f"{house.stats.folder}/{table}")
 
@@ -105,6 +111,21 @@ def test_new_visitor_days_in_any_order(house, feed, log, logs_of, rows):
     assert rows(got, *columns) == rows(want, *columns)
 
 
+def test_first_days_of_a_hot_device(house, feed, log, logs_of, rows):
+    """Half of the rows have one device; its state gets one row per task, and no other flag changes."""
+    day = 24 * 3600 * 1000
+    first = [log("hot" if i % 2 else f"m{i}", BASE + (i % 3) * day, is_new=None if i % 7 == 0 else "1") for i in range(900)]
+    second = [log("hot", BASE - day), *(log("hot", BASE + i, is_new=str(i % 2)) for i in range(90))]
+    feed(house.bus.folder, C.TOPIC_RAW_LOG, first)
+    feed(house.bus.folder, C.TOPIC_RAW_LOG, second)
+    finish(jobs.split_log(house))
+    columns = ("common.mid", "ts", "common.is_new")
+    flags = {mid: min(r["ts"] // day for r in first if r["common"]["mid"] == mid and r["common"]["is_new"] == "1") for mid in {r["common"]["mid"] for r in first if r["common"]["is_new"]}}
+    want = [(r["common"]["mid"], r["ts"], r["common"]["is_new"] and str(int(r["ts"] // day == flags[r["common"]["mid"]]))) for r in first]
+    want += [("hot", BASE - day, "1"), *(("hot", BASE + i, "0") for i in range(90))]
+    assert rows(topic(house, C.TOPIC_PAGE, S.PAGE_LOG), *columns) == sorted(want, key=repr)
+
+
 def test_late_known_bounce_is_counted(house, feed, log, rows):
     """The bounce of T is known, and written, once the page log is past T + 10 s."""
     bounce = log("a", BASE)
@@ -161,6 +182,48 @@ def test_bounces_out_of_order(house, feed, log, logs_of, rows):
     assert want.count() > 20
 
 
+def test_bounces_at_equal_times(house, feed, log, logs_of, rows):
+    """Ties, copies, and devices without a name, each row up to three seconds late."""
+    chance = random.Random(8)
+    records = []
+    for mid in ("a", "b", "c", None, ""):
+        ts = BASE
+        for _ in range(60):
+            ts += chance.choice([0, 0, 1, 999, 1_000, 9_000, 9_999, 10_000, 11_000])
+            page = chance.choice(["home", "list", "cart", None])
+            records += [log(mid, ts, page, last=chance.choice([None, "", "home"]))] * chance.choice([1, 1, 2])
+    records.sort(key=lambda r: r["ts"] + chance.randrange(3_000))
+    for i in range(0, len(records), 60):
+        feed(house.bus.folder, C.TOPIC_PAGE, records[i : i + 60])
+    feed(house.bus.folder, C.TOPIC_PAGE, [log("end", LATER, last="home")])
+    bounced = bounces_stream(house.records(C.TOPIC_PAGE, S.PAGE_LOG), delay="4 seconds")
+    finish(house.start_topics("bounced", bounced.select(F.lit("bounced").alias("topic"), "value")))
+    columns = ("common.mid", "ts", "page.page_id")
+    want = rows(visits.bounces(logs_of(records)), *columns)
+    assert rows(topic(house, "bounced", S.PAGE_LOG), *columns) == want
+    assert len({r[0] for r in want}) == 5
+
+
+def test_bounces_of_a_hot_device(house, feed, log, logs_of, rows):
+    """All rows of one device: a start meets a few sums of its later rows, not the rows."""
+    records = [log("hot", BASE + 7 * i, last=None if i % 3 else "home") for i in range(6_000)]
+    feed(house.bus.folder, C.TOPIC_PAGE, records)
+    feed(house.bus.folder, C.TOPIC_PAGE, [log("end", LATER, last="home")])
+    query = jobs.bounce_detail(house)
+    finish(query)
+    assert rows(topic(house, C.TOPIC_BOUNCE, S.PAGE_LOG), "ts") == rows(visits.bounces(logs_of(records)), "ts")
+    kept = {state.operatorName: state.numRowsTotal for p in query.recentProgress[:1] for state in p.stateOperators}
+    assert kept["symmetricHashJoin"] <= 4_000 + 2 * 44
+
+
+def test_streams_run_no_python(house):
+    Path(house.bus.folder, f"topic={C.TOPIC_PAGE}").mkdir(parents=True)
+    page = house.records(C.TOPIC_PAGE, S.PAGE_LOG)
+    for df in (bounces_stream(page), with_first_days(page), visits.unique_visits(page)):
+        text = df._jdf.queryExecution().analyzed().toString()
+        assert not any(bad in text for bad in ("Python", "TransformWithState", "Pandas", "Arrow"))
+
+
 def test_visitor_stats(house, feed, log, logs_of, rows):
     chance = random.Random(3)
     records = [
@@ -197,12 +260,103 @@ def test_late_row_is_dropped(house, feed, log, rows):
     query = jobs.keyword_stats(house)
     finish(query)
     assert late_rows(query) == 1
+    told = [json.loads(r.value) for r in topic_text(house, C.TOPIC_DEAD_LETTER).collect()]
+    assert [(x["source_topic"], x["event_ms"], json.loads(x["value"])["page"]["item"]) for x in told] == [(C.TOPIC_PAGE, BASE, "late")]
+    # Event time has whole seconds, the watermark is two seconds behind.
+    assert told[0]["late_ms"] == 58_000
     got = stats(house, "keyword_stats")
     assert rows(got, "keyword", "ct", "source") == [
         ("bolt", 1, "SEARCH"), ("red", 1, "SEARCH"), ("ring", 1, "SEARCH"),
     ]
 
 
+def test_late_rows_of_many_batches_and_a_restart(house, feed, log, rows):
+    """As many rows in the side output as the query drops, also in the first batch after a restart."""
+    chance = random.Random(2)
+    page = lambda ts, word: log("a", ts, "good_list", page={"item": word})
+    dropped, at = 0, BASE
+    for part in range(2):
+        for _ in range(6):
+            at += chance.choice([1_000, 12_000, 40_000])
+            words = [page(at - chance.choice([0, 2_000, 11_000, 25_000, 90_000]), f"w{chance.randrange(10**6)}") for _ in range(8)]
+            feed(house.bus.folder, C.TOPIC_PAGE, [*words, log("a", at - 50_000, "home"), page(at, "now")])
+        query = jobs.keyword_stats(house)
+        finish(query)
+        dropped += late_rows(query)
+    told = [json.loads(r.value) for r in topic_text(house, C.TOPIC_DEAD_LETTER).collect()]
+    assert len(told) == dropped > 10
+    assert all(x["late_ms"] > 0 and json.loads(x["value"])["page"]["page_id"] == "good_list" for x in told)
+
+
+def test_late_rows_of_every_branch(house, feed, log, rows):
+    for topic_ in (C.TOPIC_PAGE, C.TOPIC_UNIQUE_VISIT, C.TOPIC_BOUNCE):
+        for ts in (BASE, LATER, LATER + 1, BASE + 5, LATER + 2):
+            feed(house.bus.folder, topic_, [log("a", ts)])
+    query = jobs.visitor_stats(house)
+    finish(query)
+    told = [json.loads(r.value) for r in topic_text(house, C.TOPIC_DEAD_LETTER).collect()]
+    assert sorted((x["source_topic"], x["event_ms"]) for x in told) == sorted((t, BASE + 5) for t in (C.TOPIC_PAGE, C.TOPIC_UNIQUE_VISIT, C.TOPIC_BOUNCE))
+    assert stats(house, "visitors_stats").groupBy().sum("pv_ct", "uv_ct", "uj_ct").first()[:] == (1, 1, 1)
+
+
+@pytest.mark.parametrize("idle", [None, "30 minutes"])
+def test_silent_topics(house, feed, log, rows, idle):
+    """Two topics bring one early row and others none: they hold windows open for good, or for half an hour of event time."""
+    folder = house.bus.folder
+    at, hour = "2023-11-14 22:13:20", 3_600_000
+    feed(folder, C.TOPIC_FAVOR, [{"sku_id": 7, "create_time": at}])
+    feed(folder, C.TOPIC_PAYMENT_WIDE, [{"payment_id": 1, "order_id": 1, "sku_id": 7, "split_total_amount": 1.0, "payment_create_time": at}])
+    for name in (C.TOPIC_CART, C.TOPIC_REFUND, C.TOPIC_COMMENT, C.TOPIC_ORDER_WIDE):
+        Path(folder, f"topic={name}").mkdir()
+    view = lambda ts: log("a", ts, "good_detail", page={"item": "7"})
+    feed(folder, C.TOPIC_PAGE, [view(BASE), view(BASE + 1)])
+    feed(folder, C.TOPIC_PAGE, [view(BASE + hour), view(BASE + hour + 10_000)])
+    feed(folder, C.TOPIC_PAGE, [view(BASE + 2 * hour)])
+    query = jobs.product_stats(replace(house, idle=idle))
+    finish(query)
+    if idle is None:
+        assert not Path(house.stats.folder, "product_stats").exists() or stats(house, "product_stats").count() == 0
+        return
+    assert late_rows(query) == 0
+    got = stats(house, "product_stats")
+    assert rows(got, "stt", "click_ct", "favor_ct", "paid_order_ct") == [
+        (at, 2, 1, 1), ("2023-11-14 23:13:20", 1, 0, 0), ("2023-11-14 23:13:30", 1, 0, 0),
+    ]
+
+
+def test_a_branch_may_lag_less_than_the_idle_time(house, feed, log, rows):
+    page = [log("a", BASE), log("a", BASE + 50_000, last="home"), log("a", BASE + 100_000, last="home"), log("a", BASE + 300_000, last="home")]
+    for record in page:
+        feed(house.bus.folder, C.TOPIC_PAGE, [record])
+    for ts in (BASE + 20_000, BASE + 60_000):
+        feed(house.bus.folder, C.TOPIC_BOUNCE, [log("b", ts)])
+    feed(house.bus.folder, C.TOPIC_UNIQUE_VISIT, [log("b", BASE + 40_000)])
+    query = jobs.visitor_stats(replace(house, idle="2 minutes"))
+    finish(query)
+    assert late_rows(query) == 0
+    got = stats(house, "visitors_stats")
+    assert got.groupBy().sum("pv_ct", "uj_ct", "uv_ct").first()[:] == (3, 2, 1)
+
+
+def test_keywords_by_lexicon(house, feed, log, rows, spark):
+    lexicon = spark.createDataFrame([("小米",), ("智能手机",)], "word string")
+    house = replace(house, lexicon=lambda: lexicon)
+    search = lambda ts, text: log("a", ts, "good_list", page={"item": text})
+    feed(house.bus.folder, C.TOPIC_PAGE, [search(BASE, "小米智能手机 Pro"), search(BASE + 1, "小米智能手机 Pro"), search(BASE + 2, "小米")])
+    feed(house.bus.folder, C.TOPIC_PAGE, [search(LATER, "end")])
+    finish(jobs.keyword_stats(house))
+    assert rows(stats(house, "keyword_stats"), "keyword", "ct", "source") == [
+        ("pro", 2, "SEARCH"), ("小米", 3, "SEARCH"), ("智能手机", 2, "SEARCH"),
+    ]
+    row = {"spu_name": "小米智能手机", "click_ct": 3, "cart_ct": 0, "order_ct": 1, "stt": "s", "edt": "e"}
+    feed(house.bus.folder, C.TOPIC_PRODUCT_STATS, [row])
+    finish(jobs.product_keyword_stats(house))
+    got = stats(house, "keyword_stats").where("stt = 's'")
+    assert rows(got, "keyword", "ct", "source") == [
+        ("小米", 1, "ORDER"), ("小米", 3, "CLICK"), ("智能手机", 1, "ORDER"), ("智能手机", 3, "CLICK"),
+    ]
+
+
 def dim(house, table, columns, data):
     df = house.spark.createDataFrame(data, ", ".join(f"{c} string" for c in columns))
     write_version(df, f"{house.dims}/{table}", 0)
@@ -332,6 +486,83 @@ def test_route_changes(house, feed, spark, rows):
     assert rows(find_in_dim(dim_rows, id="2", name="North")) == []
 
 
+def test_routes_survive_a_restart(house, feed, spark, rows):
+    """A route that left the configuration is still in use after a restart."""
+    first = [("order_info", "insert", "kafka", "dwd_order_info", "", "id", None), ("cart", "insert", "kafka", "dwd_cart", "id", "id", None)]
+    change = lambda table, **data: {"table": table, "type": "insert", "data": data, "ts": 1}
+    folder = house.bus.folder
+    feed(folder, C.TOPIC_RAW_DB, [change("order_info", id=1)])
+    finish(jobs.route_changes(replace(house, routes=lambda: spark.createDataFrame(first, S.ROUTES))))
+    feed(folder, C.TOPIC_RAW_DB, [change("order_info", id=2), change("cart", id=3, sku=4)])
+    later = [("cart", "insert", "kafka", "dwd_cart", "id,sku", "id", None)]
+    finish(jobs.route_changes(replace(house, routes=lambda: spark.createDataFrame(later, S.ROUTES))))
+    assert rows(topic_text(house, "dwd_order_info")) == [('{"id":"1"}',), ('{"id":"2"}',)]
+    assert rows(topic_text(house, "dwd_cart")) == [('{"id":"3","sku":"4"}',)]
+
+
+def test_routes_of_a_repeated_batch(spark, tmp_path, rows):
+    """A batch starts from the routes before it, not from what its own first try stored."""
+    route = lambda name, sink: (name, "insert", "kafka", sink, "", "id", None)
+    refresh = lambda batch, *routes: rows(jobs.refresh_routes(spark, str(tmp_path / "r"), spark.createDataFrame(list(routes), S.ROUTES), batch), "source_table", "sink_table")
+    assert refresh(0, route("a", "x")) == [("a", "x")]
+    assert refresh(1, route("b", "y")) == [("a", "x"), ("b", "y")]
+    assert refresh(1, route("a", "z")) == [("a", "z")]
+    assert refresh(2, route("a", "z")) == [("a", "z")]
+    with pytest.raises(ValueError, match="empty"):
+        jobs.refresh_routes(spark, str(tmp_path / "other"), spark.createDataFrame([], S.ROUTES), 0)
+
+
+def test_a_batch_written_twice_is_read_once(house, log, rows, spark, tmp_path):
+    bus = Bus(folder=f"{house.bus.folder}-once", per_trigger=1, once=True)
+    run = tmp_path / "run"
+    run.mkdir()
+    (run / "metadata").write_text('{"id":"r1"}')
+    record = lambda ts, item: (C.TOPIC_PAGE, json.dumps(log("a", ts, "good_list", page={"item": item})))
+    df = lambda *data: spark.createDataFrame(list(data), "topic string, value string")
+    first = [record(BASE, "red ring"), record(BASE, "red ring"), record(BASE + 1, "bolt")]
+    publish(df(*first), bus, "writer", 0, str(run))
+    publish(df(*reversed(first)), bus, "writer", 0, str(run))
+    publish(df(record(BASE + 2, "bolt")), bus, "writer", 1, str(run))
+    # What a repeated batch computes anew does not count, only what its first try wrote.
+    publish(df(record(BASE + 3, "other")), bus, "writer", 1, str(run))
+    folder = f"{bus.folder}/topic={C.TOPIC_PAGE}"
+    spark.createDataFrame([(record(at, "nut")[1], None) for at in (BASE + 4, LATER)], "value string, record string").coalesce(1).write.mode("append").parquet(folder)
+    assert spark.read.parquet(folder).count() == 10
+    once = replace(house, bus=bus)
+    finish(jobs.keyword_stats(once))
+    want = [("bolt", 2), ("nut", 1), ("red", 2), ("ring", 2)]
+    assert rows(stats(once, "keyword_stats").where("stt < '2023-12-01'"), "keyword", "ct") == want
+    # A reader that has read the first try already drops the second as well.
+    publish(df(*first), bus, "writer", 0, str(run))
+    finish(jobs.keyword_stats(once))
+    assert rows(stats(once, "keyword_stats").where("stt < '2023-12-01'"), "keyword", "ct") == want
+
+
+def test_jobs_on_an_exactly_once_bus(house, log, rows, spark):
+    """The page jobs from raw log to statistics; then each topic's last batch is published again."""
+    bus = Bus(folder=f"{house.bus.folder}-once", once=True)
+    once = replace(house, bus=bus)
+    records = [log("a", BASE), log("a", BASE + 1_000, last="home"), log("b", BASE + 2_000), log("end", LATER)]
+    raw = spark.createDataFrame([(json.dumps(r), None) for r in records], "value string, record string")
+    raw.write.parquet(f"{bus.folder}/topic={C.TOPIC_RAW_LOG}")
+    finish(jobs.split_log(once))
+    for job in (jobs.unique_visit, jobs.bounce_detail):
+        finish(job(once))
+    for name in ("split_log", "unique_visit", "bounce_detail"):
+        publish(spark.createDataFrame([], "topic string, value string"), bus, name, 0, once.folder(name))
+    for name in (C.TOPIC_UNIQUE_VISIT, C.TOPIC_BOUNCE):
+        spark.createDataFrame([(json.dumps(log("end", LATER + 1)), None)], "value string, record string").write.mode("append").parquet(f"{bus.folder}/topic={name}")
+    finish(jobs.visitor_stats(once))
+    got = stats(once, "visitors_stats").where("stt < '2023-12-01'")
+    assert rows(got.groupBy().sum("uv_ct", "pv_ct", "sv_ct", "uj_ct")) == [(2, 3, 2, 1)]
+
+
+def test_records_with_ids_in_kafka():
+    assert kafka_options(Bus(servers="a:9092", once=True), "t", None, "latest")["includeHeaders"] == "true"
+    with pytest.raises(ValueError, match="checkpoint"):
+        publish(None, Bus(servers="a:9092", once=True), "w", 0)
+
+
 def test_console_prints_every_row(house, feed, capsys):
     feed(house.bus.folder, "t", [f"hello {i}" for i in range(30)])
     topic_rows = read_topic(house.spark, house.bus, "t").select("value")
