@@ -31,6 +31,8 @@ from streamhouse.llm import words
 
 BUDGET, HISTORY, HISTORY_TOKENS = 1_024, 2, 256
 BLOCK = 256
+#: The block of turns without a number, before all others.
+FIRST = -(1 << 60)
 TURN, END = "<|turn|>", "<|end|>"
 CONTROLS = (TURN, END, "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<s>", "</s>")
 BROKEN = re.compile("|".join(re.escape(c) for c in CONTROLS))
@@ -120,7 +122,7 @@ class Block:
         repeats, own = self.repeats(), self.turns[:n]
         text, start, end = formatted(repeats + own, len(repeats))
         out = (*self.key, self.number, len(repeats), len(own), text, start, end)
-        if self.system is None and self.key[1] <= 0:
+        if self.system is None:  # no block before has one
             self.system = next((t for t in own if t[0] == "system"), None)
         self.history = self.limited(self.history + own)
         self.turns, self.number = self.turns[n:], self.number + 1
@@ -159,13 +161,13 @@ def windows(conversations: DataFrame) -> DataFrame:
     """conv_id, block, window (order), n_repeated (leading turns), n_turns (new ones), text, loss_from, loss_to (code points)."""
     words.ship(conversations.sparkSession)
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1)).cast("long")
+    block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(FIRST)).cast("long")
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), plain("role"), plain("text")).withColumn("block", block)
     near = F.pmod("turn", F.lit(BLOCK)) >= BLOCK - HISTORY
     here = F.struct(F.col("block"), F.lit(OWN).alias("kind"))
     next_ = F.struct((F.col("block") + 1).alias("block"), F.lit(CARRIED).alias("kind"))
     dealt = rows.select("conv_id", "turn", "role", "text", F.inline(F.when(near, F.array(here, next_)).otherwise(F.array(here))))
-    later = rows.filter("block > 0").select("conv_id", "block").distinct()
+    later = rows.select("conv_id", "block").distinct()
     first = rows.filter("role = 'system'").groupBy("conv_id").agg(F.min(F.struct("turn", "text", "block")).alias("first"))
     systems = later.alias("l").join(first.alias("f"), F.col("l.conv_id").eqNullSafe(F.col("f.conv_id")) & (F.col("l.block") > F.col("first.block")))
     systems = systems.select("l.conv_id", F.col("first.turn").alias("turn"), F.lit("system").alias("role"), F.col("first.text").alias("text"), "l.block", F.lit(SYSTEM).alias("kind"))

@@ -12,7 +12,7 @@ host meets others. Texts are shuffled once, line hashes once.
 Defined cases: null html is empty, a page without text gives an empty string; null or unreadable URLs form one host; pages of
 equal URL are neighbours in order of id; repeated rows each get a row; an empty table gives no rows; other columns are
 ignored. Broken markup: unclosed elements end with their parent, a stray end tag is ignored, an unclosed comment, script or
-style reaches to the end, a `<` that starts no tag is text.
+style reaches to the end, other embedded elements without an end are ignored, a `<` that starts no tag is text.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from streamhouse.llm import words
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b[^>]*/>|<(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(noscript|template|svg|iframe|textarea|object|math)\b[^>]*>.*?</\2\s*>"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -48,6 +49,8 @@ MARKED = frozenset(
     " social share sharing related recommended newsletter subscribe subscription signup popup modal overlay widget login search searchbox pagination pager toolbar"
     " complementary contentinfo skip skip-link".split()
 )
+#: An article with such a mark announces another page; it is text like its surroundings.
+TEASERS = frozenset("teaser preview excerpt card post-card article-card article-preview".split())
 HEADER_MARKS = frozenset(("header", "site-header", "page-header", "topbar"))
 
 
@@ -64,14 +67,15 @@ def lines(html: str) -> tuple[list[str], list[int]]:
             buffer.clear()
 
     for m in TOKEN.finditer(html):
+        closing, name, attributes = (m[3], m[4], m[5]) if m[4] else (m[6], m[7], m[8]) if m[7] else ("", "", "")
         if m.start() > at:
             piece = html[at : m.start()]
             buffer.append(unescape(piece) if "&" in piece else piece)
         at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+        tag = name.lower()
         if not tag:
             continue
-        end, block = m[2] or m[5], tag in BLOCKS
+        end, block = closing, tag in BLOCKS
         if tag == "br":
             buffer.append(" ")
             continue
@@ -85,7 +89,7 @@ def lines(html: str) -> tuple[list[str], list[int]]:
                     break
                 if stack[i][0] in CONTENT and not block:
                     break
-        elif tag not in VOID and not (m[4] or m[7] or "").endswith("/"):
+        elif tag not in VOID and not attributes.endswith("/"):
             if block:  # a paragraph, item or cell ends where the next block begins
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p":
@@ -96,11 +100,11 @@ def lines(html: str) -> tuple[list[str], list[int]]:
                         break
             stack.append((tag, level))
             if level:
-                marks = {w for g in MARKS.findall(m[4] or m[7] or "") for w in re.split(r"[\s]+", "".join(g).lower())}
+                marks = {w for g in MARKS.findall(attributes) for w in re.split(r"[\s]+", "".join(g).lower())}
                 outside = level == 1 and (tag == "header" or marks & HEADER_MARKS)
                 if tag in FURNITURE or outside or tag not in ("html", "body", "main") and marks & MARKED:
                     level = 0
-                elif tag in CONTENT or "main" in marks:
+                elif tag in CONTENT and not marks & TEASERS or "main" in marks:
                     level = 2
     piece = html[at:]
     buffer.append(unescape(piece))

@@ -48,6 +48,23 @@ def test_chat_windows(spark):
     assert chat.digests(chat.windows(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("at", [None, -700, -3, 0, 5, 300, 511, 900])
+def test_every_window_after_the_first_system_turn_has_it(spark, at):
+    """Whatever its number; a later system turn does not take its place."""
+    numbers = [None, *range(-900, -500, 9), *range(-300, 0, 7), *range(1, 1_400, 3)]
+    rows = [(1, t, "user" if k % 2 else "assistant", f"{k} " + "w" * 400) for k, t in enumerate(numbers)]
+    df = spark.createDataFrame([*rows, (1, at, "system", "rules"), (1, 1_399, "system", "later")], "conv_id long, turn long, role string, text string").repartition(3)
+    windows = chat.windows(df).orderBy("block", "window").collect()
+    turns = [(w.n_repeated, chat.parsed(w.text)) for w in windows]
+    own = [x for n, t in turns for x in t[n:]]
+    first = own.index(("system", "rules"))
+    seen = 0
+    for n, each in turns:
+        assert (each[0] == ("system", "rules") and n > 0) == (seen > first), each[0]
+        seen += len(each) - n
+    assert {tuple(x)[:5] for x in chat.digests(chat.windows(df)).collect()} == digests([tuple(r) for r in df.collect()])
+
+
 def test_escaping():
     r = random.Random(2)
     parts = ["<", "s>", "</s>", "[INST]", "\\", "\n", "a", "<|end|>", "<|turn|>", "|>", "<</SYS>>"]
@@ -72,6 +89,16 @@ def test_page_structure():
     assert pages.main_text("<p>a<script>b", [])[0] == "a" and pages.main_text("<!-- x", [])[0] == ""
 
 
+def test_embedded_elements_and_teasers():
+    text = lambda html: pages.main_text(html, [])[0]
+    assert text("<article><p>a<svg/>b</p><p>rest</p></article>") == "ab\nrest"
+    assert text('<article><p>a<math xmlns="m" />b</p><svg width=1><text>x</text></svg><p>rest</p></article>') == "ab\nrest"
+    assert text("<article><p>a<svg><path>b</p><p>rest</p><iframe>c</article>") == "ab\nrest\nc"
+    assert text("<p>a<script/>b</p>") == "a" and text("<p>a<style>b</style>c</p>") == "ac"
+    assert text('<div><p>Body</p><article class="teaser"><p>More</p></article></div>') == "Body\nMore"
+    assert text('<main><p>Body</p><article class="card"><p>More</p></article></main><p>x</p>') == "Body\nMore"
+
+
 def test_shared_lines():
     r = random.Random(3)
     for _ in range(300):
