@@ -18,16 +18,29 @@ def interval_join(
     right_time: str,
     lower_ms: int,
     upper_ms: int,
+    slots: bool = False,
 ) -> DataFrame:
     """Inner join on ``on`` where right time lies in [left + lower, left + upper].
 
     Both times are timestamps. On streams both inputs need a watermark on them. ``on`` holds
     an equality, so batch input runs as a shuffle join whose hot partitions AQE splits.
+
+    AQE splits one side of a hot key, so each of its rows still meets all of the other. With ``slots`` (batch only) time is cut
+    into slots as wide as the interval, which are part of the key; the right side has each row in two of them. Use it where a key is hot
+    on both sides: then its rows meet those near them in time only. It costs a second copy of the right rows.
     """
     low = F.col(left_time) + interval_ms(lower_ms)
     high = F.col(left_time) + interval_ms(upper_ms)
     in_reach = (F.col(right_time) >= low) & (F.col(right_time) <= high)
-    return left.join(right, on & in_reach, "inner")
+    if not slots:
+        return left.join(right, on & in_reach, "inner")
+    width = max(upper_ms - lower_ms, 1)
+    first = F.floor((F.unix_millis(left_time) + lower_ms) / width)
+    own = F.floor(F.unix_millis(right_time) / width)
+    near = left.withColumn("__slot", first)
+    copies = right.withColumn("__right_slot", F.explode(F.array(own, own - 1)))
+    met = near.join(copies, on & (F.col("__slot") == F.col("__right_slot")) & in_reach, "inner")
+    return met.drop("__slot", "__right_slot")
 
 
 def dim_join(

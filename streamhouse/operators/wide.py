@@ -115,7 +115,7 @@ def with_sku(df: DataFrame, dims: Dims) -> DataFrame:
 
 
 def join_order_detail(
-    orders: DataFrame, details: DataFrame, reach_ms: tuple[int, int] = ORDER_REACH_MS
+    orders: DataFrame, details: DataFrame, reach_ms: tuple[int, int] = ORDER_REACH_MS, slots: bool = False
 ) -> DataFrame:
     """Orders with their details created within the reach.
 
@@ -132,6 +132,7 @@ def join_order_detail(
         "event_time",
         "detail_event_time",
         *reach_ms,
+        slots,
     )
 
 
@@ -183,7 +184,7 @@ def enrich_order_wide(rows: DataFrame, dims: Dims, as_of: Column) -> DataFrame:
 
 
 def payment_wide(
-    payments: DataFrame, orders: DataFrame, reach_ms: tuple[int, int] = PAYMENT_REACH_MS
+    payments: DataFrame, orders: DataFrame, reach_ms: tuple[int, int] = PAYMENT_REACH_MS, slots: bool = False
 ) -> DataFrame:
     """Payments merged with the order-wide rows of the half hour before, plus ``event_time``.
 
@@ -198,6 +199,7 @@ def payment_wide(
         "pay_event_time",
         "event_time",
         *reach_ms,
+        slots,
     )
     merged = {
         "payment_id": F.col("pay_id"),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -14,7 +16,7 @@ from streamhouse.functions import times
 from streamhouse.functions.measures import unpivot_measures
 from streamhouse.functions.texts import explode_keywords, is_blank, to_json_value
 from streamhouse.operators import cdc, keyword, logs, product, province, visitor, visits, wide
-from streamhouse.operators.joins import dim_join, keyed_lookup
+from streamhouse.operators.joins import dim_join, interval_join, keyed_lookup
 from streamhouse.operators.neighbours import with_neighbour
 
 BASE = 1_700_000_000_000
@@ -138,6 +140,23 @@ def test_hot_order_is_split(spark, small_skew):
     )
 
 
+def test_interval_join_by_slots(spark, rows):
+    """The same rows, ties and borders included, with one key that is hot on both sides; pairs grow with the rows."""
+    chance = random.Random(6)
+    at = lambda: chance.choice([None, *range(-3_000_000, 3_000_000, 500)])
+    make = lambda n, name: spark.createDataFrame([(i, 0 if i % 2 else i % 5, at()) for i in range(n)], f"{name}_id long, {name}_key long, {name}_ms long").withColumn(f"{name}_at", F.timestamp_millis(f"{name}_ms"))
+    left, right = make(600, "l"), make(700, "r")
+    for low, high in ((-5_000, 5_000), (-900_000, 0), (1_000, 1_000), (0, 250_000)):
+        joined = [interval_join(left, right, F.col("l_key") == F.col("r_key"), "l_at", "r_at", low, high, slots) for slots in (False, True)]
+        assert joined[0].columns == joined[1].columns
+        assert rows(joined[1], "l_id", "r_id") == rows(joined[0], "l_id", "r_id")
+    n = 20_000
+    hot = lambda name: spark.range(n).select(F.col("id").alias(f"{name}_id"), F.lit(1).alias(f"{name}_key"), F.timestamp_millis(F.col("id") * 1_000).alias(f"{name}_at"))
+    met = interval_join(hot("l"), hot("r"), F.col("l_key") == F.col("r_key"), "l_at", "r_at", -5_000, 5_000, slots=True)
+    assert met.count() == 11 * n - 30
+    assert re.search(r"__slot", final_plan(met))
+
+
 def test_hot_sku_lookup_is_split(spark, small_skew):
     lines = spark.range(6_000).select(
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("sku_id"), "id"
