@@ -261,7 +261,8 @@ def findings(documents: DataFrame) -> DataFrame:
     """doc_id, text_hash, start, length, kind, score, kept: a row per candidate."""
     model, known, pairs = fit(documents)
     rows = slim(documents)
-    found = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.inline(candidates(F.col("text"))))
+    # The lookup of words reads them twice; the texts are searched once.
+    found = words.checkpointed(rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.inline(candidates(F.col("text")))))
     ready = features(found, known, pairs)
     if model is None:
         scored = ready.withColumn("score", F.lit(0.0))
