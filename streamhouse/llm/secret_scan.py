@@ -126,7 +126,8 @@ def letter_pairs(known: DataFrame) -> Column:
     counts = known.select("docs", F.explode(two).alias("two")).filter(F.col("two").rlike("^[a-z]{2}$")).groupBy("two").agg(F.sum("docs").alias("n")).collect()
     n = {r["two"]: r["n"] for r in counts}
     every = [n.get(a + b, 0) + 1 for a in string.ascii_lowercase for b in string.ascii_lowercase]
-    return F.array(*(F.lit(math.log(x * len(every) / sum(every))) for x in every))
+    shares = (math.log(x * len(every) / sum(every)) for x in every)
+    return F.split(F.lit(" ".join(map(repr, shares))), " ").cast("array<double>")  # one literal in the plan
 
 
 def naturalness(own: Column, pairs: Column) -> Column:
@@ -242,7 +243,8 @@ def fit(documents: DataFrame) -> tuple[RandomForestClassificationModel | None, D
     share = int(min(1.0, SAMPLE / max(rows.count(), 1)) * 2**31)
     known = words.checkpointed(dictionary(rows))
     pairs = letter_pairs(known)
-    data = assembled(features(labelled(rows, share), known, pairs)).select("label", "features")
+    # The forest's jobs read it again and again; their plans are small then.
+    data = words.checkpointed(assembled(features(labelled(rows, share), known, pairs)).select("label", "features"))
     if data.isEmpty():
         return None, known, pairs
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, featuresCol="features", labelCol="label")
