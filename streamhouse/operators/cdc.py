@@ -12,6 +12,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 from streamhouse import constants as C
 from streamhouse.schemas import ROUTES
 
+#: Routes of up to this many bytes of text go to every task.
+SMALL_ROUTES = 8 << 20
+
 
 class Routed(NamedTuple):
     facts: DataFrame
@@ -55,7 +58,11 @@ def load_routes(config: DataFrame, known: DataFrame | None = None) -> DataFrame:
 def route(cdc: DataFrame, routes: DataFrame) -> DataFrame:
     """Attach the route of each record and drop the ones that go nowhere.
 
-    ``data`` keeps only the columns the route lists; an empty list keeps all.
+    ``data`` keeps only the columns the route lists; an empty list keeps all. Batch only.
+
+    Most records may belong to one table, so they are not shuffled by it: the routes are measured, and while they are
+    small every task gets them. Beyond that both sides are shuffled, by one more key that is always 0 (see
+    ``joins.keyed_lookup``), so that AQE can split a hot table. The records themselves are never broadcast.
     """
     typed = cdc.withColumn("type", normalise_type(F.col("type")))
     # The column list is split once per route, not once per record.
@@ -68,10 +75,20 @@ def route(cdc: DataFrame, routes: DataFrame) -> DataFrame:
         "sink_pk",
         F.when(~keeps_all, F.split("sink_columns", ",")).alias("__listed"),
     )
-    routed = typed.join(known, ["table", "type"])
+    if _text_bytes(known) <= SMALL_ROUTES:
+        routed = typed.join(F.broadcast(known), ["table", "type"])
+    else:
+        zero = F.pmod(F.xxhash64("table", "type"), F.lit(1))
+        spread = known.withColumn("__zero", zero).hint("merge")
+        routed = typed.withColumn("__zero", zero).join(spread, ["table", "type", "__zero"]).drop("__zero")
     return routed.withColumn("data", prune(F.col("data"), F.col("__listed"))).drop("__listed")
 
 
+def _text_bytes(routes: DataFrame) -> int:
+    """Bytes of the routes as text."""
+    return routes.agg(F.sum(F.octet_length(F.to_json(F.struct(*routes.columns))))).first()[0] or 0
+
+
 def prune(data: Column, listed: Column) -> Column:
     """Entries of ``data`` whose key is in ``listed``; all of them if ``listed`` is null."""
     kept = F.map_filter(data, lambda k, _: F.array_contains(listed, k))

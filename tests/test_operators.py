@@ -327,6 +327,28 @@ def test_many_routes(spark):
     assert sorted(r.sink_table for r in cdc.route(df, routes).collect()) == sorted(["dwd_19999", ROUTES[0][3]])
 
 
+def test_records_of_a_hot_table_are_not_gathered(spark, tmp_path):
+    """Records stay where they are while routes are small, whatever size the planner takes the records for."""
+    routes = cdc.load_routes(spark.createDataFrame(ROUTES, S.ROUTES))
+    data = F.create_map(F.lit("id"), F.col("id").cast("string"))
+    spark.range(20_000).select(F.lit("all").alias("table"), F.lit("insert").alias("type"), data.alias("data")).write.parquet(f"{tmp_path}/r")
+    routed = cdc.route(spark.read.parquet(f"{tmp_path}/r"), routes)
+    plan = final_plan(routed)
+    assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
+    assert routed.count() == 20_000
+
+
+def test_a_hot_table_is_split_where_routes_are_many(spark, small_skew, monkeypatch):
+    monkeypatch.setattr(cdc, "SMALL_ROUTES", 0)
+    routes = cdc.load_routes(spark.createDataFrame(ROUTES, S.ROUTES))
+    data = F.create_map(F.lit("id"), F.col("id").cast("string"))
+    table = F.when(F.col("id") % 10 == 0, "t").otherwise("all")
+    records = spark.range(40_000, numPartitions=8).select(table.alias("table"), F.lit("insert").alias("type"), data.alias("data"))
+    routed = cdc.route(records, routes)
+    assert "skew=true" in final_plan(routed)
+    assert {r["sink_table"]: r["count"] for r in routed.groupBy("sink_table").count().collect()} == {"dwd_t": 4_000, "dwd_all": 36_000}
+
+
 def test_dim_schemas(spark):
     tables = cdc.dim_schemas(spark.createDataFrame(ROUTES, S.ROUTES))
     assert list(tables) == ["DIM_T"]
