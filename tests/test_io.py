@@ -220,6 +220,24 @@ def test_shuffles_grow_with_the_input(spark):
     assert spark.conf.get(key) == spark.conf.get("spark.sql.shuffle.partitions")
 
 
+def test_tasks_read_bounded_parts_of_large_input(spark, tmp_path):
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, size in zip(keys, ("128MB", "1m"), strict=True):
+            spark.conf.set(k, size)
+        with open(f"{tmp_path}/large", "wb") as f:
+            f.truncate(1024**3)
+        tune(spark, str(tmp_path))
+        assert [spark.conf.get(k) for k in keys] == [str(16 * 1024**2), "1m"]
+        assert spark.conf.get(initial) == "128"
+    finally:
+        for k, size in old.items():
+            spark.conf.set(k, size)
+        size_shuffles(spark, 0)
+
+
 def test_durable_dir_comes_from_the_session(spark):
     assert durable_dir(spark, "x") == spark.conf.get("spark.checkpoint.dir") + "/x"
 
