@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -280,6 +281,31 @@ def test_encode_and_decode(documents, empty, spark):
     assert pieces.encode(empty, table).count() == 0
 
 
+def test_pieces_works_on_little_text_at_once(spark, segmenter, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old, sizes, whole = spark.conf.get(key), [], pieces.Segmenter.encode_all
+
+    class Sent:
+        id, value = 0, pieces.load(VOCABULARY)
+
+    def encode_all(self, texts):
+        sizes.append(sum(len(t.encode()) for t in texts))
+        return whole(self, texts)
+
+    rows = [(i, f"word {i % 7} " * 2_000) for i in range(240)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "text"])
+    monkeypatch.setattr(pieces.Segmenter, "encode_all", encode_all)
+    out = [r for b in pieces.encoded(Sent, iter([batch])) for r in b.to_pylist()]
+    assert [r["doc_id"] for r in out] == list(range(240)) and all(r["round_trip"] for r in out)
+    assert sum(sizes) == sum(len(t) for _, t in rows) and max(sizes) <= 1 << 20
+    try:
+        spark.conf.set(key, "10000")
+        pieces.encode(spark.createDataFrame(rows[:2], "doc_id long, text string"), Sent.value)
+        assert int(spark.conf.get(key)) <= 2_000
+    finally:
+        spark.conf.set(key, old)
+
+
 def test_weak_labels(spark, empty):
     r = random.Random(5)
     prose = "the of and to in was reon thatha erling onsted".split()
