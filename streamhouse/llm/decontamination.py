@@ -6,8 +6,9 @@
 3. Every document is cut into overlapping windows of a few lengths, whose latent vectors are
    sums over their words. Windows whose cosine with an item of that length class reaches CANDIDATE of what
    the latent space holds of the item are candidates. A window's
-   share of idf energy in the items' words, and then its length in the latent space, bound its cosines, so most windows are
-   left before they meet any item.
+   share of idf energy in the items' words bounds its cosines, so many windows are
+   left before they meet any item. The products of all words with the items of a length class are taken once in a task, so
+   a window sums a number per item and not a vector; the cosine of a candidate is then taken from its vector.
 4. Common words weigh nothing in the latent space, so a cosine alone would lose pairs. Windows that could still pass step 5
    are added by counting: who has PARAPHRASE of an item's words has `least` of its `rarest` words, and a bit-parallel
    common subsequence with each 64 words of the item bounds the rest. Neither bound loses a pair, so all windows have been
@@ -45,6 +46,8 @@ CANDIDATE, LEAST = 0.5, 0.1
 #: Seconds for a hit, and for a window that has enough of them: they set how many of an item's rare words are looked up.
 HIT, LOOK = 5e-8, 5e-7
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
+#: More than what single precision changes of a cosine.
+SLACK = 1e-3
 #: Terms in more than this share of passages are left out of the latent space.
 COMMON_SHARE = 0.01
 
@@ -61,11 +64,11 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, passages = np.zeros(TERMS, np.int64), 0
     for _, texts in words.slices(batches):
         c, _, term = terms(texts)
-        first = np.searchsorted(c.doc, c.doc)  # the first word of the same text
+        first = np.searchsorted(c.doc, np.arange(len(texts)))[c.doc]  # the first word of the same text
         new = (np.arange(len(term)) - first) % PASSAGE == 0
         passages += int(new.sum())
-        seen = np.unique((np.cumsum(new) - 1) * TERMS + term)
-        total += np.bincount(seen % TERMS, minlength=TERMS)
+        seen = np.sort((np.cumsum(new) - 1) * TERMS + term)
+        total += np.bincount(seen[np.diff(seen, prepend=-1) != 0] % TERMS, minlength=TERMS)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array([-1, *some.tolist()], pa.int64()), pa.array([passages, *total[some].tolist()], pa.int64())], ["term", "n"])
 
@@ -279,6 +282,8 @@ def searched(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Pairs of documents and items."""
     x: Index = sent.value
     padded = np.concatenate([x.vectors, np.zeros((1, x.vectors.shape[1]), np.float32)])
+    items = {length: np.flatnonzero(x.lengths == length) for length in np.unique(x.lengths).tolist()}
+    products = {length: padded @ x.queries[which].T for length, which in items.items()}
     for part, texts in words.slices(batches):
         c, h, term = terms(texts)
         n = len(h)
@@ -293,20 +298,31 @@ def searched(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         np.cumsum(own >= 0, out=place[1:])
         best: dict[tuple[int, int], tuple] = {}
 
-        def check(item: int, doc: int, begins: int, ends: int, cosine: float, end=end, begin=begin, h=h, best=best) -> None:
+        done: set[tuple[int, int]] = set()
+
+        def check(item: int, doc: int, begins: int, least: float = -np.inf, end=end, begin=begin, h=h, best=best, own=own, square=square, done=done) -> None:
+            """A window whose cosine reaches `least`, once."""
+            if (item, begins) in done:
+                return
+            ends = min(begins + int(x.lengths[item]), int(end[doc]))
+            inside = own[begins:ends]
+            vector, norm = x.vectors[inside[inside >= 0]].sum(axis=0), np.sqrt(max(square[ends] - square[begins], 1e-9))
+            cosine = float(vector @ x.queries[item] / norm)
+            if cosine < least:
+                return
+            done.add((item, begins))
             size = len(x.hashes[item])
             region = h[max(begin[doc], begins - size // 2) : min(end[doc], ends + size // 2)]
             share = common(x.hashes[item], region) / size
+            if share < PARAPHRASE:
+                return
             answer = common(x.answers[item], region) / len(x.answers[item])
-            if share >= COPY or share >= PARAPHRASE and answer >= ANSWER:
+            if share >= COPY or answer >= ANSWER:
                 best[doc, item] = max(best.get((doc, item), (0,)), (share, answer, cosine))
 
         for item, doc, start in possible(x, h, c.doc, begin, end):
-            stop = min(start + int(x.lengths[item]), int(end[doc]))
-            inside = own[start:stop]
-            vector, size = x.vectors[inside[inside >= 0]].sum(axis=0), np.sqrt(max(square[stop] - square[start], 1e-9))
-            check(item, doc, start, stop, float(vector @ x.queries[item] / size))
-        for length in np.unique(x.lengths).tolist():
+            check(item, doc, start)
+        for length, which in items.items():
             step = max(length // 4, 1)
             count = np.where(end > begin, np.maximum(end - begin - length + step - 1, 0) // step + 1, 0)
             of = np.repeat(np.arange(len(texts)), count)
@@ -314,19 +330,16 @@ def searched(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             stop = np.minimum(start + length, end[of])
             a, b = place[start], place[stop]
             some = np.flatnonzero((b > a) & (known[stop] - known[start] >= CANDIDATE**2 * (square[stop] - square[start])))
-            which = np.flatnonzero(x.lengths == length)
             for k in range(0, len(some), 1024):
                 at = some[k : k + 1024]
                 size = (b[at] - a[at])[:, None]
                 pad = np.arange(size.max())
-                vector = padded[np.where(pad < size, own[live[np.minimum(a[at][:, None] + pad, len(live) - 1)]], len(x.vectors))].sum(axis=1)
-                size = np.sqrt(np.maximum(square[stop[at]] - square[start[at]], 1e-9))
-                near = np.sqrt((vector**2).sum(axis=1)) >= x.bounds[which].min() * size
-                at, vector, size = at[near], vector[near], size[near]
-                score = (vector @ x.queries[which].T) / size[:, None]
-                for w, j in zip(*np.nonzero(score >= x.bounds[which]), strict=True):
-                    item, doc = int(which[j]), int(of[at[w]])
-                    check(item, doc, start[at[w]], stop[at[w]], float(score[w, j]))
+                total = products[length][np.where(pad < size, own[live[np.minimum(a[at][:, None] + pad, len(live) - 1)]], len(x.vectors))].sum(axis=1)
+                norm = np.sqrt(np.maximum(square[stop[at]] - square[start[at]], 1e-9))
+                # sums of products are rounded otherwise than products of sums
+                for w, j in zip(*np.nonzero(total / norm[:, None] >= x.bounds[which] - SLACK), strict=True):
+                    item = int(which[j])
+                    check(item, int(of[at[w]]), int(start[at[w]]), x.bounds[item])
         if best:
             docs = part.column("doc_id").take(pa.array([d for d, _ in best]))
             columns = [pa.array(v, pa.float64()) for v in zip(*best.values(), strict=True)]

@@ -306,6 +306,28 @@ def test_pieces_works_on_little_text_at_once(spark, segmenter, monkeypatch):
         spark.conf.set(key, old)
 
 
+def test_decontamination_checks_a_window_once(monkeypatch):
+    """Counting and the latent space both find the planted item; its windows go to the last check once, and the pair stays."""
+    r = random.Random(3)
+    vocabulary = ["".join(r.choices("abcdefghij", k=7)) for _ in range(3_000)]
+    say = lambda n: " ".join(r.sample(vocabulary, n))
+    item = f"{say(20)}. {say(12)}."
+    own = np.unique(decontamination.terms([item.encode()])[2])
+    basis = decontamination.Basis(own, np.linalg.qr(np.random.default_rng(1).standard_normal((len(own), len(own))))[0])
+    flat = np.ones(decontamination.TERMS)
+
+    class Sent:
+        value = decontamination.index([("i", item)], flat, flat / 1000, basis)
+
+    calls, real = [], decontamination.common
+    monkeypatch.setattr(decontamination, "common", lambda a, b: calls.append((a.tobytes(), b.tobytes())) or real(a, b))
+    texts = [f"{say(200)} {item} {say(200)}", say(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6]), pa.array(texts)], ["doc_id", "text"])
+    found = [row for b in decontamination.searched(Sent, iter([batch])) for row in b.to_pylist()]
+    assert [(f["doc_id"], f["item_id"], f["common_share"], f["answer_share"]) for f in found] == [(5, "i", 1.0, 1.0)]
+    assert found[0]["cosine"] > 0.9 and calls and len(calls) == len(set(calls))
+
+
 def test_weak_labels(spark, empty):
     r = random.Random(5)
     prose = "the of and to in was reon thatha erling onsted".split()
