@@ -11,8 +11,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from streamhouse import constants as C
 from streamhouse.schemas import ROUTES
+from streamhouse.session import setting_bytes
 
-#: Routes of up to this many bytes of text go to every task.
+#: Routes of up to this many bytes of text go to every task, if the session broadcasts as much.
 SMALL_ROUTES = 8 << 20
 
 
@@ -75,7 +76,8 @@ def route(cdc: DataFrame, routes: DataFrame) -> DataFrame:
         "sink_pk",
         F.when(~keeps_all, F.split("sink_columns", ",")).alias("__listed"),
     )
-    if _text_bytes(known) <= SMALL_ROUTES:
+    threshold = setting_bytes(cdc.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    if _text_bytes(known) <= min(SMALL_ROUTES, threshold):
         routed = typed.join(F.broadcast(known), ["table", "type"])
     else:
         zero = F.pmod(F.xxhash64("table", "type"), F.lit(1))
