@@ -144,7 +144,7 @@ def test_nearest_pages_do_not_depend_on_ranges(spark):
 
 def test_every_operator_has_a_query():
     numbers = {int(n[2:].split("_")[0]) for n in QUERIES}
-    assert numbers == set(range(1, 11)) and set(QUERIES) | {"pipeline"} <= set(entry_module.queries())
+    assert numbers == set(range(1, 14)) and set(QUERIES) | {"pipeline"} <= set(entry_module.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
