@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from streamhouse.llm import words
 
@@ -351,12 +352,14 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, common_share, answer_share, cosine, verdict (copy or paraphrase): a row per pair."""
     spark = documents.sparkSession
     words.ship(spark)
+    words.small_batches(spark)
     kind, item = documents.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType
     slim = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     schema = f"doc_id {kind}, item_id string, common_share double, answer_share double, cosine double"
     blocks = -(-items.count() // ITEMS)
-    found = spark.createDataFrame([], schema)
+    # no rows; an empty Python list would start workers with a daemon of their own, which stay
+    found = slim.limit(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)))
     idf, share = weights(slim) if blocks else (None, None)
     for block in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)

@@ -188,6 +188,7 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(documents: DataFrame) -> DataFrame:
     """doc_id, text_hash, fp, label (of the component), component_id: a row per document."""
     words.ship(documents.sparkSession)
+    words.small_batches(documents.sparkSession)
     kind = documents.schema["doc_id"].dataType.simpleString()
     text = F.col("text").cast("string")
     slim = documents.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))

@@ -206,6 +206,7 @@ def scored(weights: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[p
 def fit(documents: DataFrame, labels: DataFrame | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
     """Weights of the scorers, and each question's vote probabilities by class, labeller and vote. labels: doc_id, toxic."""
     words.ship(documents.sparkSession)
+    words.small_batches(documents.sparkSession)
     slim = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     found = slim.select("text").mapInArrow(voted, "quality bigint, toxicity bigint").groupBy(*QUESTIONS).count().collect()
     total, posteriors, chances = sum(r["count"] for r in found), [], []
@@ -227,6 +228,7 @@ def fit(documents: DataFrame, labels: DataFrame | None = None) -> tuple[np.ndarr
 
 def score(documents: DataFrame, weights: np.ndarray) -> DataFrame:
     """The documents' columns, low_quality and toxicity (0 to 1); text becomes a string."""
+    words.small_batches(documents.sparkSession)
     texts = documents.withColumn("text", F.col("text").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
     return texts.mapInArrow(partial(scored, weights), f"{schema}, low_quality double, toxicity double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -13,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from streamhouse.llm import decontamination, divergence, licenses, pieces, repeats, secret_scan, simhash, weak_labels
+from streamhouse.llm import decontamination, divergence, licenses, pieces, repeats, secret_scan, simhash, weak_labels, words
 
 SPACED = r"[^\x20\x09-\x0D]+"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -328,6 +329,46 @@ def test_decontamination_checks_a_window_once(monkeypatch):
     assert found[0]["cosine"] > 0.9 and calls and len(calls) == len(set(calls))
 
 
+def test_workers_hold_little():
+    """What the pipeline's numpy stages take besides their input does not follow the size of a batch."""
+    r = random.Random(9)
+    vocabulary = ["".join(r.choices("abcdefghij", k=7)) for _ in range(3_000)]
+    text = [" ".join(r.choices(vocabulary, k=250)) for _ in range(2_000)]
+    numbers = pa.array(range(len(text)))
+    batch = pa.RecordBatch.from_arrays([numbers, pa.array(text), numbers], ["doc_id", "text", "text_hash"])
+    weights = np.zeros((2, weak_labels.HASHED + 1))
+    for work in (weak_labels.voted, lambda b: weak_labels.scored(weights, b), simhash.fingerprinted, decontamination.counted):
+        words.forget()
+        tracemalloc.start()
+        assert all(out.num_rows for out in work(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 64 << 20
+    words.forget()
+
+
+def test_pipeline_stages_take_small_batches(spark, documents):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old, items = spark.conf.get(key), documents.limit(0).select(F.lit("i").alias("item_id"), "text")
+    stages = [lambda: weak_labels.fit(documents), lambda: weak_labels.score(documents, np.zeros((2, weak_labels.HASHED + 1))), lambda: simhash.classes(documents), lambda: decontamination.leaks(documents, items)]
+    try:
+        for stage in stages:
+            spark.conf.set(key, "10000")
+            stage()
+            assert int(spark.conf.get(key)) <= 2_000
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_decontamination_starts_no_other_workers(spark, documents):
+    """A list that Python workers of another kind would read is in no plan; those would stay beside the stage's own."""
+    found = decontamination.leaks(documents, documents.filter("doc_id = 5").limit(1).select(F.lit("i").alias("item_id"), "text"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Union" not in plan
+    none = decontamination.leaks(documents, documents.limit(0).select(F.lit("i").alias("item_id"), "text"))
+    assert none.schema == found.schema and none.collect() == []
+
+
 def test_weak_labels(spark, empty):
     r = random.Random(5)
     prose = "the of and to in was reon thatha erling onsted".split()
