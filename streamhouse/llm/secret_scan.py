@@ -34,6 +34,8 @@ from streamhouse.llm import words
 
 SAMPLE = 1_200
 TREES, DEPTH = 24, 8
+#: Of the training rows at most; each round of the forest starts a task for each.
+PARTITIONS = 64
 KEPT_SCORE = 0.5
 #: A known word stands in one of so many documents, and has so many letters.
 KNOWN_IN, LETTERS = 1_000, 4
@@ -148,8 +150,10 @@ def covered(found: DataFrame, known: DataFrame) -> DataFrame:
     own = rf"\p{{Lu}}?\p{{Ll}}{{{LETTERS - 1},}}|\p{{Lu}}{{{LETTERS},}}"
     values = found.select("value").distinct()
     parts = values.select("value", F.posexplode(F.regexp_extract_all("value", F.lit(own), F.lit(0))).alias("k", "part"))
-    hits = parts.join(known.select("word"), F.lower("part") == F.col("word"))
-    sums = hits.groupBy("value").agg(F.sum(F.length("part")).alias("told"))
+    # Lower-cased by the tasks: where Spark broadcasts the parts, the driver works out whatever expression the join's key holds.
+    parts = parts.select("value", F.lower("part").alias("low"), F.length("part").alias("n"))
+    hits = parts.join(known.select("word"), F.col("low") == F.col("word"))
+    sums = hits.groupBy("value").agg(F.sum("n").alias("told"))
     # One more key, always 0, gives the sums a shuffle of their own: a value that many rows share can be split then.
     zero = lambda c: F.pmod(F.xxhash64(c), F.lit(1))
     other = sums.select(F.col("value").alias("of"), "told", zero("value").alias("zero"))
@@ -243,8 +247,8 @@ def fit(documents: DataFrame) -> tuple[RandomForestClassificationModel | None, D
     share = int(min(1.0, SAMPLE / max(rows.count(), 1)) * 2**31)
     known = words.checkpointed(dictionary(rows))
     pairs = letter_pairs(known)
-    # The forest's jobs read it again and again; their plans are small then.
-    data = words.checkpointed(assembled(features(labelled(rows, share), known, pairs)).select("label", "features"))
+    # The forest's jobs read it again and again; their plans are small then, and so are their numbers of tasks: the sample is bounded.
+    data = words.checkpointed(assembled(features(labelled(rows, share), known, pairs)).select("label", "features").coalesce(PARTITIONS))
     if data.isEmpty():
         return None, known, pairs
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, featuresCol="features", labelCol="label")

@@ -170,14 +170,21 @@ def checkpointed_counts(rows: DataFrame) -> DataFrame:
     return words.checkpointed(rows.join(counts, ["mask", "value"]))
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """a, b, distinct: all edges, their reverses, and each end with itself."""
+    a, b = F.col("a"), F.col("b")
+    pairs = (F.struct(x.alias("a"), y.alias("b")) for x, y in ((a, b), (b, a), (a, a), (b, b)))
+    return edges.select(F.inline(F.array(*pairs))).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label (smallest node reachable) of all ends of edges a, b. Rounds: labels of neighbours, then of one's label."""
-    both = words.checkpointed(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))))
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    labels = words.checkpointed(labels)
+    both = words.checkpointed(both_ways(edges))
+    labels = words.checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
-        new = labels.join(near, "node").select("node", F.least("label", "low").alias("label"), F.col("label").alias("old"))
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b")
+        own = F.when(F.col("a") == F.col("b"), F.col("label"))
+        new = near.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"), F.min(own).alias("old"))
         up = new.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = words.checkpointed(new.join(up, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "old"))
         labels = new.select("node", "label")

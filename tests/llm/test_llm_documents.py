@@ -171,6 +171,15 @@ def test_simhash(documents, empty, monkeypatch, bucket):
     assert kept == sorted({c for *_, c in expected}, key=key)
 
 
+def test_edges_both_ways(spark):
+    edges = spark.createDataFrame([(1, 2), (5, 5), (1, 2), (-7, 3)], "a long, b long")
+    both = simhash.both_ways(edges)
+    assert both.columns == ["a", "b"]
+    assert sorted(map(tuple, both.collect())) == sorted([(1, 2), (2, 1), (1, 1), (2, 2), (5, 5), (-7, 3), (3, -7), (-7, -7), (3, 3)])
+    chain = spark.createDataFrame([(k + 1, k) for k in range(40)] + [(90, 80)], "a long, b long")
+    assert dict(map(tuple, simhash.components(chain).select("node", "label").collect())) == {k: 0 for k in range(41)} | {80: 80, 90: 80}
+
+
 def test_bit_slices():
     r = np.random.default_rng(2)
     base = r.integers(0, 2**63, 12, dtype=np.uint64)

@@ -66,6 +66,30 @@ def test_known_words_and_pairs(spark):
     assert got[values[0]][1] > got[values[2]][1] and got[""][1] == 0.0
 
 
+def test_known_words_join_on_plain_columns(spark):
+    """The driver works out a join's key for every row of a side that is broadcast; lower-casing there loads its tables, too."""
+    found = spark.createDataFrame([("systemNetworkManager2",)], "value string")
+    known = spark.createDataFrame([("system", 3)], "word string, docs long")
+    plan = secret_scan.covered(found, known)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Join \[", plan) and not re.search(r"Join \[[^\]]*lower\(", plan)
+
+
+def test_training_rows_lie_in_bounded_partitions(spark, monkeypatch):
+    """However many partitions the session's shuffles have."""
+    fitted = []
+    monkeypatch.setattr(secret_scan, "PARTITIONS", 2)
+    monkeypatch.setattr(secret_scan.RandomForestClassifier, "fit", lambda self, data: fitted.append(data))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        secret_scan.fit(frame(spark, ["system network manager letters of the corpus"] * 9))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert fitted[0].rdd.getNumPartitions() <= 2 and fitted[0].count() == 9 * 30
+
+
 def test_findings_of_other_templates(spark):
     """Secrets and look-alikes in surroundings that the training does not make; recall and precision held out."""
     r = random.Random(4)
