@@ -1,22 +1,27 @@
 """Hard negatives by a vertical scan over columns of vectors (branch and bound on decomposed data).
 
-Vectors lie in blocks of up to BLOCK rows, one column per dimension. For an anchor the columns are read in descending order of
-its own components' magnitude, STEP at a time. What the columns not yet read can add to a score lies between two bounds, made
-of each column's least and greatest value in the block. Rows whose bounds show that they cannot be in the result leave the
-anchor's bitmap, and only the others' next components are read, until all are read and the scores that are left are exact.
+Vectors lie in blocks of up to BLOCK rows, one column per dimension, rows in order of label. Columns are read in descending order
+of the anchors' own components' magnitude. What the columns not yet read can add to a score is bounded, and so is what all of a
+block's columns can, by each column's least and greatest value in the block. Rows whose bounds show that they cannot be in the
+result leave the anchor's bitmap, and only the others' next components are read, until all are read and the scores that are left
+are exact.
 
-1. Positives: the first POSITIVES other rows of the anchor's label. A row leaves when POSITIVES rows of the block are
-   certain to score higher.
+1. Positives: the first POSITIVES other rows of the anchor's label. A row leaves when POSITIVES rows are certain to be before it.
 2. Negatives: the first NEGATIVES rows of another label whose score is in the window of a positive, from its score times
    LOW / 100 up to it. A row leaves when it is certain to be outside of each window or, within a window,
-   NEGATIVES rows that are certain to be inside are certain to score higher.
+   NEGATIVES rows that are certain to be inside are certain to be before it.
 
-Both are scans of all blocks by all anchors, block by block: anchors are packed (about ANCHORS a row) and go to each group of
-blocks, blocks go to one place each. Of a block an anchor gets a few rows back; Spark ranks those of all blocks. Nothing goes
-through the driver but the counts of blocks and anchors. A task holds one block and one pack of anchors.
+Both are scans of all blocks by all anchors. Anchors are packed (up to ANCHORS a row). A task holds one block and one pack at a
+time, meets some of the blocks with some of the packs, and carries from block to block what it has found for each anchor, which is
+what bounds are held against. Blocks and packs are read from where they are kept, not copied for each other: the disk
+that is used grows with the table, and so do the rows that tasks return, at most TASKS times an anchor's result, which Spark ranks. The work
+grows with rows times anchors. Nothing goes through the driver but the counts of blocks and anchors.
+
+Of a pack, the anchors are scanned together where doubles (or floats) hold all of the scores exactly: the product of the
+greatest lengths says so. Others are scanned one by one, each in the order of its own components, STEP columns at a time, in integers.
 
 A component x counts as floor(SCALE * x), in double precision, held within +-2**28, so that sums of 127 dimensions fit a long.
-Scores are exact integers. Higher scores come first, of equal ones the smaller id, then the row's place in the table.
+Scores are exact integers. Higher scores come first, of equal ones the smaller id, then the row's place among the blocks.
 
 Defined cases: rows with a null id, label or vector or a component that is null or not finite take no part; dimensions that a
 shorter vector lacks count as 0; an empty vector scores 0; each of repeated rows is a row of its own, and of repeated anchors
@@ -39,17 +44,28 @@ from pyspark.sql import functions as F
 from streamhouse.llm import words
 
 BLOCK = 4096
-ANCHORS = 256
+ANCHORS = 4096
+#: Anchors that a task holds, about, and parts that the blocks are in.
+ANCHORS_PER_TASK = 4 * ANCHORS
+TASKS = 24
+#: Anchors of a pack that are scanned together, so that their scores of a block stay in the processor's cache.
+TILE = 128
+#: Bytes of components that are put in order of label at once.
+HELD_BYTES = 1 << 24
 STEP = 8
 SCALE = 256
 BOUND = 1 << 28
 POSITIVES, NEGATIVES, LOW = 5, 5, 80
 ROW_BITS = 12
 BLOCKS_PER_TASK = 1 << 20
+#: Scores stay below that.
+FAR = 1 << 62
 
 
 # --- blocks
 
+BLOCK_COLUMNS = ["block", "least", "greatest", "ids", "labels", "columns"]
+BLOCKS = "block bigint, least bigint, greatest bigint, ids binary, labels binary, columns binary"
 
 def matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Scaled components (rows by dimensions), and which rows are whole: not null, all components finite."""
@@ -67,30 +83,33 @@ def matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, label, vector to blocks: ids, labels and columns as bytes. Rows that take no part leave."""
+    """id, label, vector to blocks: number, least and greatest label; ids, labels and columns as bytes. Rows that take no part leave."""
     task, seq = TaskContext.get().partitionId(), 0
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def block(upto: int) -> pa.RecordBatch:
+    def blocks() -> Iterator[pa.RecordBatch]:
+        """What is held, in order of label and id."""
         nonlocal held, seq
         wide = max(v.shape[1] for *_, v in held)
         ids, labels = (np.concatenate([h[k] for h in held]) for k in (0, 1))
         vectors = np.concatenate([np.pad(v, ((0, 0), (0, wide - v.shape[1]))) for *_, v in held])
-        held = [(ids[upto:], labels[upto:], vectors[upto:])] if len(ids) > upto else []
-        columns = np.ascontiguousarray(vectors[:upto].T.astype("<i4"))
-        own = task * BLOCKS_PER_TASK + seq
-        seq += 1
-        return pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), *(pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (ids[:upto], labels[:upto])), pa.array([columns.tobytes()], pa.binary())], ["block", "ids", "labels", "columns"])
+        held, by = [], np.lexsort((ids, labels))
+        for at in range(0, len(by), BLOCK):
+            rows = by[at : at + BLOCK]
+            parts = [ids[rows].astype("<i8"), labels[rows].astype("<i8"), np.ascontiguousarray(vectors[rows].T.astype("<i4"))]
+            numbers = [task * BLOCKS_PER_TASK + seq, int(labels[rows[0]]), int(labels[rows[-1]])]
+            seq += 1
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in numbers), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], BLOCK_COLUMNS)
 
     for batch in batches:
         keep = batch.filter(pc.and_(batch.column(0).is_valid(), batch.column(1).is_valid()))
         vectors, whole = matrix(keep.column(2))
         if whole.any():
-            held.append((*(keep.column(k).to_numpy()[whole].astype(np.int64) for k in (0, 1)), vectors[whole]))
-        while sum(len(h[0]) for h in held) >= BLOCK:
-            yield block(BLOCK)
+            held.append((*(keep.column(k).to_numpy()[whole].astype(np.int64) for k in (0, 1)), vectors[whole].astype(np.int32)))
+        if sum(h[2].nbytes for h in held) >= HELD_BYTES:
+            yield from blocks()
     if held:
-        yield block(BLOCK)
+        yield from blocks()
 
 
 def opened(ids: bytes, labels: bytes, columns: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,9 +185,8 @@ def positives_in(scan: Scan, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return scan.alive[by], scan.score[by]
 
 
-def negatives_in(scan: Scan, ids: np.ndarray, tops: list[int], k: int, low_percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each positive score: places and scores of the first k rows of its window."""
-    windows = [(-(-low_percent * top // 100), top) for top in tops]  # least and greatest integer score inside
+def negatives_in(scan: Scan, ids: np.ndarray, windows: list[tuple[int, int]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each window of scores: places and scores of its first k rows."""
     some = {w for w in windows if w[0] <= w[1]}
     scan.keep(np.full(len(scan.alive), bool(some)))
     while scan.step():
@@ -187,42 +205,242 @@ def negatives_in(scan: Scan, ids: np.ndarray, tops: list[int], k: int, low_perce
     return out
 
 
-def scanned(batches: Iterator[pa.RecordBatch], k: int, low_percent: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows of a block and a pack of anchors each. low_percent None: positives; else negatives, anchors have `found` positives."""
+class Block:
+    """A block and what bounds its rows' scores."""
+
+    def __init__(self, number: int, ids: np.ndarray, labels: np.ndarray, columns: np.ndarray):
+        self.first, self.ids, self.labels, self.columns = number << ROW_BITS, ids, labels, columns
+        self.low, self.high = (f(columns, axis=1, initial=0).astype(np.int64) for f in (np.min, np.max))
+        #: The labels, and from which row to which each is.
+        self.kinds, starts = np.unique(labels, return_index=True)
+        self.ends = np.append(starts, len(labels))
+        self.length = float(np.sqrt(np.square(columns, dtype=np.float64).sum(axis=0).max(initial=0)))
+        self.values: dict[type, np.ndarray] = {}
+
+    def of(self, kind: type) -> np.ndarray:
+        if kind not in self.values:
+            self.values[kind] = self.columns.astype(kind)
+        return self.values[kind]
+
+    def rows(self, label: int) -> tuple[int, int]:
+        at = int(np.searchsorted(self.kinds, label))
+        return (int(self.ends[at]), int(self.ends[at + 1])) if at < len(self.kinds) and self.kinds[at] == label else (0, 0)
+
+
+class Pack:
+    """Anchors, in order of label, and the first `k` rows that have been found for each of an anchor's windows."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, low: np.ndarray, high: np.ndarray, k: int):
+        self.rows, self.ids, self.labels, self.vectors, self.k = rows, ids, labels, vectors, k
+        #: By anchor and window: least and greatest score inside; how many are found; they, first ones first.
+        self.low, self.high = low, high
+        self.count = np.zeros(low.shape, np.int64)
+        self.score, self.id, self.other = (np.zeros((*low.shape, k), np.int64) for _ in range(3))
+        kinds, starts = np.unique(labels, return_index=True)
+        self.kinds = list(zip(kinds.tolist(), starts.tolist(), [*starts[1:].tolist(), len(labels)], strict=True))
+        self.order = np.argsort(-np.abs(vectors).sum(axis=0, dtype=np.float64), kind="stable")
+        self.lengths = np.sqrt(np.square(vectors, dtype=np.float64).sum(axis=1))
+
+    def least(self, anchors: np.ndarray, smallest: int) -> np.ndarray:
+        """By window, the least score by which a row with at least that id can still be among the first."""
+        last, full = self.k - 1, self.count[anchors] == self.k
+        beyond = self.score[anchors, :, last] + (self.id[anchors, :, last] < smallest)
+        return np.where(full, np.maximum(beyond, self.low[anchors]), self.low[anchors])
+
+    def add(self, anchor: np.ndarray, window: np.ndarray, score: np.ndarray, ids: np.ndarray, other: np.ndarray) -> None:
+        """Rows inside of windows: the first ones stay."""
+        wide = self.low.shape[1]
+        group = anchor * wide + window
+        touched = np.unique(group)
+        there = np.arange(self.k)[None] < self.count.reshape(-1)[touched][:, None]
+        old = [np.broadcast_to(touched[:, None], there.shape)[there], *(x.reshape(-1, self.k)[touched][there] for x in (self.score, self.id, self.other))]
+        group, score, ids, other = (np.concatenate(x) for x in zip(old, (group, score, ids, other), strict=True))
+        by = np.lexsort((other, ids, -score, group))
+        group = group[by]
+        rank = np.arange(len(by)) - np.searchsorted(group, group)
+        by, group, rank = by[rank < self.k], group[rank < self.k], rank[rank < self.k]
+        for x, new in ((self.score, score), (self.id, ids), (self.other, other)):
+            x.reshape(-1, self.k)[group, rank] = new[by]
+        self.count.reshape(-1)[:] = np.maximum(self.count.reshape(-1), np.bincount(group, minlength=self.count.size))
+
+    def meet(self, block: Block, same: bool) -> None:
+        """same: rows of the anchor's label, but for itself; else those of other labels."""
+        if (self.lengths.max(initial=0) + 1) * (block.length + 1) < 2.0**50:
+            self.together(block, same)
+            return
+        for a in range(len(self.rows)):
+            alike = block.labels == self.labels[a]
+            at = self.rows[a] - block.first
+            if same and 0 <= at < len(alike):
+                alike[at] = False
+            scan = Scan(block.columns, block.low, block.high, self.vectors[a].astype(np.int64), np.flatnonzero(alike if same else ~alike))
+            told = [positives_in(scan, block.ids, self.k)] if same else negatives_in(scan, block.ids, list(zip(self.low[a].tolist(), self.high[a].tolist(), strict=True)), self.k)
+            for w, (place, score) in enumerate(told):
+                self.add(np.full(len(place), a), np.full(len(place), w), score, block.ids[place], block.first + place)
+
+    def together(self, block: Block, same: bool) -> None:
+        size, parts, free = len(block.ids), [], []
+        for label, a, b in self.kinds:
+            start, end = block.rows(label)
+            if same:
+                parts += [(np.arange(a, b), start, end)]
+            elif start == end:
+                free += [np.arange(a, b)]
+            else:
+                parts += [(np.arange(a, b), 0, start), (np.arange(a, b), end, size)]
+        if free:
+            parts += [(np.concatenate(free), 0, size)]
+        parts = [p for p in parts if p[1] < p[2]]
+        if not parts:
+            return
+        # A block whose columns' ranges leave an anchor nothing is not read for it.
+        dims = min(len(block.columns), self.vectors.shape[1])
+        up, down = np.maximum(self.vectors[:, :dims], 0).astype(np.float64), np.minimum(self.vectors[:, :dims], 0).astype(np.float64)
+        most, least = (up @ x[:dims] + down @ y[:dims] for x, y in ((block.high, block.low), (block.low, block.high)))
+        asked = self.least(np.arange(len(self.rows)), int(block.ids.min()))
+        some = asked <= self.high
+        open_ = (most >= np.where(some, asked, FAR).min(axis=1)) & (least <= np.where(some, self.high, -FAR).max(axis=1))
+        kind = np.float32 if (self.lengths.max(initial=0) + 1) * (block.length + 1) < 2.0**22 else np.float64
+        scan = Tiles(block, self.order[self.order < dims], kind)
+        for anchors, start, end in parts:
+            self.tiles(scan, anchors[open_[anchors]], start, end, same)
+
+    def tiles(self, scan: Tiles, anchors: np.ndarray, start: int, end: int, same: bool) -> None:
+        for at in range(0, len(anchors) if start < end else 0, TILE):
+            some, block = anchors[at : at + TILE], scan.block
+            asked = self.least(some, int(block.ids[start:end].min()))
+            out = self.rows[some] - block.first if same else None
+            poor = self.count[some] < self.k
+            a, row, score = scan.scores(self.vectors[some], asked, self.high[some], poor, start, end, out, self.k)
+            hit, w = np.nonzero((score[:, None] >= asked[a]) & (score[:, None] <= self.high[some[a]]))
+            p, row, score = some[a[hit]], row[hit], score[hit]
+            ids, last = block.ids[row], (p, w, self.k - 1)
+            before = (self.count[p, w] < self.k) | (score > self.score[last]) | (ids <= self.id[last])
+            if before.any():
+                self.add(p[before], w[before], score[before], ids[before], block.first + row[before])
+
+    def found(self) -> pa.RecordBatch:
+        a, w, i = np.nonzero(np.arange(self.k) < self.count[:, :, None])
+        columns = [self.rows[a], self.ids[a], w, self.other[a, w, i], self.id[a, w, i], self.score[a, w, i]]
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], ["row", "anchor", "place", "other", "other_id", "score"])
+
+
+class Tiles:
+    """The vertical scan of some anchors over some rows of a block at once. All numbers are whole and exact.
+
+    The first columns of the order are read for all. What the others can add to a score is at most the product of the lengths
+    (rounded up) of the anchor's and the row's unread components; the product is one more column of the sum, which is so the
+    greatest score that a row can have. Of rows that this leaves in the bitmap, the other columns are read: of each by itself, or of all
+    where they are many."""
+
+    def __init__(self, block: Block, order: np.ndarray, kind: type):
+        self.block, self.kind, self.order = block, kind, order
+        self.head = len(order) - len(order) // 8
+        values = block.of(kind)[order]
+        rest = values[self.head :]
+        bound = np.ceil(np.sqrt(np.square(rest, dtype=np.float64).sum(axis=0)) * (1 + 1e-9)).astype(kind)[None]
+        self.first, self.rest = np.concatenate([values[: self.head], bound]), np.concatenate([rest, bound])
+        self.by_row = np.ascontiguousarray(self.rest.T)
+
+    def scores(self, vectors: np.ndarray, asked: np.ndarray, high: np.ndarray, poor: np.ndarray, start: int, end: int, out: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors (by place), rows and scores of all that may count. asked, high, poor: by anchor and window, least and greatest score
+        that does, and whether fewer than k rows are found; asked rises by what is met here. out: a row of each anchor that does not count."""
+        own = vectors[:, self.order].astype(self.kind)
+        bound = np.ceil(np.sqrt(np.square(own[:, self.head :], dtype=np.float64).sum(axis=1)) * (1 + 1e-9)).astype(self.kind)[:, None]
+        first, rest = np.concatenate([own[:, : self.head], bound], axis=1), np.concatenate([own[:, self.head :], -bound], axis=1)
+        score = first @ self.first[:, start:end]
+        if out is not None:
+            here = np.flatnonzero((out >= start) & (out < end))
+            score[here, out[here] - start] = -np.inf
+        place = marked(score >= self.least(asked, high))
+        if len(place) * 32 < score.size:
+            a, row = np.divmod(place, end - start)
+            score = score.reshape(-1)[place] + np.einsum("ij,ij->i", rest[a], self.by_row[start + row])
+        else:
+            score += rest @ self.rest[:, start:end]
+            place = marked(score >= self.least(asked, high))
+            if len(place) * 64 > score.size and end - start > k:
+                for w in range(asked.shape[1]):
+                    some = np.flatnonzero(poor[:, w] & (asked[:, w] <= high[:, w]))
+                    inside = np.where(score[some] <= high[some, w, None].astype(self.kind), score[some], -np.inf)
+                    sure = np.partition(inside, end - start - k, axis=1)[:, end - start - k]
+                    asked[some, w] = np.maximum(asked[some, w], np.where(np.isfinite(sure), sure, -FAR).astype(np.int64))
+                place = marked(score >= self.least(asked, high))
+            a, row = np.divmod(place, end - start)
+            score = score.reshape(-1)[place]
+        fine = (score <= np.where(asked <= high, high, -FAR).max(axis=1).astype(self.kind)[a]) & np.isfinite(score)
+        return a[fine], start + row[fine], score[fine].astype(np.int64)
+
+    def least(self, asked: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Over an anchor's windows."""
+        return np.where(asked <= high, asked, FAR).min(axis=1).astype(self.kind)[:, None]
+
+
+def marked(flags: np.ndarray) -> np.ndarray:
+    """Places of the flags that are set, in order; fast where few are."""
+    flat = flags.reshape(-1)
+    whole = len(flat) // 8 * 8
+    some = np.flatnonzero(flat[:whole].view(np.uint64))
+    if len(some) * 32 > whole:
+        return np.flatnonzero(flat)
+    byte = (some[:, None] * 8 + np.arange(8)).reshape(-1)
+    return np.concatenate([byte[flat[byte]], whole + np.flatnonzero(flat[whole:])])
+
+
+PACK_COLUMNS = ["least_kind", "greatest_kind", "rows", "anchors", "kinds", "vectors", "low", "high"]
+PACKS = "least_kind bigint, greatest_kind bigint, rows binary, anchors binary, kinds binary, vectors binary, low binary, high binary"
+
+
+def gathered(batches: Iterator[pa.RecordBatch], low_percent: int | None) -> Iterator[pa.RecordBatch]:
+    """Anchors to packs, in order of label. low_percent None: one window, of all scores; else one for each of the `found` positives."""
+    held: list[dict] = []
+
+    def pack() -> pa.RecordBatch:
+        nonlocal held
+        some, held = sorted(held, key=lambda x: (x["label"], x["row"])), []
+        vectors = np.zeros((len(some), max(len(x["vector"]) for x in some)), "<i4")
+        for i, x in enumerate(some):
+            vectors[i, : len(x["vector"])] = x["vector"]
+        windows = [(-FAR, FAR)] if low_percent is None else None
+        told = [windows or [(-(-low_percent * p["score"] // 100), p["score"]) for p in x["found"]] for x in some]  # least and greatest integer score inside
+        wide = max(map(len, told))
+        low, high = (np.array([[w[k] for w in x] + [1 - k] * (wide - len(x)) for x in told], "<i8") for k in (0, 1))
+        columns = [*(np.array([x[c] for x in some], "<i8") for c in ("row", "anchor", "label")), vectors, low, high]
+        ends = [pa.array([some[i]["label"]], pa.int64()) for i in (0, -1)]
+        return pa.RecordBatch.from_arrays([*ends, *(pa.array([c.tobytes()], pa.binary()) for c in columns)], PACK_COLUMNS)
+
     for batch in batches:
-        for own in batch.to_pylist():
-            ids, labels, columns = opened(own["ids"], own["labels"], own["columns"])
-            low, high = (f(columns, axis=1, initial=0).astype(np.int64) for f in (np.min, np.max))
-            out: list[tuple[np.ndarray, ...]] = []
-            for anchor in own["anchors"]:
-                same = labels == anchor["label"]
-                at = anchor["row"] - (own["block"] << ROW_BITS)
-                if low_percent is None and 0 <= at < len(ids):
-                    same[at] = False
-                scan = Scan(columns, low, high, np.array(anchor["vector"] or [], np.int64), np.flatnonzero(same if low_percent is None else ~same))
-                if low_percent is None:
-                    told = [(0, *positives_in(scan, ids, k))]
-                else:
-                    tops = [p["score"] for p in anchor["found"]]
-                    told = [(w, *x) for w, x in enumerate(negatives_in(scan, ids, tops, k, low_percent))]
-                for w, place, score in told:
-                    m = len(place)
-                    out.append((np.full(m, anchor["row"]), np.full(m, anchor["anchor"]), np.full(m, w), (own["block"] << ROW_BITS) + place, ids[place], score))
-            columns_ = [np.concatenate([x[i] for x in out]).astype(np.int64) if out else np.zeros(0, np.int64) for i in range(6)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns_], ["row", "anchor", "place", "other", "other_id", "score"])
+        for x in batch.to_pylist():
+            held.append(x | {"vector": np.array(x["vector"] or [], "<i4")})
+            if len(held) >= ANCHORS:
+                yield pack()
+    if held:
+        yield pack()
 
 
-FOUND = "row bigint, anchor bigint, place bigint, other bigint, other_id bigint, score bigint"
+def scanned(batches: Iterator[pa.RecordBatch], k: int, same: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of a block and a pack each. What is found for a pack goes from block to block."""
+    packs: dict[bytes, Pack] = {}
+    block, last = None, None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            parts = [batch.column(c)[i].as_buffer() for c in BLOCK_COLUMNS[3:] + PACK_COLUMNS[2:]]
+            if (number := batch.column("block")[i].as_py()) != last:
+                last, block = number, Block(number, *opened(*map(bytes, parts[:3])))
+            rows, anchors, labels, *_ = (np.frombuffer(p, "<i8") for p in parts[3:6])
+            key = bytes(parts[3])
+            if key not in packs:
+                vectors = np.array(np.frombuffer(parts[6], "<i4")).reshape(len(rows), -1)
+                packs[key] = Pack(rows.copy(), anchors.copy(), labels.copy(), vectors, *(np.array(np.frombuffer(p, "<i8")).reshape(len(rows), -1) for p in parts[7:9]), k)
+            packs[key].meet(block, same)
+    for own in packs.values():
+        yield own.found()
 
 
-# --- both searches
+FOUND = "row bigint, anchor bigint, place bigint, other bigint, other_id bigint, score bigint"
 
 
-def grouped(anchors: DataFrame, packs: int, groups: int) -> DataFrame:
-    """Anchors packed by a hash of their row, each pack for each group of blocks."""
-    pack = F.pmod(F.xxhash64("row"), F.lit(packs))
-    told = anchors.groupBy(pack.alias("pack")).agg(F.collect_list(F.struct(*anchors.columns)).alias("anchors"))
-    return told.select("anchors", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))).alias("group"))
+# --- both searches
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -238,14 +456,17 @@ def mine(vectors: DataFrame, every: int = 100, positives: int = POSITIVES, negat
     """
     words.ship(vectors.sparkSession)
     slim = vectors.select(F.col("vec_id").cast("bigint"), F.col("label").cast("bigint"), F.col("embedding").cast("array<double>"))
-    blocks = words.checkpointed(slim.mapInArrow(packed, "block bigint, ids binary, labels binary, columns binary"))
+    blocks = words.checkpointed(slim.mapInArrow(packed, BLOCKS))
     anchors = words.checkpointed(blocks.mapInArrow(partial(anchors_of, every=every), "row bigint, anchor bigint, label bigint, vector array<int>"))
-    groups, packs = max(1, blocks.count()), max(1, -(-anchors.count() // ANCHORS))
-    dealt = blocks.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    parts = max(1, -(-anchors.count() // ANCHORS_PER_TASK))
 
     def scan(of: DataFrame, k: int, low_percent: int | None) -> DataFrame:
-        pairs = dealt.join(grouped(of, packs, groups), "group").select("block", "ids", "labels", "columns", "anchors")
-        return ranked(pairs.mapInArrow(partial(scanned, k=k, low_percent=low_percent), FOUND), k)
+        dealt = of.repartitionByRange(parts, "label", "row").coalesce(parts)
+        packs = words.checkpointed(dealt.mapInArrow(partial(gathered, low_percent=low_percent), PACKS))
+        # Every block meets every pack; for positives, but for those that have no label together.
+        together = (F.col("least") <= F.col("greatest_kind")) & (F.col("greatest") >= F.col("least_kind")) if low_percent is None else F.lit(True)
+        pairs = blocks.coalesce(TASKS).join(packs, together)
+        return ranked(pairs.mapInArrow(partial(scanned, k=k, same=low_percent is None), FOUND), k)
 
     good = words.checkpointed(scan(anchors, positives, None))
     tops = good.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("rank", "score"))).alias("found"))

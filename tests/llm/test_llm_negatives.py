@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,40 @@ def test_query(spark):
     got = QUERIES["op13_hard_negatives"](spark, SMALL)
     assert sorted(tuple(r) for r in got.collect()) == brute(rows)
     assert got.filter(F.col("rank") > 5).count() == 0
+
+
+def test_anchors_are_not_copied_for_blocks(spark):
+    """Many blocks and packs: what is shuffled and what tasks return does not grow with blocks times anchors."""
+    r = np.random.default_rng(3)
+    rows = [(k, int(r.integers(4)), v) for k, v in enumerate(np.round(r.normal(size=(3000, 12)), 3).astype(np.float32).tolist())]
+    task = iter(range(300))
+
+    class Task:
+        def partitionId(self):
+            return next(task)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(hard_negatives, "ANCHORS", 32)
+        m.setattr(hard_negatives.TaskContext, "get", Task)
+        source = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 30], strict=True), (pa.int64(), pa.int64(), pa.list_(pa.float64())), strict=True)], ["vec_id", "label", "embedding"]) for k in range(0, 3000, 30)]
+        blocks = [b for s in source for b in hard_negatives.packed(iter([s]))]
+        anchors = list(hard_negatives.anchors_of(iter(blocks), 20))
+        packs = list(hard_negatives.gathered(iter(anchors), None))
+        assert len(blocks) == 100 and len(packs) == 5
+        pairs = [pa.RecordBatch.from_arrays([*b.columns, *p.columns], [*b.schema.names, *p.schema.names]) for b in blocks for p in packs]
+        good = pa.Table.from_batches(hard_negatives.scanned(iter(pairs), 5, True))
+        assert good.num_rows == 150 * 5  # of all blocks that a task meets, five for each anchor
+    plan = hard_negatives.mine(frame(spark, rows), every=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+
+
+@pytest.mark.parametrize("size", [1, 1e3, 1.5e5])
+def test_all_ranges_of_numbers(spark, size):
+    """Scores that floats hold, that doubles hold, and that neither does; equal scores; windows of negative scores."""
+    r = np.random.default_rng(7)
+    v = np.round(r.normal(size=(400, 19)) * size, 2)
+    v[200:260] = v[3]
+    v[260:300] = -v[20]
+    rows = [(k, int(r.integers(3)), v[k].astype(np.float32).tolist()) for k in range(400)]
+    got = sorted(tuple(x) for x in hard_negatives.mine(frame(spark, rows).repartition(4), every=20).collect())
+    assert got == brute(rows, 20)
