@@ -280,6 +280,38 @@ def test_many_chunks_at_once(segmenter):
         assert gap == 0 or np.frombuffer(ids, np.int32).tolist() == best[1]
 
 
+def ids_of(raw):
+    return np.frombuffer(raw, np.int32).tolist()
+
+
+def test_short_chunks_are_searched_as_long_ones(segmenter):
+    """The search of many at once gives the n best segmentations with their pieces, unknown characters included."""
+    chunks = {c for _, t in texts() for c in segmenter.chunks(t or "")} | {"▁hello", "▁né漢a", "▁漢漢", "▁", "▁▁▁x", "\n", "ththe", "漢"}
+    for size in {len(c) for c in chunks if len(c) <= pieces.SHORT}:
+        group = sorted(c for c in chunks if len(c) == size)
+        for n in (1, 2, 6):
+            ranks = segmenter.n_best_of(group, n)
+            assert len(ranks) == n
+            for i, c in enumerate(group):
+                got = [(score[some.tolist().index(i)], ids_of(ids[some.tolist().index(i)])) for some, score, ids in ranks if i in some]
+                assert got == segmenter.n_best(c, n)
+
+
+def test_second_segmentation_of_a_text(segmenter):
+    for text in ["the them", "né 漢a", "a\n b", "", "x▁y th", "th th th"]:
+        segmenter.clear()
+        ((ids, score, second, others),) = segmenter.encode_all([text])
+        every = [(0.0, [])]
+        for chunk in segmenter.chunks(text) if text else []:
+            ways = every_path(segmenter, chunk) if chunk != pieces.LITERAL else [(segmenter.unknown, [segmenter.bytes[b] for b in "▁".encode()])]
+            every = [(a + b, x + y) for a, x in every for b, y in ways]
+        every.sort(key=lambda p: -p[0])
+        assert (score, ids_of(ids)) in every and score == every[0][0]
+        assert (second, others) == (None, None) if len(every) == 1 else second == every[1][0] and (second, ids_of(others)) in every and others != ids
+        assert others is None or segmenter.decode(others) == text
+        assert all(len(c) > pieces.SHORT or c == pieces.LITERAL or c in segmenter for c in (segmenter.chunks(text) if text else []))
+
+
 def test_encode_and_decode(documents, empty, spark):
     table = pieces.load(VOCABULARY)
     odd = [(100, "  two  spaces "), (101, "▁ literal ▁▁"), (102, "\n▁\t 漢"), (103, "é" * 5000)]
